@@ -16,79 +16,98 @@ from pyspark.sql import DataFrame, functions as F
 
 from .kernel import U, pack, unpack
 
-#: Groups for each shuffle partition: the text of one group is in memory at once.
-GROUPS_PER_PARTITION = 4
+#: Groups for each shuffle partition. Mail goes to the hall of a partition's groups in one row, so the rows of a round
+#: are partitions squared at most; the groups of a hall are worked on one after the other, to bound memory.
+GROUPS_PER_HALL = 4
 
 #: key messages of a group: kind -> (sorted distinct keys, a value for each or None)
 Keys = dict[int, tuple[np.ndarray, np.ndarray | None]]
+#: a section of a row of mail: group, kind, keys, values
+Section = tuple[int, int, np.ndarray, np.ndarray | None]
 
-_OUT = pa.schema([("_b", pa.int32()), ("_g", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("vals", pa.binary())])
-_OUT_SQL = "_b int, _g int, kind int, keys binary, vals binary"
-_IN = pa.schema([("_g", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary())])
-_IN_SQL = "_g int, kind int, keys binary"
+_MAIL = "to int, g array<int>, kind array<int>, keys array<binary>, vals array<binary>"
+_MAIL_ARROW = pa.schema([("to", pa.int32()), ("g", pa.list_(pa.int32())), ("kind", pa.list_(pa.int32())), ("keys", pa.list_(pa.binary())), ("vals", pa.list_(pa.binary()))])
 
 
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def group_count(df: DataFrame) -> int:
-    return GROUPS_PER_PARTITION * partitions(df)
-
-
 def grouped(docs: DataFrame, *columns: str) -> DataFrame:
-    """doc_id, the columns, and the group _g of each row."""
-    n = group_count(docs)
-    return docs.select("doc_id", *columns, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("_g"))
-
-
-def inbox(table: pa.Table) -> dict[int, np.ndarray]:
-    """Sorted keys of each kind that a group got."""
-    got: dict[int, list[np.ndarray]] = {}
-    for kind, keys in zip(table["kind"].to_pylist(), table["keys"].to_pylist(), strict=True):
-        got.setdefault(kind, []).append(unpack(keys))
-    return {k: np.sort(np.concatenate(v)) for k, v in got.items()}
-
-
-def _messages(g: int, bits: int, out: Keys) -> pa.Table:
-    rows: dict[str, list] = {n: [] for n in _OUT.names}
-    edges = (np.arange(1, 1 << bits, dtype=U)) << U(64 - bits)
-    for kind, (keys, vals) in out.items():
-        at = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-        for b in range(len(at) - 1):
-            if at[b + 1] > at[b]:
-                part = slice(at[b], at[b + 1])
-                for n, v in zip(_OUT.names, (b, g, kind, pack(keys[part]), None if vals is None else pack(vals[part])), strict=True):
-                    rows[n].append(v)
-    return pa.table(rows, schema=_OUT)
+    """doc_id, the columns, the group _g of each row and the hall of the group."""
+    n = GROUPS_PER_HALL * partitions(docs)
+    docs = docs.select("doc_id", *columns, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("_g"))
+    return docs.withColumn("hall", F.floor(F.col("_g") / GROUPS_PER_HALL).cast("int"))
+
+
+def _mail(letters: dict[int, list[Section]]) -> pa.Table:
+    """A row for each addressee."""
+    rows: dict[str, list] = {n: [] for n in _MAIL_ARROW.names}
+    for to, sections in letters.items():
+        rows["to"].append(to)
+        rows["g"].append([g for g, *_ in sections])
+        rows["kind"].append([kind for _, kind, *_ in sections])
+        rows["keys"].append([pack(keys) for _, _, keys, _ in sections])
+        rows["vals"].append([None if vals is None else pack(vals) for *_, vals in sections])
+    return pa.table(rows, schema=_MAIL_ARROW)
+
+
+def _open(mail: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray | None]]:
+    for row in zip(*(mail.column(n).to_pylist() for n in _MAIL_ARROW.names[1:]), strict=True):
+        for g, kind, keys, vals in zip(*row, strict=True):
+            yield g, kind, unpack(keys), None if vals is None else unpack(vals, np.int64)
+
+
+def _visit(rows: pa.Table, mail: pa.Table | None) -> Iterator[tuple[int, pa.Table, dict[int, np.ndarray]]]:
+    """(group, its rows, sorted keys of each kind that it got), one group of a hall after the other."""
+    if not len(rows):
+        return
+    boxes: dict[int, dict[int, list[np.ndarray]]] = {}
+    for g, kind, keys, _ in _open(mail) if mail is not None else ():
+        boxes.setdefault(g, {}).setdefault(kind, []).append(keys)
+    groups = rows["_g"].to_numpy()
+    for g in np.unique(groups).tolist():
+        own = rows.filter(pa.array(groups == g))
+        yield g, own, {k: np.sort(np.concatenate(v)) for k, v in boxes.pop(g, {}).items()}
 
 
 def ask(groups: DataFrame, got: DataFrame | None, send: Callable[[pa.Table, dict], Keys], answer: Callable[[int, np.ndarray, np.ndarray, np.ndarray | None], dict[int, np.ndarray]]) -> DataFrame:
     """One round. send(rows of a group, its inbox) gives the group's keys; kinds of 100 or more come back to it as they are.
 
     answer(kind, keys, senders, vals), keys being sorted, gives for each kind of answer a mask of the records answered.
-    Returns the inbox of the next round: _g, kind, keys.
+    Returns the mail for the next round.
     """
-    bits = max(3, int(partitions(groups) * 2 - 1).bit_length())
+    bits = max(3, int(2 * partitions(groups) - 1).bit_length())
+    edges = np.arange(1, 1 << bits, dtype=U) << U(64 - bits)
 
-    def from_group(g: int, rows: pa.Table, box: dict[int, np.ndarray]) -> pa.Table:
-        return _messages(g, bits, send(rows, box))
+    def collect(rows: pa.Table, mail: pa.Table | None) -> pa.Table:
+        letters: dict[int, list[Section]] = {}
+        for g, own, box in _visit(rows, mail):
+            for kind, (keys, vals) in send(own, box).items():
+                if kind >= 100:
+                    letters.setdefault(g % (1 << bits), []).append((g, kind, keys, None))
+                    continue
+                at = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+                for b in range(len(at) - 1):
+                    if at[b + 1] > at[b]:
+                        part = slice(at[b], at[b + 1])
+                        letters.setdefault(b, []).append((g, kind, keys[part], None if vals is None else vals[part]))
+        return _mail(letters)
 
     if got is None:
-        sent = groups.groupBy("_g").applyInArrow(lambda rows: from_group(rows["_g"][0].as_py(), rows, {}), _OUT_SQL)
+        sent = groups.groupBy("hall").applyInArrow(lambda rows: collect(rows, None), _MAIL)
     else:
-        sent = groups.groupBy("_g").cogroup(got.groupBy("_g")).applyInArrow(
-            lambda rows, box: from_group(rows["_g"][0].as_py(), rows, inbox(box)) if len(rows) else _OUT.empty_table(), _OUT_SQL
-        )
+        sent = groups.groupBy("hall").cogroup(got.groupBy("to")).applyInArrow(collect, _MAIL)
 
     def reply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, np.ndarray, np.ndarray | None]]] = {}
+        letters: dict[int, list[Section]] = {}
         for batch in batches:
-            for b, g, kind, keys, vals in zip(*(batch.column(n).to_pylist() for n in _OUT.names), strict=True):
+            for g, kind, keys, vals in _open(batch):
                 if kind >= 100:
-                    yield pa.record_batch([[g], [kind], [keys]], schema=_IN)
+                    letters.setdefault(g // GROUPS_PER_HALL, []).append((g, kind, keys, None))
                 else:
-                    held.setdefault(kind, []).append((g, unpack(keys), None if vals is None else unpack(vals, np.int64)))
+                    held.setdefault(kind, []).append((g, keys, vals))
         for kind in list(held):
             parts = held.pop(kind)
             keys = np.concatenate([k for _, k, _ in parts])
@@ -101,11 +120,12 @@ def ask(groups: DataFrame, got: DataFrame | None, send: Callable[[pa.Table, dict
                 k, s = keys[mask], senders[mask]
                 order = np.argsort(s, kind="stable")  # keys stay sorted within a sender
                 k, s = k[order], s[order]
-                at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else []
+                at = firsts(s)
                 for a, b in zip(at, [*at[1:], len(s)], strict=True):
-                    yield pa.record_batch([[int(s[a])], [as_kind], [pack(k[a:b])]], schema=_IN)
+                    letters.setdefault(int(s[a]) // GROUPS_PER_HALL, []).append((int(s[a]), as_kind, k[a:b], None))
+        yield from _mail(letters).to_batches()
 
-    return sent.repartition("_b").mapInArrow(reply, _IN_SQL)
+    return sent.repartition("to").mapInArrow(reply, _MAIL)
 
 
 def firsts(keys: np.ndarray) -> np.ndarray:
@@ -135,4 +155,9 @@ def shared(kind: int, keys: np.ndarray, senders: np.ndarray, vals: np.ndarray |
 
 def finish(groups: DataFrame, got: DataFrame, last: Callable[[pa.Table, dict], pa.Table], schema: str) -> DataFrame:
     """last(rows of a group, its inbox) makes the result rows."""
-    return groups.groupBy("_g").cogroup(got.groupBy("_g")).applyInArrow(lambda rows, box: last(rows, inbox(box)), schema)
+
+    def work(rows: pa.Table, mail: pa.Table) -> pa.Table:
+        made = [last(own, box) for _, own, box in _visit(rows, mail)]
+        return pa.concat_tables(made) if made else last(rows, {})
+
+    return groups.groupBy("hall").cogroup(got.groupBy("to")).applyInArrow(work, schema)
