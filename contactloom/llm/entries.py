@@ -4,8 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from .lang_id import identify
+from .mixing import schedule
+from .multi_index import nearest
+from .ngram_jaccard import ngram_jaccard_join
+from .packing import pack_documents
+from .records import read_records, write_records
+from .scratch import Scratch
+from .sharding import shard_documents
+from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
+from .topk import exact_top_k
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -13,28 +26,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .substring_dedup import substring_dedup
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept")
 
 
-def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .ngram_jaccard import ngram_jaccard_join
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans", "kept")
 
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")
 
-def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .suffix_dedup import suffix_dedup
 
-    return suffix_dedup(table(spark, sf_dir, "documents")).drop("spans", "kept")
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule(table(spark, sf_dir, "documents"))
+
+
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op8_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
+def op9_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark).path()
+    write_records(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return read_records(spark, folder).drop("ids")
+
+
+def op10_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Query] = {
-    "op1_ngram_jaccard": op1_ngram_jaccard,
-    "op2_substring_dedup": op2_substring_dedup,
-    "op3_suffix_dedup": op3_suffix_dedup,
+    f.__name__: f
+    for f in (op1_ngram_jaccard, op2_substring_dedup, op3_suffix_dedup, op4_packing, op5_sharding, op6_mixing, op7_exact_top_k, op8_lang_id, op9_records, op10_multi_index)
 }
 
 ORACLE: dict[str, str] = {}

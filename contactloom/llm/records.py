@@ -49,13 +49,23 @@ def parse(content: bytes, at: int = 0, check: bool = True) -> tuple[bytes, int]:
     size, crc = _HEAD.unpack_from(content, at)
     if masked(content[at : at + 8]) != crc:
         raise ValueError(f"damaged length at byte {at}")
-    body = at + _HEAD.size
-    payload = content[body : body + size]
-    if len(payload) != size or content[body + size + 4 : body + size + 5] != b"\n":
+    start = at + _HEAD.size
+    body = content[start : start + size]
+    if len(body) != size or content[start + size + 4 : start + size + 5] != b"\n":
         raise ValueError(f"truncated record at byte {at}")
-    if check and masked(payload) != struct.unpack_from("<I", content, body + size)[0]:
+    if check and masked(body) != struct.unpack_from("<I", content, start + size)[0]:
         raise ValueError(f"damaged record at byte {at}")
-    return payload, body + size + 5
+    return body, start + size + 5
+
+
+def payload(doc_id: int | None, width: int, ids: bytes) -> bytes:
+    return _ROW.pack(doc_id or 0, doc_id is not None, width) + ids
+
+
+def opened(data: bytes) -> tuple[int | None, np.ndarray]:
+    """doc_id and ids of a payload."""
+    doc, known, width = _ROW.unpack_from(data)
+    return doc if known else None, np.frombuffer(data, f"<u{width}", offset=_ROW.size)
 
 
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> None:
@@ -69,7 +79,7 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
             ids = batch.column("doc_id").to_pylist()
             for a, b, part, cut in K.slices(data, off):
                 raw = part.tobytes()
-                rows = [frame(_ROW.pack(ids[a + i] or 0, ids[a + i] is not None, width) + enc.encode(raw[cut[i] : cut[i + 1]]) + end)[:-1] for i in range(b - a)]
+                rows = [frame(payload(ids[a + i], width, enc.encode(raw[cut[i] : cut[i + 1]]) + end))[:-1] for i in range(b - a)]
                 yield pa.record_batch([pa.array(rows, pa.binary())], names=["value"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -81,11 +91,10 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
             for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 content, at, rows, before = memoryview(content.as_buffer()), 0, [], 0
                 while at < len(content):
-                    payload, after = parse(content, at, check=False)
-                    doc, known, width = _ROW.unpack_from(payload)
-                    n = (len(payload) - _ROW.size) // width
-                    rows.append((file, len(rows), at, after - at, doc if known else None, n, before))
-                    at, before = after, before + n
+                    body, after = parse(content, at, check=False)
+                    doc, ids = opened(body)
+                    rows.append((file, len(rows), at, after - at, doc, len(ids), before))
+                    at, before = after, before + len(ids)
                 if rows:
                     yield pa.record_batch([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), (pa.string(), *[pa.int64()] * 6), strict=True)], names=_INDEX.replace(",", "").split()[::2])
 
@@ -117,10 +126,9 @@ def read_records(spark: SparkSession, folder: str, wanted: DataFrame | None = No
                 for i in range(0, len(at), 1000):
                     rows = []
                     for place in at[i : i + 1000]:
-                        payload, _ = parse(content, place["offset"])
-                        doc, known, width = _ROW.unpack_from(payload)
-                        ids = np.frombuffer(payload, f"<u{width}", offset=_ROW.size).astype("<u4").tobytes()
-                        rows.append((doc if known else None, starts[file] + place["before"], len(ids) // 4, zlib.crc32(ids), ids))
+                        doc, ids = opened(parse(content, place["offset"])[0])
+                        ids = ids.astype("<u4").tobytes()
+                        rows.append((doc, starts[file] + place["before"], len(ids) // 4, zlib.crc32(ids), ids))
                     yield pa.record_batch([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.binary()), strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     if wanted is not None:
