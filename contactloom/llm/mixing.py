@@ -73,10 +73,13 @@ def mixed(docs: DataFrame, weights: dict[str, int] | None = None, block: int = B
     less than one period's share, the first period is kept, with what there is."""
     weights = dict(weights or WEIGHTS)
     weights.setdefault(REST, 1)
-    columns = docs.columns
-    rows = Scratch(docs.sparkSession).save(schedule(docs, weights, block, tuple(columns)))
+    scratch = Scratch(docs.sparkSession)
+    rows = scratch.save(schedule(docs, weights, block))
     total = sum(weights.values())
     shares = docs.sparkSession.createDataFrame(list(weights.items()), "mix_class string, w int")
     sizes = rows.groupBy("mix_class").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(shares), "mix_class")
-    periods = sizes.agg(F.greatest(F.lit(1), F.min(F.floor(F.col("k") / (F.col("w") * block)))).alias("periods"))
-    return rows.join(F.broadcast(periods), F.col("mix_slot") < F.col("periods") * total, "left_semi").select(*columns)
+    periods = sizes.agg(F.greatest(F.lit(1), F.min(F.floor(F.col("k") / (F.col("w") * block))))).first()[0]  # one number
+    if periods is None:
+        return docs
+    taken = rows.where(F.col("mix_slot") < periods * total).select(F.col("doc_id").alias("taken"))
+    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken")), "left_semi")

@@ -130,12 +130,16 @@ def _cut(rows: pa.Table, box: dict) -> pa.Table:
             out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
             out["kept"].append(kept)
     kept = pa.array(out.pop("kept"), pa.binary())
-    return pa.table({"doc_id": rows["doc_id"].cast(pa.int64()), **{k: pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items()}, "kept": kept.cast(pa.string())})
+    others = {c: rows[c] for c in rows.column_names if c.startswith("keep_")}
+    return pa.table({"doc_id": rows["doc_id"].cast(pa.int64()), **{k: pa.array(v, pa.string() if k == "kept_sha256" else pa.int64()) for k, v in out.items()}, "kept": kept.cast(pa.string()), **others})
 
 
-def substring_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and kept (the kept words joined by one space) of every row of docs (doc_id, text)."""
-    groups = R.grouped(docs, F.col("text").cast("string").alias("text"))
+def substring_dedup(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256, kept (the kept words joined by one space) and the columns named in keep, of
+    every row of docs (doc_id, text)."""
+    groups = R.grouped(docs, F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
     got = R.ask(groups, None, _send_anchors, R.shared)
     got = R.ask(groups, got, _send_windows, _smaller_elsewhere)
-    return R.finish(groups, got, _cut, _SQL)
+    order = [c for c in keep if c != "text"] + ["text"] * ("text" in keep)
+    kept = "".join(f", `keep_{c}` {'string' if c == 'text' else docs.schema[c].dataType.simpleString()}" for c in order)
+    return R.finish(groups, got, last, _SQL + kept).withColumnsRenamed({f"keep_{c}": c for c in keep})
