@@ -1,0 +1,16 @@
+"""Contact tables from business listings and web pages, as PySpark DataFrame jobs."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import SparkSession
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Lets Python workers that start on this machine import the package; on a cluster, ship it with --py-files instead."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, (root, env.get("PYTHONPATH"))))
+    return spark
