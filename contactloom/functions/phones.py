@@ -48,24 +48,40 @@ SEPARATORS = r"[;/|]|\s{2,}|,(?=\s*\+)"
 _SHAPE = r"^\s*(?:tel:)?\s*(?:\+|00)?[0-9 ()./\-]{5,30}\s*$"
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _number(code: str, kinds: list, groups: list):
+    """National digits -> struct(e164, display, type), null if they match no pattern."""
+
+    def make(nsn: Column) -> Column:
+        shown = nsn
+        for p, g in reversed(groups):
+            shown = F.when(nsn.rlike(f"^(?:{p})$"), F.regexp_replace(nsn, f"^{p}$", g)).otherwise(shown)
+        kind = F.coalesce(*(F.when(nsn.rlike(f"^(?:{p})$"), F.lit(t)) for t, p in kinds))
+        return F.when(kind.isNotNull(), F.struct(F.concat(F.lit("+" + code), nsn).alias("e164"), F.concat(F.lit(f"+{code} "), shown).alias("display"), kind.alias("type")))
+
+    return make
+
+
 def normalize_phone(raw: Column, region: Column) -> Column:
     """struct(e164, display, type) of a valid number, else null."""
     digits = F.regexp_replace(F.regexp_replace(raw, r"\(0\)", ""), "[^0-9]", "")
     abroad = raw.rlike(r"^\s*(?:tel:)?\s*(\+|00)")
     full = F.when(raw.rlike(r"^\s*(?:tel:)?\s*00"), F.substring(digits, 3, 40)).otherwise(digits)
-    out = F.lit(None).cast("struct<e164:string,display:string,type:string>")
-    for name, (code, trunk, kinds, groups) in PLAN.items():
-        local = F.regexp_replace(digits, f"^{trunk}", "") if trunk else digits
-        if name == "US":
-            local = F.regexp_replace(digits, "^1(?=[0-9]{10}$)", "")
-        nsn = F.when(abroad & full.startswith(code), F.substring(full, len(code) + 1, 40)).when(~abroad & (region == name), local)
-        kind = F.coalesce(*(F.when(nsn.rlike(f"^(?:{p})$"), F.lit(t)) for t, p in kinds))
-        shown = nsn
-        for p, g in reversed(groups):
-            shown = F.when(nsn.rlike(f"^(?:{p})$"), F.regexp_replace(nsn, f"^{p}$", g)).otherwise(shown)
-        number = F.struct(F.concat(F.lit("+" + code), nsn).alias("e164"), F.concat(F.lit(f"+{code} "), shown).alias("display"), kind.alias("type"))
-        out = F.coalesce(out, F.when(kind.isNotNull(), number))
-    return F.when(raw.rlike(_SHAPE), out)
+
+    def plan(v: Column) -> Column:
+        found = []
+        for name, (code, trunk, kinds, groups) in PLAN.items():
+            local = F.regexp_replace(v["digits"], "^1(?=[0-9]{10}$)" if name == "US" else f"^{trunk}", "") if trunk else v["digits"]
+            nsn = F.when(v["abroad"] & v["full"].startswith(code), F.substring(v["full"], len(code) + 1, 40)).when(~v["abroad"] & (v["region"] == name), local)
+            found.append(F.when(nsn.isNotNull(), _let(nsn, _number(code, kinds, groups))))
+        return F.coalesce(*found)
+
+    parts = F.struct(digits.alias("digits"), abroad.alias("abroad"), full.alias("full"), region.alias("region"))
+    return F.when(raw.rlike(_SHAPE), _let(parts, plan))
 
 
 def phone_parts(raw: Column) -> Column:

@@ -47,7 +47,7 @@ def fill_gaps(targeted: DataFrame, scope: tuple[str, ...] = ()) -> DataFrame:
         nets = F.array_distinct(F.transform(flat, lambda x: x["key"]))
         aggs.append(F.map_from_arrays(nets, F.transform(nets, lambda n: F.get(F.filter(flat, lambda x: x["key"] == n), F.lit(0))["value"])).alias("socials"))
     sources = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("seq", "source"))), lambda x: x["source"]))
-    merged = targeted.groupBy(*scope, F.col("target").alias("seq")).agg(*aggs, F.array_join(sources, " + ").alias("source"))
+    merged = targeted.groupBy(*scope, "target").agg(*aggs, F.array_join(sources, " + ").alias("source")).withColumnRenamed("target", "seq")
     return merged.select("seq", *scope, "own.*", *(c for c in merged.columns if c not in ("seq", "own", *scope)))
 
 
