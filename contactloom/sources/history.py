@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import urls as U
 
@@ -17,11 +17,16 @@ def read_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.where(good).select("field", "value").distinct(), rows.where(~F.coalesce(good, F.lit(False)))
 
 
+def _pairs(field: str) -> Column:
+    values = F.coalesce(F.col(field), F.array().cast("array<string>"))
+    return F.transform(values, lambda v: F.struct(F.lit(field).alias("field"), v.alias("value")))
+
+
 def read_legacy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """The same from a JSON object of arrays (ids, phones, …); malformed objects are set aside."""
     shape = ", ".join(f"{f} array<string>" for f in FIELDS) + ", _corrupt_record string"
     raw = spark.read.schema(shape).option("mode", "PERMISSIVE").option("multiLine", True).json(path)
-    pairs = F.flatten(F.array(*(F.transform(F.coalesce(F.col(f), F.array().cast("array<string>")), lambda v, f=f: F.struct(F.lit(f).alias("field"), v.alias("value"))) for f in FIELDS)))
+    pairs = F.flatten(F.array(*map(_pairs, FIELDS)))
     good = raw.where("_corrupt_record is null").select(F.explode(pairs).alias("p")).select("p.field", "p.value").where("value <> ''").distinct()
     return good, raw.where("_corrupt_record is not null").select("_corrupt_record")
 
