@@ -137,7 +137,12 @@ def _cut(rows: pa.Table, box: dict) -> pa.Table:
 def substring_dedup(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the kept words joined by one space) and the columns named in keep, of
     every row of docs (doc_id, text)."""
-    groups = R.grouped(docs, F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep))
+    groups = R.grouped(docs, F.col("text").cast("string").alias("text"), *(F.col(c).alias(f"keep_{c}") for c in keep if c != "text"))
+
+    def last(rows: pa.Table, box: dict) -> pa.Table:
+        made = _cut(rows, box)
+        return made.append_column("keep_text", rows["text"]) if "text" in keep else made
+
     got = R.ask(groups, None, _send_anchors, R.shared)
     got = R.ask(groups, got, _send_windows, _smaller_elsewhere)
     order = [c for c in keep if c != "text"] + ["text"] * ("text" in keep)
