@@ -234,3 +234,21 @@ ORACLE: dict[str, str] = {
       select seq, lat0, lon0, cast(ceil(round(sqrt(dx * dx + dy * dy) / 0.1, 9)) as int) as ring from d""",
     "h4_unread_places": f"select place_id, seq from ({LEADS}) where place_id <> '' and seq % 2 = 1",
 }
+
+
+def greedy(source: str) -> str:
+    """CTEs that take the rows of a source (seq, field values) one by one: `accepted` has those that share no value with one taken before."""
+    return f"""listed as (select seq, row_number() over (order by seq) as rn, list_filter([case when place_id <> '' then 'i:' || place_id end, case when website = '' and phone <> '' then 'p:' || phone end,
+        case when email <> '' then 'e:' || email end, 'k:' || lead_key], lambda v: v is not null) as ids from {source}),
+      step as (select 0::bigint as rn, []::varchar[] as taken, null::bigint as seq union all
+        select l.rn, case when list_has_any(s.taken, l.ids) then s.taken else list_concat(s.taken, l.ids) end, case when list_has_any(s.taken, l.ids) then null else l.seq end from step s join listed l on l.rn = s.rn + 1),
+      accepted as (select seq from step where seq is not null)"""
+
+
+ORACLE["f4_accepted_leads"] = f"with recursive {DELIVERED}, qualified as (select * from leads where {QUALIFIES}), {greedy('qualified')} select seq, lead_key from leads join accepted using (seq)"
+ORACLE["w1_lead_table"] = f"""with recursive {TARGETS},
+  filled as (select target as seq, coalesce(min_by(address, seq) filter (where address <> ''), '') as address, coalesce(min_by(website, seq) filter (where website <> ''), '') as website,
+    coalesce(min_by(raw_phone, seq) filter (where raw_phone <> ''), '') as phone_display, coalesce(min_by(email, seq) filter (where email <> ''), '') as email from targets group by target),
+  merged as (select t.seq, t.name, t.category, t.place_id, t.lead_key, f.address, f.website, f.phone_display, replace(f.phone_display, ' ', '') as phone, f.email from targets t join filled f using (seq)),
+  h as ({HISTORY}), fresh as (select * from merged where {QUALIFIES} and not (website = '' and phone in (select value from h where field = 'phones'))), {greedy('fresh')}
+  select category, row_number() over (partition by category order by seq) as rank, seq, name, phone_display, email, address, website from fresh join accepted using (seq) qualify rank <= {N_LEADS}"""
