@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .kernel import U, pack, unpack
@@ -22,9 +23,40 @@ GROUPS_PER_HALL = 4
 
 #: key messages of a group: kind -> (sorted distinct keys, a value for each or None)
 Keys = dict[int, tuple[np.ndarray, np.ndarray | None]]
-#: a section of a row of mail: group, kind, keys, values
+#: a section of a row of mail: group, kind, keys, values; in an answer by masks, the values are the bucket alone
 Section = tuple[int, int, np.ndarray, np.ndarray | None]
 
+
+class Box(dict):
+    """What a group got: kind -> sorted keys, or the flags that it kept; masks for answers that are given by mask."""
+
+    def __init__(self, bits: int):
+        super().__init__()
+        self.bits = bits
+        self.masks: dict[int, dict[int, np.ndarray]] = {}
+
+    def mask(self, kind: int, keys: np.ndarray) -> np.ndarray:
+        """Which of the sorted keys that the group had sent were answered."""
+        out = np.zeros(len(keys), bool)
+        at = _bounds(keys, self.bits)
+        for b, values in self.masks.get(kind, {}).items():
+            out[at[b] : at[b + 1]] = flagged(values, at[b + 1] - at[b])
+        return out
+
+
+def _bounds(keys: np.ndarray, bits: int) -> list[int]:
+    """Where the sorted keys of each bucket (their first bits) begin."""
+    edges = np.arange(1, 1 << bits, dtype=U) << U(64 - bits)
+    return [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+
+
+def _bits(df: DataFrame) -> int:
+    return max(3, int(partitions(df) - 1).bit_length())
+
+
+#: Kinds from here on are flags that a group keeps for itself: they come back in their order.
+FLAGS = 200
+
 _MAIL = "to int, g array<int>, kind array<int>, keys array<binary>, vals array<binary>"
 _MAIL_ARROW = pa.schema([("to", pa.int32()), ("g", pa.list_(pa.int32())), ("kind", pa.list_(pa.int32())), ("keys", pa.list_(pa.binary())), ("vals", pa.list_(pa.binary()))])
 
@@ -58,37 +90,44 @@ def _open(mail: pa.Table | pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarra
             yield g, kind, unpack(keys), None if vals is None else unpack(vals, np.int64)
 
 
-def _visit(rows: pa.Table, mail: pa.Table | None) -> Iterator[tuple[int, pa.Table, dict[int, np.ndarray]]]:
-    """(group, its rows, sorted keys of each kind that it got), one group of a hall after the other."""
+def _visit(rows: pa.Table, mail: pa.Table | None, bits: int) -> Iterator[tuple[int, pa.Table, Box]]:
+    """(group, its rows, its box), one group of a hall after the other."""
     if not len(rows):
         return
-    boxes: dict[int, dict[int, list[np.ndarray]]] = {}
-    for g, kind, keys, _ in _open(mail) if mail is not None else ():
-        boxes.setdefault(g, {}).setdefault(kind, []).append(keys)
+    letters: dict[int, dict[int, list[np.ndarray]]] = {}
+    boxes: dict[int, Box] = {}
+    for g, kind, keys, vals in _open(mail) if mail is not None else ():
+        if vals is None:
+            letters.setdefault(g, {}).setdefault(kind, []).append(keys)
+        else:
+            boxes.setdefault(g, Box(bits)).masks.setdefault(kind, {})[int(vals[0])] = keys
     groups = rows["_g"].to_numpy()
     for g in np.unique(groups).tolist():
+        box = boxes.pop(g, Box(bits))
+        box |= {k: np.concatenate(v) if k >= FLAGS else np.sort(np.concatenate(v)) for k, v in letters.pop(g, {}).items()}
         own = rows.filter(pa.array(groups == g))
-        yield g, own, {k: np.sort(np.concatenate(v)) for k, v in boxes.pop(g, {}).items()}
+        # a shuffle may be read in any order: flags over places need one order in every round
+        yield g, own.take(pc.sort_indices(own, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])), box
 
 
-def ask(groups: DataFrame, got: DataFrame | None, send: Callable[[pa.Table, dict], Keys], answer: Callable[[int, np.ndarray, np.ndarray, np.ndarray | None], dict[int, np.ndarray]]) -> DataFrame:
-    """One round. send(rows of a group, its inbox) gives the group's keys; kinds of 100 or more come back to it as they are.
+def ask(groups: DataFrame, got: DataFrame | None, send: Callable[[pa.Table, Box], Keys], answer: Callable[[int, np.ndarray, np.ndarray, np.ndarray | None], dict[int, np.ndarray]], masks: bool = False) -> DataFrame:
+    """One round. send(rows of a group, its box) gives the group's keys; kinds of 100 or more come back to it as they are.
 
-    answer(kind, keys, senders, vals), keys being sorted, gives for each kind of answer a mask of the records answered.
+    answer(kind, keys, senders, vals), keys being sorted, gives for each kind of answer a mask of the records answered. They
+    come back as keys, or as masks over the keys sent (one bit a key) for a group that makes its keys anew.
     Returns the mail for the next round.
     """
-    bits = max(3, int(2 * partitions(groups) - 1).bit_length())
-    edges = np.arange(1, 1 << bits, dtype=U) << U(64 - bits)
+    bits = _bits(groups)
 
     def collect(rows: pa.Table, mail: pa.Table | None) -> pa.Table:
         letters: dict[int, list[Section]] = {}
-        for g, own, box in _visit(rows, mail):
+        for g, own, box in _visit(rows, mail, bits):
             for kind, (keys, vals) in send(own, box).items():
                 if kind >= 100:
                     letters.setdefault(g % (1 << bits), []).append((g, kind, keys, None))
                     continue
-                at = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
-                for b in range(len(at) - 1):
+                at = _bounds(keys, bits)
+                for b in range(1 << bits):
                     if at[b + 1] > at[b]:
                         part = slice(at[b], at[b + 1])
                         letters.setdefault(b, []).append((g, kind, keys[part], None if vals is None else vals[part]))
@@ -110,16 +149,25 @@ def ask(groups: DataFrame, got: DataFrame | None, send: Callable[[pa.Table, dict
                     held.setdefault(kind, []).append((g, keys, vals))
         for kind in list(held):
             parts = held.pop(kind)
+            ends = np.cumsum([len(k) for _, k, _ in parts]).tolist()
             keys = np.concatenate([k for _, k, _ in parts])
             senders = np.repeat(np.array([g for g, _, _ in parts], np.int32), [len(k) for _, k, _ in parts])
             vals = None if parts[0][2] is None else np.concatenate([v for *_, v in parts])
+            names = [(g, int(k[0] >> U(64 - bits))) for g, k, _ in parts]
             del parts
             order = np.argsort(keys, kind="stable")
             keys, senders, vals = keys[order], senders[order], None if vals is None else vals[order]
             for as_kind, mask in answer(kind, keys, senders, vals).items():
+                if masks:
+                    back = np.zeros(len(mask), bool)
+                    back[order] = mask
+                    for (g, b), start, end in zip(names, [0, *ends], ends, strict=False):
+                        if back[start:end].any():
+                            letters.setdefault(g // GROUPS_PER_HALL, []).append((g, as_kind, flags(back[start:end]), np.array([b])))
+                    continue
                 k, s = keys[mask], senders[mask]
-                order = np.argsort(s, kind="stable")  # keys stay sorted within a sender
-                k, s = k[order], s[order]
+                by = np.argsort(s, kind="stable")  # keys stay sorted within a sender
+                k, s = k[by], s[by]
                 at = firsts(s)
                 for a, b in zip(at, [*at[1:], len(s)], strict=True):
                     letters.setdefault(int(s[a]) // GROUPS_PER_HALL, []).append((int(s[a]), as_kind, k[a:b], None))
@@ -128,6 +176,15 @@ def ask(groups: DataFrame, got: DataFrame | None, send: Callable[[pa.Table, dict
     return sent.repartition("to").mapInArrow(reply, _MAIL)
 
 
+def flags(mask: np.ndarray) -> np.ndarray:
+    """A mask as 64-bit values, to be kept under a kind of FLAGS or more."""
+    return np.packbits(np.concatenate((mask, np.zeros(-len(mask) % 64, bool)))).view(U)
+
+
+def flagged(values: np.ndarray, n: int) -> np.ndarray:
+    return np.unpackbits(values.view(np.uint8))[:n].astype(bool)
+
+
 def firsts(keys: np.ndarray) -> np.ndarray:
     """Where each run of equal sorted keys begins."""
     return np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
@@ -153,11 +210,12 @@ def shared(kind: int, keys: np.ndarray, senders: np.ndarray, vals: np.ndarray |
     return {kind: run_sizes(keys) > 1}
 
 
-def finish(groups: DataFrame, got: DataFrame, last: Callable[[pa.Table, dict], pa.Table], schema: str) -> DataFrame:
-    """last(rows of a group, its inbox) makes the result rows."""
+def finish(groups: DataFrame, got: DataFrame, last: Callable[[pa.Table, Box], pa.Table], schema: str) -> DataFrame:
+    """last(rows of a group, its box) makes the result rows."""
+    bits = _bits(groups)
 
     def work(rows: pa.Table, mail: pa.Table) -> pa.Table:
-        made = [last(own, box) for _, own, box in _visit(rows, mail)]
-        return pa.concat_tables(made) if made else last(rows, {})
+        made = [last(own, box) for _, own, box in _visit(rows, mail, bits)]
+        return pa.concat_tables(made) if made else last(rows, Box(bits))
 
     return groups.groupBy("hall").cogroup(got.groupBy("to")).applyInArrow(work, schema)

@@ -8,9 +8,9 @@ the parse, followed by a prefix of a phrase. Suffixes are compared through the d
 1. dictionary: which phrases occur more than once. A window over a phrase that occurs once can't repeat.
 2. parse suffixes, cut where they reach LENGTH bytes, in the order of their fingerprints: neighbours that are equal are
    repeated strings of whole phrases, and every byte of them goes. The lowest group that has one is its owner.
-3. the rest begins or ends inside a phrase: windows at the rims of step 2. Their first phrases tell which of the owners'
-   inner windows may equal them.
-4. those windows, as (suffix of a phrase, parse suffix, prefix of a phrase), in the order of their fingerprints.
+3. the rest begins or ends inside a phrase: windows at the rims of step 2. The whole phrases inside them must occur in
+   another rim window or in an owner's inner window, or they can't repeat.
+4. the windows left, as (suffix of a phrase, parse suffix, prefix of a phrase), in the order of their fingerprints.
 
 Only runs with a common prefix of LENGTH or more matter, so step 2 and 4 keep fingerprint order, not alphabetical order:
 equal strings are neighbours in both. Each step is one round of `rounds.ask`, so a passage that a third of all documents
@@ -85,17 +85,16 @@ class Part:
         t = np.concatenate(([-1], self.at, [n, n]))
         return K.spread(t[:-2] + 1, t[2:] + TRIGGER - LENGTH, n)
 
-    def rims(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For window starts: whether a whole phrase lies inside, and the key of the first one or two of them."""
-        m = len(self.key)
-        if not m:
-            return np.zeros(len(start), bool), np.zeros(len(start), K.U)
+    def rims(self, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For window starts: whether a whole phrase lies inside, the key of all of them, and the first one's trigger."""
+        m = len(self.at)
+        if m < 2:
+            return np.zeros(len(start), bool), np.zeros(len(start), K.U), np.zeros(len(start), np.int64)
         i = np.searchsorted(self.at, start)
-        j = np.minimum(i, m - 1)
-        has = (i < m) & self.whole[j] & (self.end[j + 1] <= start + LENGTH)
-        n = np.minimum(j + 1, m - 1)
-        two = has & (j + 1 < m) & self.whole[n] & (self.end[n + 1] <= start + LENGTH)
-        return has, np.where(two, K.mix(self.key[j] * K.BASE + self.key[n]), self.key[j])
+        j = np.searchsorted(self.end, start + LENGTH, "right") - 1  # the last trigger inside: in the same text, as windows are
+        has = j > i
+        i = np.minimum(i, m - 1)
+        return has, self.span(self.at[i], np.where(has, self.end[j], self.at[i])), i
 
 
 class Group:
@@ -105,92 +104,112 @@ class Group:
         data, off = K.as_bytes(rows["text"])
         self.parts = [Part(part, cut) for _, _, part, cut in K.slices(data, off)]
         self.box = box
-        self.known, self.twice = K.unique_many(self.join(p.key[p.whole] for p in self.parts))
 
     @staticmethod
-    def join(arrays) -> np.ndarray:
-        return np.concatenate([_NONE, *arrays])
+    def join(arrays, none=_NONE) -> np.ndarray:
+        return np.concatenate([none, *arrays])
 
-    def got(self, kind: int) -> np.ndarray:
-        """An answer, of the last round or handed on from an earlier one."""
-        return self.box.get(kind, self.box.get(100 + kind, _NONE))
+    def split(self, mask: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+        return np.split(mask, np.cumsum(sizes)[:-1]) if sizes else []
 
-    def handed_on(self, *kinds: int) -> R.Keys:
-        return {100 + k: (self.got(k), None) for k in kinds if len(self.got(k))}
+    def phrases(self) -> np.ndarray:
+        return self.join(p.key[p.whole] for p in self.parts)
 
     def parse(self) -> None:
-        """Names of the parse suffixes, from answer 1."""
-        self.repeated = [K.member(p.key, self.got(1)) | K.member(p.key, self.twice) for p in self.parts]
+        """Which phrases are repeated, from answer 1; the parse suffixes and their names."""
+        sizes = [len(p.key) for p in self.parts]
+        if R.FLAGS + 1 in self.box:
+            mask = R.flagged(self.box[R.FLAGS + 1], sum(sizes))
+        else:
+            known, twice = K.unique_many(self.phrases())
+            known = known[self.box.mask(1, known) | K.member(known, twice)]
+            mask = K.member(self.join(p.key for p in self.parts), known)
+        self.repeated = self.split(mask, sizes)
         self.named = [p.names(r) for p, r in zip(self.parts, self.repeated, strict=True)]
-        self.names, self.names_twice = K.unique_many(self.join(n[2] for n in self.named))
+        self.flags = {R.FLAGS + 1: (R.flags(mask), None)}
 
     def windows(self) -> None:
-        """Masks of inner, owned inner, and rim windows, from answers 1 to 3."""
+        """Window starts by slice, from answers 2 and 3: mask of the inner ones, and starts of owned, rim and bare ones."""
         self.parse()
-        seen = np.zeros(len(self.names), bool)
-        self.inner, self.own, self.rim = [], [], []
-        for p, rep, (a, b, key) in zip(self.parts, self.repeated, self.named, strict=True):
-            elsewhere = K.member(key, self.got(2))
-            dup = elsewhere | K.member(key, self.names_twice)
-            mine = K.member(key, self.got(3)) | (dup & ~elsewhere)
-            place = np.searchsorted(self.names, key)
-            _, first = np.unique(place, return_index=True)
-            is_first = np.zeros(len(key), bool)
-            is_first[first] = True
-            is_first &= ~seen[place]
-            seen[place] = True
+        sizes = [len(n[2]) for n in self.named]
+        key = self.join(n[2] for n in self.named)
+        if R.FLAGS + 2 in self.box:
+            dup, own = (R.flagged(self.box[R.FLAGS + k], len(key)) for k in (2, 3))
+        else:
+            names, twice = K.unique_many(key)
+            place = np.searchsorted(names, key)
+            elsewhere = self.box.mask(2, names)[place]
+            dup = elsewhere | K.member(key, twice)
+            own = np.zeros(len(key), bool)
+            own[np.unique(key, return_index=True)[1]] = True  # the first occurrence in the group
+            own &= self.box.mask(3, names)[place] | (dup & ~elsewhere)
+        self.flags |= {R.FLAGS + 2: (R.flags(dup), None), R.FLAGS + 3: (R.flags(own), None)}
+        self.inner, self.owned, self.rim, self.bare = [], [], [], []
+        for p, rep, (a, b, _), d, o in zip(self.parts, self.repeated, self.named, self.split(dup, sizes), self.split(own, sizes), strict=True):
             n = len(p.data)
-            inner = K.spread(a[dup], b[dup] - LENGTH + 1, n)
-            own = mine & is_first
+            inner = K.spread(a[d], b[d] - LENGTH + 1, n)
             self.inner.append(inner)
-            self.own.append(K.spread(a[own], b[own] - LENGTH + 1, n))
-            self.rim.append((p.candidates(rep), inner))
-
-    def rims(self) -> tuple[list, np.ndarray]:
-        """For each slice (rim starts, owned starts and their keys, starts without a whole phrase), and all rims' keys."""
-        out, keys = [], []
-        for p, own, (candidate, inner) in zip(self.parts, self.own, self.rim, strict=True):
-            rim = np.flatnonzero(candidate & ~inner)
-            has, key = p.rims(rim)
-            keys.append(np.unique(key[has]))
-            owned = np.flatnonzero(own)
-            has_o, key_o = p.rims(owned)
-            bare = np.flatnonzero(p.thin() & inner & ~own)  # inner windows without a whole phrase are all sent
-            bare = bare[~p.rims(bare)[0]]
-            out.append((rim, owned[has_o], key_o[has_o], np.concatenate((owned[~has_o], bare))))
-        return out, np.unique(self.join(keys))
+            self.owned.append(np.flatnonzero(K.spread(a[o], b[o] - LENGTH + 1, n)))
+            self.rim.append(np.flatnonzero(p.candidates(rep) & ~inner))
+            self.bare.append(np.flatnonzero(p.thin() & inner))
+
+    def cores(self) -> None:
+        """Keys of the whole phrases inside owned and rim windows; which of them occur at two places of the group."""
+        self.windows()
+        self.owned_core = [p.rims(s) for p, s in zip(self.parts, self.owned, strict=True)]
+        self.rim_core = [p.rims(s) for p, s in zip(self.parts, self.rim, strict=True)]
+        places, first = [], 0
+        for p, *cores in zip(self.parts, self.owned_core, self.rim_core, strict=True):
+            at = np.concatenate([i[has] + first for has, _, i in cores])
+            key = np.concatenate([key[has] for has, key, _ in cores])
+            places.append(_distinct(key, at) if len(key) else key)
+            first += len(p.at)
+        self.known, self.twice = K.unique_many(self.join(places))
+        self.rim_keys = np.unique(self.join(key[has] for has, key, _ in self.rim_core))
 
     def sent(self) -> list[np.ndarray]:
         """Window starts whose fingerprints are compared in the last round, from answers 1 to 4."""
-        self.windows()
-        parts, rims = self.rims()
-        wanted = np.union1d(self.got(4), rims)
-        return [np.concatenate((rim, owned[K.member(key, wanted)], bare)) for rim, owned, key, bare in parts]
+        self.cores()
+        if R.FLAGS + 4 in self.box:
+            mask = R.flagged(self.box[R.FLAGS + 4], len(self.known))
+        else:
+            mask = self.box.mask(4, self.known) | K.member(self.known, self.twice)
+        self.flags[R.FLAGS + 4] = R.flags(mask), None
+        wanted = self.known[mask]
+        out = []
+        for p, owned, rim, bare, (has_o, key_o, _), (has_r, key_r, _) in zip(self.parts, self.owned, self.rim, self.bare, self.owned_core, self.rim_core, strict=True):
+            bare = bare[~p.rims(bare)[0]]  # inner windows without a whole phrase are all sent
+            out.append(np.concatenate((rim[~has_r | K.member(key_r, wanted)], owned[has_o & K.member(key_o, wanted)], bare)))
+        return out
+
+
+def _distinct(key: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The keys of the distinct pairs of key and place."""
+    order = np.lexsort((at, key))
+    key, at = key[order], at[order]
+    return key[np.concatenate(([True], (key[1:] != key[:-1]) | (at[1:] != at[:-1])))]
 
 
 def _send_phrases(rows: pa.Table, box: dict) -> R.Keys:
-    return {1: (Group(rows, box).known, None)}
+    return {1: (np.unique(Group(rows, box).phrases()), None)}
 
 
 def _send_names(rows: pa.Table, box: dict) -> R.Keys:
     g = Group(rows, box)
     g.parse()
-    return {2: (g.names, None), **g.handed_on(1)}
+    return {2: (np.unique(g.join(n[2] for n in g.named)), None), **g.flags}
 
 
-def _send_rims(rows: pa.Table, box: dict) -> R.Keys:
+def _send_cores(rows: pa.Table, box: dict) -> R.Keys:
     g = Group(rows, box)
-    g.windows()
-    parts, rims = g.rims()
-    owned = np.unique(g.join(key for _, _, key, _ in parts))
-    keys = np.union1d(rims, owned)
-    return {4: (keys, K.member(keys, rims).astype(np.int64)), **g.handed_on(1, 2, 3)}
+    g.cores()
+    return {4: (g.known, K.member(g.known, g.rim_keys).astype(np.int64)), **g.flags}
 
 
 def _send_windows(rows: pa.Table, box: dict) -> R.Keys:
     g = Group(rows, box)
     keys = [p.span(s, s + LENGTH) for p, s in zip(g.parts, g.sent(), strict=True)]
-    return {5: (np.unique(g.join(keys)), None), **g.handed_on(1, 2, 3, 4)}
+    return {5: (np.unique(g.join(keys)), None), **g.flags}
 
 
 def _answer(kind, keys, senders, vals):
@@ -206,10 +225,11 @@ def _cut(rows: pa.Table, box: dict) -> pa.Table:
     g = Group(rows, box)
     sent = g.sent()
     keys = [p.span(s, s + LENGTH) for p, s in zip(g.parts, sent, strict=True)]
-    _, twice = K.unique_many(g.join(keys))
+    known, twice = K.unique_many(g.join(keys))
+    known = known[box.mask(5, known) | K.member(known, twice)]
     out: dict[str, list] = {n: [] for n in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")}
     for p, s, key, inner in zip(g.parts, sent, keys, g.inner, strict=True):
-        hit = np.concatenate((np.flatnonzero(inner), s[K.member(key, g.got(5)) | K.member(key, twice)]))
+        hit = np.concatenate((np.flatnonzero(inner), s[K.member(key, known)]))
         gone = K.spread(hit, hit + LENGTH, len(p.data))
         docs, n = len(p.cut) - 1, len(p.data)
         edge = np.zeros(n + 1, bool)
@@ -235,7 +255,7 @@ def _cut(rows: pa.Table, box: dict) -> pa.Table:
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans and kept (bytes) of every row of docs (doc_id, text)."""
     groups = R.grouped(docs, F.col("text").cast("binary").alias("text"))
-    got = R.ask(groups, None, _send_phrases, _answer)
-    for send in (_send_names, _send_rims, _send_windows):
-        got = R.ask(groups, got, send, _answer)
+    got = R.ask(groups, None, _send_phrases, _answer, masks=True)
+    for send in (_send_names, _send_cores, _send_windows):
+        got = R.ask(groups, got, send, _answer, masks=True)
     return R.finish(groups, got, _cut, _SQL)
