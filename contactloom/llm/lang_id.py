@@ -10,7 +10,8 @@ has them.
 
 Defined cases: null texts and texts without a letter are `und`, score 0; extra columns are ignored; rows with the same
 doc_id are separate texts; a table without labelled rows yields `und` for all; ties go to the language first by name.
-Sample bounds are parameters: DOCS documents a language, TAKE characters of each, SAMPLE bytes in all.
+Sample bounds are parameters: LANGUAGES languages, DOCS documents a language, TAKE characters of each, SAMPLE bytes a language
+and ALL_SAMPLES bytes in all.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import kernel as K
 
+LANGUAGES = 64  # learned at most, those with the most labelled documents
 DOCS = 128
 TAKE = 800
 SAMPLE = 40_000
+ALL_SAMPLES = 800_000
 SEGMENT = 1024
 FOLDS, HELD = 3, 1
 UNKNOWN = "und"
@@ -132,13 +135,16 @@ def learn(docs: DataFrame) -> Model | None:
     """A model from labelled documents that aren't held out: for each language the document with the smallest hash in each
     of DOCS ranges of hashes, so the choice is spread over the whole table and costs one pass of partial minima."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    keyed = labelled.select("lang", F.xxhash64("doc_id").alias("h"), "text")
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    langs = [r.lang for r in counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    bound = min(SAMPLE, ALL_SAMPLES // max(1, len(langs)))
+    keyed = labelled.where(F.col("lang").isin(langs)).select("lang", F.xxhash64("doc_id").alias("h"), "text")
     picks = keyed.groupBy("lang", F.pmod("h", F.lit(DOCS)).alias("range")).agg(F.min("h").alias("h")).select("lang", "h")
     rows = keyed.join(F.broadcast(picks), ["lang", "h"]).select("lang", "h", F.substring("text", 1, TAKE).alias("text")).collect()  # DOCS texts a language
     samples: dict[str, bytes] = {}
     for lang, _, text in sorted(rows):
         have = samples.get(lang, b"")
-        samples[lang] = (have + b"\n" + text.encode())[:SAMPLE]
+        samples[lang] = (have + b"\n" + text.encode())[:bound]
     return Model(samples) if samples else None
 
 
