@@ -1,13 +1,14 @@
 """Similarity join of documents on their sets of word n-grams.
 
-Sets are ordered rarest n-gram first (frequencies from a fixed-size count sketch over all documents, ties by hash: any
-fixed total order is right, a good one is fast). Two sets of Jaccard similarity t share an n-gram among the first
-n - ceil(t * n) + 1 of each, so only those prefixes are joined. Candidate pairs pass a length, a positional and a suffix
-filter (counts of the whole sets by hash range bound their difference) and are then verified once, on the sets.
+Sets are ordered rarest n-gram first: by how many groups of documents hold it (counted exactly over all documents, in a round
+of `rounds.ask`, on 40 bits of its hash), then by hash. Any fixed total order is right; a good one is fast. Two sets of
+Jaccard similarity t share an n-gram among the first n - ceil(t * n) + 1 of each, so only those prefixes are joined. Candidate
+pairs pass a length, a positional and a suffix filter (counts of the whole sets by hash range bound their difference) and are
+then verified once, on the sets.
 
-Prefix n-grams that one set alone holds are dropped first, in a round of `rounds.ask`. Sets are then joined to the smallest
-and largest set of each remaining n-gram; sets already in one component need no further comparison. What stays apart is
-compared pair by pair, which is exact: every pair that shares a prefix n-gram is verified or known to be connected.
+Prefix n-grams that one set alone holds are dropped at once. Sets are then joined to the smallest and largest set of each
+remaining n-gram; sets already in one component need no further comparison. What stays apart is compared pair by pair, which
+is exact: every pair that shares a prefix n-gram is verified or known to be connected.
 
 Defined cases: words are lower-cased over A-Z only; fewer words than an n-gram make one n-gram of all of them; null, empty
 or blank texts have an empty set and are linked with nothing; equal sets are one class; rows with the same doc_id and other
@@ -17,7 +18,7 @@ texts are separate sets; a null doc_id is kept, with the smallest id of its comp
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,15 @@ from .scratch import Scratch, components
 
 N = 5
 PERCENT = 80
-SKETCH_BITS = 19  # counters of the frequency sketch, 2 MB in all
-CHUNK_BITS = 13
+#: n-grams are counted by this many bits of their hash, in classes of how many groups hold them
+COUNT_BITS = 40
+CLASSES = (2, 4, 16, 64)
 
-_DOC = "doc_id bigint, n bigint, sid bigint, toks array<bigint>, pos array<int>, bins array<int>, grams binary"
+BIN_BITS = 4  # sets are counted by 2**BIN_BITS ranges of hashes for the suffix filter
+PROGRESS = 0.1  # of the sets that stay apart, for another round of ends
+FILTER_BITS = 20  # bits of the filter that spares most texts a join
+
+_DOC = "doc_id bigint, n bigint, sid bigint, toks array<bigint>, pos array<int>, bins array<int>"
 
 
 def need(n: int | np.ndarray, percent: int):
@@ -50,30 +56,8 @@ def gram_sets(data: np.ndarray, cut: np.ndarray, n: int) -> Iterator[np.ndarray]
             yield K.mix(K.runs(w.hash[a:b], b - a) + K.U(b - a)) if b > a else np.zeros(0, K.U)
 
 
-def frequency_sketch(docs: DataFrame, n: int = N) -> np.ndarray:
-    """Counts of n-grams by the first SKETCH_BITS of their hash: a fixed number of counters, whatever the input."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            data, off = K.as_bytes(batch.column("text"))
-            for _, _, part, cut in K.slices(data, off):
-                keys = np.concatenate([np.zeros(0, K.U), *gram_sets(part, cut, n)])
-                total += np.bincount((keys >> K.U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        rows = [(c, at, part[at]) for c, part in enumerate(total.reshape(-1, 1 << CHUNK_BITS)) if len(at := np.flatnonzero(part))]
-        yield pa.record_batch([pa.array([c for c, *_ in rows], pa.int32()), pa.array([K.pack(at.astype(np.uint16)) for _, at, _ in rows], pa.binary()), pa.array([K.pack(v) for *_, v in rows], pa.binary())], names=["chunk", "at", "counts"])
-
-    def add(rows: pa.Table) -> pa.Table:
-        total = np.zeros(1 << CHUNK_BITS, np.int64)
-        for at, counts in zip(rows["at"].to_pylist(), rows["counts"].to_pylist(), strict=True):
-            total[K.unpack(at, np.uint16)] += K.unpack(counts, np.int64)
-        return pa.table({"chunk": rows["chunk"][:1], "counts": pa.array([total.astype(np.uint32).tobytes() if total.max() < 1 << 32 else np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())})
-
-    sums = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "chunk int, at binary, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
-    out = np.zeros((1 << SKETCH_BITS >> CHUNK_BITS, 1 << CHUNK_BITS), np.uint32)
-    for chunk, counts in sums.collect():  # 64 rows of 32 KB
-        out[chunk] = np.frombuffer(counts, np.uint32)
-    return out.ravel()
+def set_id(grams: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(grams.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _sets(rows: pa.Table, n: int) -> list[np.ndarray]:
@@ -81,73 +65,92 @@ def _sets(rows: pa.Table, n: int) -> list[np.ndarray]:
     return [s for _, _, part, cut in K.slices(data, off) for s in gram_sets(part, cut, n)]
 
 
+def _counted(sets: Iterable[np.ndarray]) -> np.ndarray:
+    """The distinct keys under which the n-grams of some sets are counted."""
+    return np.unique(np.concatenate([np.zeros(0, K.U), *sets]) & ~K.U((1 << (64 - COUNT_BITS)) - 1))
+
+
 def prepare(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n (set size), and for the sets that share a prefix n-gram with another: sid, and once in each group the shared
-    prefix n-grams, their places, counts of the set by hash range, and the set itself."""
-    sketch = docs.sparkSession.sparkContext.broadcast(frequency_sketch(docs, n))
+    prefix n-grams, their places, and counts of the set by hash range."""
     groups = R.grouped(docs, F.col("text").cast("string").alias("text"))
 
-    def distinct(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, dict[int, int]]:
-        """All sets, their ids, and the row of the smallest doc_id with each id."""
+    def send(rows: pa.Table, _: dict) -> R.Keys:
+        return {1: (_counted(_sets(rows, n)), None)}
+
+    def answer(kind, keys, senders, vals):
+        held = R.run_sizes(keys)
+        return {i: held >= least for i, least in enumerate(CLASSES)}
+
+    def keep(rows: pa.Table, box: R.Box) -> pa.Table:
         sets, ids = _sets(rows, n), K.ints(rows["doc_id"])
-        sid = np.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in sets], np.int64)
-        first: dict[int, int] = {}
+        sid = np.array([set_id(s) for s in sets], np.int64)
+        first: dict[int, int] = {}  # of each set, the row of the smallest doc_id
         for i in np.argsort(ids, kind="stable").tolist():
             if len(sets[i]):
                 first.setdefault(int(sid[i]), i)
-        return sets, sid, first
-
-    def ordered(s: np.ndarray) -> np.ndarray:
-        """The set's prefix, rarest first."""
-        count = sketch.value[(s >> K.U(64 - SKETCH_BITS)).astype(np.int64)]
-        k = len(s) - need(len(s), percent) + 1
-        if k < len(s):
-            low = count <= np.partition(count, k - 1)[k - 1]
-            s, count = s[low], count[low]
-        return s[np.argsort(count, kind="stable")[:k]]  # s is sorted, so ties are in the order of the hashes
-
-    def send(rows: pa.Table, _: dict) -> R.Keys:
-        sets, _, first = distinct(rows)
-        return {1: (np.unique(np.concatenate([np.zeros(0, K.U), *(ordered(sets[i]) for i in first.values())])), None)}
-
-    def keep(rows: pa.Table, box: dict) -> pa.Table:
-        sets, sid, first = distinct(rows)
-        prefix = {i: ordered(sets[i]) for i in first.values()}
+        keys = _counted(sets)
+        classes = sum((box.mask(i, keys).astype(np.int8) for i in range(len(CLASSES))), np.zeros(len(keys), np.int8))
+        prefix, shared = {}, {}
+        for i in first.values():
+            s = sets[i]
+            held = classes[np.searchsorted(keys, s & ~K.U((1 << (64 - COUNT_BITS)) - 1))]
+            order = np.argsort(held, kind="stable")[: len(s) - need(len(s), percent) + 1]  # s is sorted: ties by hash
+            prefix[i], shared[i] = s[order], held[order] > 0
         _, twice = K.unique_many(np.concatenate([np.zeros(0, K.U), *prefix.values()]))
-        known = np.union1d(box.get(1, np.zeros(0, K.U)), twice)
         copies = np.isin(sid, [s for s, c in zip(*np.unique(sid, return_counts=True), strict=True) if c > 1])
-        out: dict[str, list] = {c: [] for c in ("sid", "toks", "pos", "bins", "grams")}
+        out: dict[str, list] = {c: [] for c in ("sid", "toks", "pos", "bins")}
         for i, s in enumerate(sets):
-            row: list = [None] * 5
+            row: list = [None] * 4
             if len(s):
-                head = prefix[first[int(sid[i])]]
-                at = np.flatnonzero(K.member(head, known))
+                head = first[int(sid[i])]
+                at = np.flatnonzero(shared[head] | K.member(prefix[head], twice))
                 if len(at) or copies[i]:
                     row[0] = int(sid[i])
-                if len(at) and i in prefix:
-                    row[1:] = [head[at].view(np.int64), at.astype(np.int32), np.bincount((s >> K.U(60)).astype(np.int64), minlength=16).astype(np.int32), s.tobytes()]
+                if len(at) and i == head:
+                    row[1:] = [prefix[i][at].view(np.int64), at.astype(np.int32), np.bincount((s >> K.U(64 - BIN_BITS)).astype(np.int64), minlength=1 << BIN_BITS).astype(np.int32)]
             for c, v in zip(out, row, strict=True):
                 out[c].append(v)
-        kinds = {"sid": pa.int64(), "toks": pa.list_(pa.int64()), "pos": pa.list_(pa.int32()), "bins": pa.list_(pa.int32()), "grams": pa.binary()}
+        kinds = {"sid": pa.int64(), "toks": pa.list_(pa.int64()), "pos": pa.list_(pa.int32()), "bins": pa.list_(pa.int32())}
         return pa.table({"doc_id": rows["doc_id"].cast(pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), **{c: pa.array(v, kinds[c]) for c, v in out.items()}})
 
-    return R.finish(groups, R.ask(groups, None, send, R.shared), keep, _DOC)
+    return R.finish(groups, R.ask(groups, None, send, answer, masks=True), keep, _DOC)
 
 
 def _passes(percent: int) -> Column:
-    """Length, positional and suffix filter for a pair (x smaller, y larger) that shares an n-gram at px and py."""
-    nx, ny = F.col("x.n"), F.col("y.n")
-    overlap = F.ceil((nx + ny) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9))
-    room = 1 + F.least(nx - F.col("x.p") - 1, ny - F.col("y.p") - 1)
-    apart = F.aggregate(F.zip_with("x.bins", "y.bins", lambda a, b: F.abs(a - b)), F.lit(0), lambda s, d: s + d)
-    return (nx * 100 >= ny * percent) & (room >= overlap) & (apart <= nx + ny - 2 * overlap)
-
+    """Length, positional and suffix filter for sets u and v that share an n-gram at u.p and v.p. All of it is plain
+    arithmetic, so that a join can test it before it makes a row."""
+    n, m = F.col("u.n"), F.col("v.n")
+    overlap = F.ceil((n + m) * F.lit(percent) / F.lit(100 + percent) - F.lit(1e-9))  # n-grams that they must share
+    room = 1 + F.least(n - F.col("u.p") - 1, m - F.col("v.p") - 1)
+    apart = sum((F.abs(F.col(f"u.b{i}") - F.col(f"v.b{i}")) for i in range(1 << BIN_BITS)), F.lit(0))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (room >= overlap) & (apart <= n + m - 2 * overlap)
+
+
+def _pairs(met: DataFrame, percent: int) -> DataFrame:
+    """Distinct candidate pairs from rows with two structs u and v (n, sid, p, b0, b1, ...)."""
+    near = met.where("u.sid <> v.sid").where(_passes(percent))
+    return near.select(F.least("u.sid", "v.sid").alias("a"), F.greatest("u.sid", "v.sid").alias("b")).distinct()
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """sid and grams of the sets wanted (sid, doc_id), made again from their texts. A bit for each hash of a wanted doc_id
+    keeps most other texts out; its size is fixed, and the join after it is exact."""
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[[r[0] for r in wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).cast("int")).distinct().collect()]] = True
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            batch = batch.filter(pa.array(bits[batch.column("h").to_numpy()]))
+            data, off = K.as_bytes(batch.column("text"))
+            for a, b, part, cut in K.slices(data, off):
+                sets = list(gram_sets(part, cut, n))
+                yield pa.record_batch([batch.column("doc_id")[a:b], pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "sid", "grams"])
 
-def _pairs(left: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs from rows with two structs (n, sid, p, bins) u and v."""
-    first = F.struct("u.n", "u.sid") < F.struct("v.n", "v.sid")
-    both = left.where("u.sid <> v.sid").select(F.when(first, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(first, F.col("v")).otherwise(F.col("u")).alias("y"))
-    return both.where(_passes(percent)).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(1 << FILTER_BITS)).cast("int").alias("h"))
+    return texts.mapInArrow(make, "doc_id bigint, sid bigint, grams binary").join(wanted, ["doc_id", "sid"]).dropDuplicates(["sid"]).select("sid", "grams")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -164,17 +167,37 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(check, "a bigint, b bigint, ok boolean")
 
 
+def _joined(roots: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """sid, root after more links (a, b): only what they join anew is contracted."""
+    if roots is None:
+        return components(links, scratch).select(F.col("node").alias("sid"), "root")
+    a, b = (roots.select(F.col("sid").alias(c), F.col("root").alias(f"{c}_root")) for c in "ab")
+    ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    more = components(ends, scratch)
+    up = more.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    moved = roots.join(up, "root", "left").select("sid", F.coalesce("next", "root").alias("root"))
+    return scratch.save(moved.unionByName(more.select(F.col("node").alias("sid"), "root")))
+
+
 def ngram_jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set) of every row of docs (doc_id, text)."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.save(prepare(docs, n, percent))
     reps = scratch.save(rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep")))
     one = rows.where("toks is not null").join(reps.where("rep is not null").select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"], "left_semi")
-    sets = scratch.save(one.select("sid", "n", "toks", "pos", "bins", "grams"))
-    posts = sets.select("sid", F.struct("n", "sid", "bins").alias("s"), F.explode(F.arrays_zip("toks", "pos")).alias("t"))
-    posts = scratch.save(posts.select("sid", F.col("t.toks").alias("tok"), F.struct("s.n", "s.sid", F.col("t.pos").alias("p"), "s.bins").alias("e")))
+    one = scratch.save(one.dropDuplicates(["sid"]).select("sid", "n", "toks", "pos", "bins"))
+    counts = [F.get("bins", F.lit(i)).alias(f"b{i}") for i in range(1 << BIN_BITS)]
+    posts = one.select("sid", "n", "bins", F.explode(F.arrays_zip("toks", "pos")).alias("t"))
+    posts = scratch.save(posts.select("sid", F.col("t.toks").alias("tok"), F.struct("n", "sid", F.col("t.pos").alias("p"), *counts).alias("e")))
     total = posts.count()
-    links = roots = tried = None
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.save(pairs)
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps, "sid").select("sid", F.col("rep").alias("doc_id"))
+        return scratch.save(_verify(pairs, scratch.save(_sets_of(docs, ids, n)), percent))
+
+    roots = tried = None
+    new = 1
     while True:
         if roots is None:
             apart = posts.withColumn("root", F.col("sid"))
@@ -189,28 +212,21 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
                 break
             apart = scratch.save(apart.join(lists, "tok"))
             few = apart.where("root <> top")
-            if volume <= 4 * total or not new:
+            if volume <= 4 * total or new < PROGRESS * few.select("sid").distinct().count():
                 pairs = few.select("tok", "root", F.col("e").alias("u")).join(apart.select("tok", F.col("root").alias("other"), F.col("e").alias("v")), "tok").where("root <> other")
-                checked = scratch.save(_verify(_pairs(pairs, percent).join(tried, ["a", "b"], "left_anti"), sets, percent))
-                links = links.unionByName(checked.where("ok").select("a", "b"))
-                roots = components(links, scratch).select(F.col("node").alias("sid"), "root")
+                roots = _joined(roots, verified(_pairs(pairs, percent).join(tried, ["a", "b"], "left_anti")).where("ok"), scratch)
                 break
         ends = scratch.save(few.groupBy("tok").agg(F.min(F.struct("e", "root")).alias("lo"), F.max(F.struct("e", "root")).alias("hi")))
         met = apart.select("tok", "root", F.col("e").alias("u")).join(ends, "tok").select("root", "u", F.explode(F.array("lo", "hi")).alias("end"))
         pairs = _pairs(met.where("root <> end.root").select("u", F.col("end.e").alias("v")), percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        checked = scratch.save(_verify(pairs, sets, percent))
+        checked = verified(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
         found = checked.where("ok").select("a", "b")
-        new = found.limit(1).count()
-        links = found if links is None else links.unionByName(found)
-        if roots is None or new:
-            roots = components(links, scratch).select(F.col("node").alias("sid"), "root")
+        new = found.count()
+        roots = _joined(roots, found, scratch)
     named = scratch.save(reps.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
     lowest = scratch.save(named.groupBy("root").agg(F.min("rep").alias("component_id")))
     named = scratch.save(named.join(lowest, "root").select("sid", "rep", "component_id"))
     alone = rows.where("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
     joined = rows.where("sid is not null").select("doc_id", "n", "sid").join(named, "sid", "left")
-    out = scratch.save(alone.unionByName(joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("rep").alias("class_id"))))
-    return out
+    return scratch.save(alone.unionByName(joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("rep").alias("class_id"))))
