@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -19,6 +20,12 @@ _KEEPING = re.compile(rb"\s*\S+|\s+")
 _DROPPING = re.compile(rb"\S+")
 #: UTF-8 of U+0085 U+00A0 U+1680 U+2000-200A U+2028 U+2029 U+202F U+205F U+3000
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+#: Letters of ASCII and Latin-1 after one space at most, then marks to the end, or all that after one line end or tab: each
+#: part is a step of its own in either pre-tokenizer.
+_WORD = re.compile(rb"([\n\t]?)( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,*#$%&!?;:]*)")
+#: The byte alphabet of byte-level BPE: printable bytes of Latin-1 stand for themselves, the others for U+0100 and on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_ALPHABET = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - _PRINTABLE))}
 
 
 class Encoder(dict):
@@ -29,7 +36,8 @@ class Encoder(dict):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.dtype = np.dtype("=u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "=u4")
+        self.kind = {2: "H", 4: "I"}[self.dtype.itemsize]
         pre = spec.get("pre_tokenizer") or {}
         steps = pre.get("pretokenizers", [pre])
         shape = [s.get("type") for s in steps]
@@ -43,12 +51,26 @@ class Encoder(dict):
 
     def whole(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.kind, ids).tobytes()
+
+    def word(self, piece: bytes) -> bytes:
+        """Ids of letters alone, which are one step of the pre-tokenizer: straight from the merges."""
+        if self.pieces is _DROPPING:
+            piece = piece.decode().lower().encode()
+        return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(piece.decode("latin-1").translate(_ALPHABET))]).tobytes()
 
     def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= CACHE_PIECES:
             self.clear()
-        ids = self.whole(piece)
+        parts = _WORD.fullmatch(piece)
+        if not parts:
+            ids = self.whole(piece)
+        elif parts[1] and parts[2].startswith(b" "):
+            ids = self.whole(piece)
+        elif parts[1] or parts[3]:
+            ids = b"".join(self[p] for p in parts.groups() if p)
+        else:
+            ids = self.word(piece)
         if len(piece) <= 64:
             self[piece] = ids
         return ids
