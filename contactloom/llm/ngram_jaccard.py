@@ -147,24 +147,17 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             data, off = K.as_bytes(batch.column("text"))
             for a, b, part, cut in K.slices(data, off):
                 sets = list(gram_sets(part, cut, n))
-                yield pa.record_batch([batch.column("doc_id")[a:b], pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "sid", "grams"])
+                yield pa.record_batch([batch.column("doc_id")[a:b], pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "sid", "grams"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(1 << FILTER_BITS)).cast("int").alias("h"))
-    return texts.mapInArrow(make, "doc_id bigint, sid bigint, grams binary").join(wanted, ["doc_id", "sid"]).dropDuplicates(["sid"]).select("sid", "grams")
+    return texts.mapInArrow(make, "doc_id bigint, sid bigint, grams array<bigint>").join(wanted, ["doc_id", "sid"]).dropDuplicates(["sid"]).select("sid", "grams")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("ga"), batch.column("gb"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), K.U) for v in (x, y))
-                both = int(K.member(x, y).sum())
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
-
+    """a, b and whether they link, from the sets themselves."""
     of = lambda c: sets.select(F.col("sid").alias(c), F.col("grams").alias(f"g{c}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").mapInArrow(check, "a bigint, b bigint, ok boolean")
+    both = F.size(F.array_intersect("ga", "gb"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", (both * 100 >= (F.size("ga") + F.size("gb") - both) * percent).alias("ok"))
 
 
 def _joined(roots: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
