@@ -167,7 +167,7 @@ def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
             data, off = K.as_bytes(batch.column("text"))
             names: list[str] = []
             scores: list[float] = []
-            for a, b, part, cut in K.slices(data, off, 4 * K.SLICE_BYTES):
+            for a, b, part, cut in K.slices(data, off, 16 * K.SLICE_BYTES):
                 raw = part.tobytes()
                 bits = model.entropy(part, cut) if model else np.zeros((1, b - a))
                 best = bits.argmin(0)

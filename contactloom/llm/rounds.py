@@ -108,6 +108,8 @@ def _visit(rows: pa.Table, mail: pa.Table | None, bits: int) -> Iterator[tuple[i
         own = rows.filter(pa.array(groups == g))
         # a shuffle may be read in any order: flags over places need one order in every round
         yield g, own.take(pc.sort_indices(own, sort_keys=[("doc_id", "ascending"), ("text", "ascending")])), box
+        del own
+        pa.default_memory_pool().release_unused()
 
 
 def ask(groups: DataFrame, got: DataFrame | None, send: Callable[[pa.Table, Box], Keys], answer: Callable[[int, np.ndarray, np.ndarray, np.ndarray | None], dict[int, np.ndarray]], masks: bool = False) -> DataFrame:
