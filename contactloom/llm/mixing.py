@@ -83,3 +83,10 @@ def mixed(docs: DataFrame, weights: dict[str, int] | None = None, block: int = B
         return docs
     taken = rows.where(F.col("mix_slot") < periods * total).select(F.col("doc_id").alias("taken"))
     return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken")), "left_semi")
+
+
+def ordered(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
+    """Every row of docs with all its columns, and its mix_slot and mix_position: in their order the target weights hold for
+    as long as every source has blocks; a surplus follows in later periods. No row is left out."""
+    rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("mix_row"))
+    return schedule(rows, weights, block, ("doc_id", "mix_row")).select("mix_row.*", "mix_slot", "mix_position")

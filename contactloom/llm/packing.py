@@ -74,8 +74,9 @@ def curve_keys(data: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return hilbert(np.clip(place.astype(np.int64), 0, (1 << BITS) - 1))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and ids (packed) of every piece of docs (doc_id, text)."""
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (packed) and the kept columns of every piece of
+    docs (doc_id, text)."""
     scratch = Scratch(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,12 +88,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
                 raw = part.tobytes()
                 ids = [enc.encode(raw[cut[i] : cut[i + 1]]) + end for i in range(b - a)]
                 yield pa.record_batch(
-                    [batch.column("doc_id")[a:b], pa.array(curve_keys(part, cut)), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())],
-                    names=["doc_id", "key", "n", "ids"],
+                    [batch.column("doc_id")[a:b], pa.array(curve_keys(part, cut)), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary()), *(batch.column(c)[a:b] for c in keep)],
+                    names=["doc_id", "key", "n", "ids", *keep],
                 )
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = texts.mapInArrow(encode, "doc_id bigint, key bigint, n bigint, ids binary").withColumn("row", F.monotonically_increasing_id())
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    encoded = texts.mapInArrow(encode, "doc_id bigint, key bigint, n bigint, ids binary" + kept).withColumn("row", F.monotonically_increasing_id())
     encoded.write.option("compression", "zstd").parquet(path := scratch.path())
     encoded = docs.sparkSession.read.parquet(path)
 
@@ -115,7 +117,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
         dtype = encoder(tokenizer).dtype
         for batch in batches:
             out: dict[str, list] = {n: [] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")}
+            pieces = []  # of each row
             for doc, packed, before, part in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "ids", "before", "part")), strict=True):
+                made = len(out["doc_id"])
                 ids, at, place = ids32(packed, dtype), 0, sums[part] + before
                 while at < len(ids):
                     n = min(len(ids) - at, length - place % length)
@@ -123,7 +127,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
                     for c, v in zip(out, (doc, at, n, zlib.crc32(piece), len(ids), place // length, place % length, piece), strict=True):
                         out[c].append(v)
                     at, place = at + n, place + n
-            yield pa.record_batch([pa.array(v, pa.binary() if c == "ids" else pa.int64()) for c, v in out.items()], names=list(out))
+                pieces.append(len(out["doc_id"]) - made)
+            of = pa.array(np.repeat(np.arange(len(pieces)), pieces))
+            yield pa.record_batch([*(pa.array(v, pa.binary() if c == "ids" else pa.int64()) for c, v in out.items()), *(batch.column(c).take(of) for c in keep)], names=[*out, *keep])
 
-    placed = encoded.select("doc_id", "row", "ids").join(order.select("row", "before", "part"), "row")
-    return placed.mapInArrow(cut_pieces, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
+    placed = encoded.select("doc_id", "row", "ids", *keep).join(order.select("row", "before", "part"), "row")
+    return placed.mapInArrow(cut_pieces, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary" + kept)

@@ -137,6 +137,23 @@ def test_schedule_is_fair(spark):
     assert mixing.mixed(frame(spark).limit(0), weights).count() == 0
 
 
+def test_the_mix_of_the_pipeline_loses_no_document(spark):
+    import corpus_pipeline
+
+    rows = [(i if i % 50 else None, f"text {i}", "en", None if i == 7 else f"src{i % 20}", i, "x") for i in range(600)]  # one row without source
+    got = corpus_pipeline.source_mix(spark, ship(spark).createDataFrame(rows, SCHEMA).repartition(3), "").collect()
+    assert sorted(r.key for r in got) == list(range(600))
+    assert {r.key: tuple(r[:6]) for r in got} == {r[4]: r for r in rows}
+    assert len({r.mix_position for r in got}) == 600
+    total, place = sum(mixing.WEIGHTS.values()), {(s, j): slot for s, j, slot in mixing.period(mixing.WEIGHTS)}
+    for s, w in mixing.WEIGHTS.items():
+        at = sorted(r.mix_position for r in got if (r.source or mixing.REST) == s)
+        blocks = [i // mixing.BLOCK for i in range(len(at))]
+        assert at == [(b // w * total + place[s, b % w]) * mixing.BLOCK + i % mixing.BLOCK for i, b in enumerate(blocks)]
+    packed = corpus_pipeline.packing(spark, ship(spark).createDataFrame(got, SCHEMA + ", mix_slot bigint, mix_position bigint"), "").collect()
+    assert {(r.doc_id, r.mix_slot, r.mix_position) for r in packed} == {(r.doc_id, r.mix_slot, r.mix_position) for r in got}
+
+
 def vectors(spark, n=1500, d=6):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((n, d)).round(1)
