@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), links=True)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ then verified once, on the sets.
 
 Prefix n-grams that one set alone holds are dropped at once. Sets are then joined to the smallest and largest set of each
 remaining n-gram; sets already in one component need no further comparison. What stays apart is compared pair by pair, which
-is exact: every pair that shares a prefix n-gram is verified or known to be connected.
+is exact: every pair that shares a prefix n-gram is verified or known to be connected. Where the links themselves are asked
+for, every candidate pair is verified instead, and components are made of the links.
 
 Defined cases: words are lower-cased over A-Z only; fewer words than an n-gram make one n-gram of all of them; null, empty
 or blank texts have an empty set and are linked with nothing; equal sets are one class; rows with the same doc_id and other
@@ -35,6 +36,7 @@ CLASSES = (2, 4, 16, 64)
 
 BIN_BITS = 4  # sets are counted by 2**BIN_BITS ranges of hashes for the suffix filter
 PROGRESS = 0.1  # of the sets that stay apart, for another round of ends
+LONG, BLOCKS = 64, 8  # posting lists longer than LONG are dealt into blocks
 FILTER_BITS = 20  # bits of the filter that spares most texts a join
 
 _DOC = "doc_id bigint, n bigint, sid bigint, toks array<bigint>, pos array<int>, bins array<int>"
@@ -133,6 +135,18 @@ def _pairs(met: DataFrame, percent: int) -> DataFrame:
     return near.select(F.least("u.sid", "v.sid").alias("a"), F.greatest("u.sid", "v.sid").alias("b")).distinct()
 
 
+def _all_pairs(posts: DataFrame, percent: int) -> DataFrame:
+    """Distinct candidate pairs of all posting lists (tok, e). A list is dealt into BLOCKS by set, and each two of its blocks
+    meet in a cell of their own, so a long list is spread over many tasks."""
+    block = F.pmod(F.xxhash64("e.sid"), F.lit(BLOCKS)).cast("int")
+    sizes = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    dealt = posts.join(sizes, "tok").withColumn("block", F.when(F.col("k") > LONG, block).otherwise(0))
+    others = F.explode(F.when(F.col("k") > LONG, F.sequence(F.lit(0), F.lit(BLOCKS - 1))).otherwise(F.array(F.lit(0))))
+    u = dealt.select("tok", F.col("block").alias("x"), others.alias("y"), F.col("e").alias("u"))
+    v = dealt.select("tok", others.alias("x"), F.col("block").alias("y"), F.col("e").alias("v"))
+    return _pairs(u.join(v, ["tok", "x", "y"]).where("u.sid < v.sid"), percent)
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """sid and grams of the sets wanted (sid, doc_id), made again from their texts. A bit for each hash of a wanted doc_id
     keeps most other texts out; its size is fixed, and the join after it is exact."""
@@ -150,7 +164,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 yield pa.record_batch([batch.column("doc_id")[a:b], pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "sid", "grams"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(1 << FILTER_BITS)).cast("int").alias("h"))
-    return texts.mapInArrow(make, "doc_id bigint, sid bigint, grams array<bigint>").join(wanted, ["doc_id", "sid"]).dropDuplicates(["sid"]).select("sid", "grams")
+    return texts.mapInArrow(make, "doc_id bigint, sid bigint, grams array<bigint>").join(wanted.withColumnsRenamed({"doc_id": "rep", "sid": "set"}), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("sid") == F.col("set"))).dropDuplicates(["sid"]).select("sid", "grams")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -172,13 +186,14 @@ def _joined(roots: DataFrame | None, links: DataFrame, scratch: Scratch) -> Data
     return scratch.save(moved.unionByName(more.select(F.col("node").alias("sid"), "root")))
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set) of every row of docs (doc_id, text)."""
+def ngram_jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, links: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set) of every row of docs (doc_id, text).
+    With links also n_links, the number of other rows that are similar enough; then every candidate pair is verified once,
+    inside a component too."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.save(prepare(docs, n, percent))
-    reps = scratch.save(rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep")))
-    one = rows.where("toks is not null").join(reps.where("rep is not null").select("sid", F.col("rep").alias("doc_id")), ["sid", "doc_id"], "left_semi")
-    one = scratch.save(one.dropDuplicates(["sid"]).select("sid", "n", "toks", "pos", "bins"))
+    reps = scratch.save(rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    one = scratch.save(rows.where("toks is not null").dropDuplicates(["sid"]).select("sid", "n", "toks", "pos", "bins"))
     counts = [F.get("bins", F.lit(i)).alias(f"b{i}") for i in range(1 << BIN_BITS)]
     posts = one.select("sid", "n", "bins", F.explode(F.arrays_zip("toks", "pos")).alias("t"))
     posts = scratch.save(posts.select("sid", F.col("t.toks").alias("tok"), F.struct("n", "sid", F.col("t.pos").alias("p"), *counts).alias("e")))
@@ -189,9 +204,12 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps, "sid").select("sid", F.col("rep").alias("doc_id"))
         return scratch.save(_verify(pairs, scratch.save(_sets_of(docs, ids, n)), percent))
 
-    roots = tried = None
+    roots = tried = linked = None
     new = 1
-    while True:
+    if links:
+        linked = verified(_all_pairs(posts, percent)).where("ok").select("a", "b")
+        roots = _joined(None, linked, scratch)
+    while not links:
         if roots is None:
             apart = posts.withColumn("root", F.col("sid"))
             few = apart
@@ -219,7 +237,13 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT) -> D
         roots = _joined(roots, found, scratch)
     named = scratch.save(reps.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
     lowest = scratch.save(named.groupBy("root").agg(F.min("rep").alias("component_id")))
-    named = scratch.save(named.join(lowest, "root").select("sid", "rep", "component_id"))
-    alone = rows.where("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"))
-    joined = rows.where("sid is not null").select("doc_id", "n", "sid").join(named, "sid", "left")
-    return scratch.save(alone.unionByName(joined.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("rep").alias("class_id"))))
+    named = scratch.save(named.join(lowest, "root").select("sid", "rep", "component_id", "copies"))
+    out = ["doc_id", "n_shingles", "component_id", "class_id"]
+    if links:
+        ends = linked.select(F.col("a").alias("sid"), F.col("b").alias("other")).unionByName(linked.select(F.col("b").alias("sid"), F.col("a").alias("other")))
+        near = ends.join(reps.select(F.col("sid").alias("other"), "copies"), "other").groupBy("sid").agg(F.sum("copies").alias("near"))
+        named = scratch.save(named.join(near, "sid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("near", F.lit(0))))
+        out.append("n_links")
+    alone = rows.where("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    joined = rows.where("sid is not null").join(named, "sid", "left").withColumnsRenamed({"n": "n_shingles", "rep": "class_id"})
+    return scratch.save(alone.select(*out).unionByName(joined.select(*out)))

@@ -66,6 +66,25 @@ def test_ngram_jaccard(docs):
     assert got == {d: (len(s), root(d)) for d, s in sets.items()}
 
 
+def test_ngram_jaccard_links(spark):
+    """Every link inside a component counts, copies, null and repeated ids as well."""
+    found = [(d if i % 9 else None, t) for i, (d, t, *_) in enumerate(rows())] + [(None, "only without id " * 9 + "a b"), (None, "Only Without id " * 9 + "a b")]
+    long = [f"v{i}" for i in range(100)]
+    found += [(None, " ".join([*long, "x"])), (None, " ".join([*long, "y"]))]
+    sets = []
+    for _, t in found:
+        w = WORD.findall(bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set())
+    want = Counter()
+    for i, a in enumerate(sets):
+        n = sum(i != j and bool(a & b) and 100 * len(a & b) >= 80 * len(a | b) for j, b in enumerate(sets))
+        want[found[i][0], len(a), n] += 1
+    df = ship(spark).createDataFrame(found, "doc_id bigint, text string").repartition(5)
+    got = ngram_jaccard_join(df, links=True).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in got) == want
+    assert Counter((r.doc_id, r.component_id, r.class_id) for r in got) == Counter((r.doc_id, r.component_id, r.class_id) for r in ngram_jaccard_join(df).collect())
+
+
 def test_substring_dedup(docs):
     found = {d: WORD.findall((t or "").encode()) for d, t, *_ in rows()}
     low = {}
