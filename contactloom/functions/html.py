@@ -53,8 +53,11 @@ class _Reader(HTMLParser):
 
 def read_page(html: str | None) -> dict:
     reader = _Reader()
-    reader.feed(html or "")
-    reader.close()
+    try:
+        reader.feed(html or "")
+        reader.close()
+    except AssertionError:  # a declaration that the parser can't read; what came before it counts
+        pass
     return {"text": " ".join(reader.text), "links": reader.links, "cf": reader.cf}
 
 

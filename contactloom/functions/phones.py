@@ -44,6 +44,8 @@ PLAN = {
 
 #: What may be a number in running text: at least 7 digits with usual separators
 IN_TEXT = r"(?<![0-9A-Za-z@#/.\-])(?:\+|00)?[(0-9][0-9 ()./\-]{5,22}[0-9](?![0-9A-Za-z@#])"
+#: Four numbers up to 255 with dots: a network address
+DOTTED_QUAD = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])"
 SEPARATORS = r"[;/|]|\s{2,}|,(?=\s*\+)"
 _SHAPE = r"^\s*(?:tel:)?\s*(?:\+|00)?[0-9 ()./\-]{5,30}\s*$"
 
@@ -100,10 +102,15 @@ def without_tax_ids(text: Column) -> Column:
     return F.regexp_replace(text, "(?i)" + fixed.VAT, " ")
 
 
+def text_phones(text: Column, region: Column) -> Column:
+    """Valid numbers of running text in E.164, without tax numbers and network addresses."""
+    plain = F.regexp_replace(without_tax_ids(text), DOTTED_QUAD, " ")
+    seen = F.regexp_extract_all(plain, F.lit(IN_TEXT), F.lit(0))
+    return F.array_distinct(F.filter(F.transform(seen, lambda p: normalize_phone(p, region)["e164"]), lambda p: p.isNotNull()))
+
+
 def page_phones(page: Column, region: Column) -> Column:
     """tel: links as they are, then valid numbers of the visible text in E.164."""
     tel = F.filter(F.transform(page["links"], lambda x: x["href"]), lambda h: h.rlike("(?i)^tel:"))
     tel = F.transform(tel, lambda h: F.trim(F.substring(h, 5, 1 << 20)))
-    seen = F.regexp_extract_all(without_tax_ids(page["text"]), F.lit(IN_TEXT), F.lit(0))
-    valid = F.filter(F.transform(seen, lambda p: normalize_phone(p, region)["e164"]), lambda p: p.isNotNull())
-    return F.array_distinct(F.concat(tel, valid))
+    return F.array_distinct(F.concat(tel, text_phones(page["text"], region)))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import emails as E, fixed, html as H, listings as L, phones as P, urls as U
 from ..operators import enrich as N, history as Hist, merge as M, select as S
+from ..operators.tables import shared_path
 from ..sources import history as SH, listings as SL, pages as SP
 from . import inputs as I
 
@@ -42,6 +44,17 @@ def a1_map_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leads.select("seq", "name", "category", "address", "website", _text("raw_phones").alias("phones"), _text("raw_emails").alias("emails"), "lat", "lon", "map_url")
 
 
+@query
+def a1_mail_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several addresses in a tag, with digits and blanks at their ends, and websites with blanks."""
+    seq = F.col("seq").cast("string")
+    digit = (F.col("seq") % 10).cast("string")
+    listed = F.concat(F.lit("0info"), seq, F.lit("@x.it; b@x.it"), digit, F.lit(" ,"), digit, F.lit("c@x.it"))
+    tags = F.create_map(F.lit("name"), "name", F.lit("email"), listed, F.lit("contact:email"), F.concat(F.lit(" b@x.it"), digit, F.lit("; ")), F.lit("url"), F.concat(F.lit(" x.it/"), digit, F.lit(" ")))
+    rows = I.derived(spark, sf_dir, I.LEADS).select("seq", F.lit("node").alias("type"), F.col("seq").alias("id"), "lat", "lon", F.lit(None).cast("struct<lat:double,lon:double>").alias("center"), tags.alias("tags"))
+    return SL.from_elements(rows).select("seq", "website", _text("raw_emails").alias("emails"))
+
+
 @query
 def a2_place_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = I.derived(spark, sf_dir, I.LEADS)
@@ -66,10 +79,20 @@ def a4_readable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def a5_history_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs written and read back; the same as old files of one object each, one of them malformed."""
     rows = I.derived(spark, sf_dir, I.HISTORY)
     bad = rows.select(F.lit("unknown").alias("field"), "value").unionByName(rows.select("field", F.lit("").alias("value")))
-    good = F.col("field").isin(*SH.FIELDS) & (F.col("value") != "")
-    return rows.unionByName(rows).unionByName(bad).where(good).select("field", "value").distinct()
+    folder = shared_path(spark)
+    SH.save_history(rows, f"{folder}/runs", "r1")
+    SH.save_history(rows.unionByName(bad), f"{folder}/runs", "r2")
+    good, aside = SH.read_history(spark, f"{folder}/runs")
+    file = F.pmod(F.xxhash64("value"), F.lit(8))
+    objects = rows.where("field = 'phones'").distinct().groupBy(file.alias("file")).agg(F.to_json(F.struct(F.sort_array(F.collect_list("value")).alias("phones"))).alias("value"))
+    objects = objects.unionByName(spark.range(1).select(F.lit(8).cast("bigint").alias("file"), F.lit('{"ids": 7').alias("value")))
+    objects.write.partitionBy("file").text(f"{folder}/old")
+    old, broken = SH.read_legacy(spark, f"{folder}/old")
+    parts = {"runs": good, "runs aside": aside.select("field", "value"), "old": old, "old aside": broken.select(F.lit("").alias("field"), F.trim("value", F.lit("\n")).alias("value"))}
+    return reduce(DataFrame.unionByName, (df.select(F.lit(k).alias("origin"), "field", "value").distinct() for k, df in parts.items()))
 
 
 @query
@@ -110,8 +133,7 @@ def b12_b19_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def b13_document_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = I.table(spark, sf_dir, "documents").where(F.col("text").contains("@") | F.col("text").rlike(r"(?i)[\[({]\s*at"))
-    found = docs.select("doc_id", F.posexplode(E.clean_all(E.find_emails(E.deobfuscate(F.col("text"))))).alias("pos", "email"))
+    found = I.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(E.clean_all(E.find_emails(E.deobfuscate(F.col("text"))))).alias("pos", "email"))
     return found.select("doc_id", "email")
 
 
@@ -148,10 +170,10 @@ def b21_b22_verified_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def b23_document_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = I.table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}"))
-    seen = F.regexp_extract_all(P.without_tax_ids(F.col("text")), F.lit(P.IN_TEXT), F.lit(0))
-    valid = F.array_distinct(F.filter(F.transform(seen, lambda p: P.normalize_phone(p, F.lit("US"))["e164"]), lambda p: p.startswith("+1")))
-    return docs.select("doc_id", F.explode(valid).alias("phone"))
+    """Valid numbers of every text. The texts hold numbers of one format, which is all that the statement looks for: whatever
+    else the operator took for a number would show."""
+    docs = I.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.explode(P.text_phones(F.col("text"), F.lit("US"))).alias("phone"))
 
 
 @query

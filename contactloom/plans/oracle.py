@@ -116,6 +116,7 @@ QUALIFIES = "(phone <> '' or email <> '')"
 
 ORACLE: dict[str, str] = {
     "a1_map_elements": f"select seq, name, lower(category) as category, address, website, raw_phone as phones, raw_email as emails, lat, lon, 'https://www.openstreetmap.org/node/' || cast(seq as string) as map_url from ({LEADS})",
+    "a1_mail_lists": f"""select seq, 'x.it/' || seq % 10 as website, '0info' || seq || '@x.it; b@x.it' || seq % 10 || '; ' || seq % 10 || 'c@x.it' as emails from ({LEADS})""",
     "a2_place_records": f"""select seq, name, address, website, raw_phone as phones, lat, lon, 'maps/' || cast(seq % 500 as string) as map_url, 'Google Places' as source from ({LEADS})
       where seq % 10 <> 3 qualify row_number() over (partition by seq % 500 order by seq) = 1""",
     "a3_map_details": f"""select seq, case when seq % 4 = 0 then 'Listed ' || name else name end as name, raw_phone as phones,
@@ -124,7 +125,8 @@ ORACLE: dict[str, str] = {
       from ({MESSY}) where seq % 9 <> 1 and seq % 8 <> 0""",
     "a4_readable_pages": """select page_id, url, length(t) as n, md5(t) as digest from (select page_id, url, regexp_replace(html, '[^\\x00-\\x7F]', '?', 'g') as t from pages)
       where page_id % 7 <> 0 and page_id % 5 <> 0""",
-    "a5_history_read": f"select distinct field, value from ({HISTORY})",
+    "a5_history_read": f"""select distinct origin, field, value from ({HISTORY}), (values ('runs'), ('old')) o(origin)
+      union select 'runs aside', 'unknown', value from ({HISTORY}) union select 'runs aside', field, '' from ({HISTORY}) union select 'old aside', '', '{{"ids": 7'""",
     "a8_export_rows": f"""with {DELIVERED} select name, phone_display as phone, coalesce(nullif(email, ''), {NOTE}) as email, address,
       case when website <> '' then 'Yes' else 'No' end as website_present, website from leads""",
     "a9_a10_labels_and_cells": f"""select seq, substr(lower(regexp_replace(regexp_replace(region || '_' || url || '_É 1', '[^\\p{{L}}\\p{{N}}_\\-]+', '_', 'g'), '^_+|_+$', '', 'g')), 1, 80) as label,

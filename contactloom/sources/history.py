@@ -23,12 +23,15 @@ def _pairs(field: str) -> Column:
 
 
 def read_legacy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The same from a JSON object of arrays (ids, phones, …); malformed objects are set aside."""
+    """The same from files that hold a JSON object of arrays (ids, phones, …) each; malformed files are set aside as
+    (path, value), their text as it was."""
     shape = ", ".join(f"{f} array<string>" for f in FIELDS) + ", _corrupt_record string"
-    raw = spark.read.schema(shape).option("mode", "PERMISSIVE").option("multiLine", True).json(path)
-    pairs = F.flatten(F.array(*map(_pairs, FIELDS)))
-    good = raw.where("_corrupt_record is null").select(F.explode(pairs).alias("p")).select("p.field", "p.value").where("value <> ''").distinct()
-    return good, raw.where("_corrupt_record is not null").select("_corrupt_record")
+    files = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    raw = files.withColumn("j", F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    broken = F.col("j").isNull() | F.col("j._corrupt_record").isNotNull() | ~F.col("value").rlike(r"^\s*\{")
+    rows = raw.where(~broken).select("j.*")
+    good = rows.select(F.explode(F.flatten(F.array(*map(_pairs, FIELDS)))).alias("p")).select("p.field", "p.value").where("value <> ''").distinct()
+    return good, raw.where(broken).select("path", "value")
 
 
 def migrate(history: DataFrame) -> DataFrame:

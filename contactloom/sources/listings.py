@@ -33,8 +33,8 @@ def from_elements(elements: DataFrame, category: str | Column = "", city: str =
     return as_leads(
         elements.where(name != ""),
         name=name, category=F.lit(category) if isinstance(category, str) else category, city=F.lit(city), country=F.lit(country), address=L.address(t),
-        website=L.tag(t, "website", "contact:website", "url"), raw_phones=F.array_distinct(_present(t["phone"], t["contact:phone"], t["mobile"], t["contact:mobile"])),
-        raw_emails=F.array_distinct(F.filter(F.transform(emails, F.trim), lambda e: e != "")), socials=F.map_from_entries(social), lat=coord("lat"), lon=coord("lon"),
+        website=F.trim(L.tag(t, "website", "contact:website", "url")), raw_phones=F.array_distinct(_present(t["phone"], t["contact:phone"], t["mobile"], t["contact:mobile"])),
+        raw_emails=F.array_distinct(F.filter(F.transform(emails, lambda e: F.trim(e)), lambda e: e != "")), socials=F.map_from_entries(social), lat=coord("lat"), lon=coord("lon"),
         source=F.lit("OpenStreetMap"), map_url=ref,
     )
 

@@ -128,6 +128,35 @@ def test_cells(spark):
     assert one(spark, L.safe_filename(F.lit("São Paulo"), F.lit("Café & Bar!"))) == "são_paulo_café_bar"
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("host 55.148.143.52 and 8.8.8.8:80", []), ("call +1 (212) 555-0123 or 55.148.143.52", ["+12125550123"]), ("212.555.0123, (212) 555-0123", ["+12125550123"]),
+        ("a 4111 1111 1111 1111 b x2125550123 2125550123y", []), ("+49 30 123456; 020 7946 0958", ["+4930123456"]), ("VAT 2125550123", []), ("", []),
+    ],
+)
+def test_text_phones(spark, text, want):
+    assert one(spark, P.text_phones(F.lit(text), F.lit("US"))) == want
+
+
+def test_text_phones_of_whole_documents_against_python(spark):
+    """Candidates by Python's regular expressions, one match after the other, then one call for each of them."""
+    import re
+
+    docs = ship(spark).read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    vat, quad, number = (re.compile(p, f) for p, f in (("(?i)" + P.fixed.VAT, 0), (P.DOTTED_QUAD, 0), (P.IN_TEXT, 0)))
+    seen = [(r.doc_id, m[0]) for r in docs.collect() for m in number.finditer(quad.sub(" ", vat.sub(" ", r.text or "")))]
+    valid = spark.createDataFrame(seen, "doc_id bigint, raw string").select("doc_id", P.normalize_phone(F.col("raw"), F.lit("US"))["e164"].alias("phone")).where("phone is not null")
+    got = docs.select("doc_id", F.explode(P.text_phones(F.col("text"), F.lit("US"))).alias("phone"))
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in valid.collect()} and got.count()
+
+
+@pytest.mark.parametrize("broken", ["<![foo[x]]>", "<![ foo", "<!", "<!-- x", "<a href=", "&#x110000;", "<![CDATA[ y ]]>", "<!DOCTYPE [<!ENTITY"])
+def test_malformed_pages_keep_what_was_read(broken):
+    assert "before" in H.read_page(f'<p>before <a href="/contact">c</a> {broken} after')["text"]
+    assert H.read_page(f'<a href="/contact">c</a>{broken}')["links"][0]["href"] == "/contact"
+
+
 def test_pages_are_parsed_with_silent_scripts():
     assert H.read_page('a<script>b="</p>"</script><b>c<p>d<p>e')["text"].split() == ["a", "c", "d", "e"]
     assert H.read_page(None) == {"text": "", "links": [], "cf": []}

@@ -102,8 +102,12 @@ def test_history_tables(spark, tmp_path):
     assert SH.read_history(spark, path)[0].count() == 0
     (tmp_path / "old.json").write_text('{"ids": ["a"], "phones": ["+1", ""]}')
     (tmp_path / "bad.json").write_text('{"ids": 7')
+    (tmp_path / "list.json").write_text('["a"]')
+    (tmp_path / "number.json").write_text('{"ids": 7, "phones": ["+2"]}')
     assert {tuple(r) for r in SH.read_legacy(spark, str(tmp_path / "old.json"))[0].collect()} == {("ids", "a"), ("phones", "+1")}
-    assert SH.read_legacy(spark, str(tmp_path / "bad.json"))[1].count() == 1
+    for name in ("bad", "list", "number"):
+        good, aside = SH.read_legacy(spark, str(tmp_path / f"{name}.json"))
+        assert good.count() == 0 and [r.value for r in aside.collect()] == [(tmp_path / f"{name}.json").read_text()]
 
 
 def test_export_is_never_overwritten(spark, tmp_path):
@@ -117,11 +121,12 @@ def test_export_is_never_overwritten(spark, tmp_path):
 
 
 def test_elements_and_places(spark):
-    tags = {"name": " Bar ", "email": "a@x.it; b@x.it", "contact:phone": "1", "mobile": "2", "addr:street": "Via", "addr:housenumber": "1", "contact:facebook": "f"}
+    tags = {"name": " Bar ", "website": " x.it ", "email": "0a@x.it; b@x.it1", "contact:phone": "1", "mobile": "2", "addr:street": "Via", "addr:housenumber": "1", "contact:facebook": "f"}
     rows = [("node", 1, None, None, (1.0, 2.0), tags), ("way", 2, 0.0, 5.0, (3.0, 4.0), {"brand": "B"}), ("node", 3, 1.0, 1.0, None, {"amenity": "bar"})]
     got = SL.from_elements(spark.createDataFrame(rows, "type string, id bigint, lat double, lon double, center struct<lat:double,lon:double>, tags map<string,string>"), "bar").orderBy("map_url").collect()
     assert [(r.name, r.lat, r.lon) for r in got] == [("Bar", 1.0, 2.0), ("B", 3.0, 5.0)]
-    assert (got[0].raw_emails, got[0].raw_phones, got[0].address, got[0].socials) == (["a@x.it", "b@x.it"], ["1", "2"], "1 Via", {"facebook": "f"})
+    assert (got[0].raw_emails, got[0].raw_phones, got[0].address, got[0].socials) == (["0a@x.it", "b@x.it1"], ["1", "2"], "1 Via", {"facebook": "f"})
+    assert got[0].website == "x.it"
 
 
 def test_bodies_are_decoded(spark):
