@@ -29,6 +29,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE = mix(np.arange(1, 257, dtype=U) * U(0x9E3779B97F4A7C15))
+#: A value of its own for each byte at each of the first 64 places of a word, and an odd factor for each place of a run: a
+#: polynomial modulo 2**64 would give equal sums to some long patterns, whatever its base.
+PLACED = mix(np.arange(1, 64 * 256 + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(0x632BE59BD9B4E019))
+FACTORS = mix(np.arange(1, 257, dtype=U) * U(0xA0761D6478BD642F)) | U(1)
 BASE = U(0xD6E8FEB86659FD93)
 BASE_INV = U(pow(int(BASE), -1, 1 << 64))
 SPACE = np.zeros(256, bool)
@@ -114,9 +118,10 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = False) -> Words:
     at = np.flatnonzero(inner)  # words are exactly the inner bytes, in order
     begin = np.concatenate(([0], np.cumsum(length)[:-1]))
     within = np.arange(len(at)) - np.repeat(begin, length)
-    value = BYTE[data[at]] * powers(BASE, 1 << 16)[within & 0xFFFF]
-    if int(length.max()) > 1 << 16:
-        value ^= mix((within >> 16).astype(U))
+    value = PLACED[((within & 63) << 8) | data[at]]
+    if int(length.max()) > 64:
+        late = np.flatnonzero(within > 63)
+        value[late] = mix(value[late] + (within[late] >> 6).astype(U) * U(0x9E3779B97F4A7C15))
     h = mix(np.add.reduceat(value, begin) + length.astype(U))
     doc = owners(start, off)
     return Words(start, end, doc, h, np.searchsorted(doc, np.arange(docs + 1)))
@@ -127,23 +132,40 @@ def runs(h: np.ndarray, k: int) -> np.ndarray:
     m = len(h) - k + 1
     if m <= 0:
         return np.zeros(0, U)
-    acc = h[:m].copy()
+    acc = h[:m] * _factor(0)
     for j in range(1, k):
-        acc *= BASE
-        acc += h[j : j + m]
+        acc += h[j : j + m] * _factor(j)
     return mix(acc)
 
 
+def _factor(j: int) -> np.uint64:
+    return FACTORS[j] if j < len(FACTORS) else mix(np.array([j + 1], U) * U(0xA0761D6478BD642F))[0] | U(1)
+
+
+#: Bytes that are hashed together before they enter a sum.
+STEP = 8
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """Hash of the STEP bytes from each place of a slice of STEP bytes or more."""
+    h = BYTE[data]
+    for step in (1, 2, 4):  # of 2, 4, 8 bytes from each place
+        h = h[:-step] * powers(BASE, STEP)[step] + h[step:]
+    return h
+
+
 class Spans:
-    """Hashes of any byte ranges of one slice, by prefix sums of a polynomial."""
+    """Hashes of any byte ranges of one slice that have STEP bytes or more, by prefix sums of a polynomial in the mixed hashes
+    of the STEP bytes from each place. (A polynomial in the bytes themselves gives equal sums to some long patterns.)"""
 
-    def __init__(self, data: np.ndarray):
-        self.sums = np.zeros(len(data) + 1, U)
-        np.cumsum(BYTE[data] * powers(BASE, len(data)), out=self.sums[1:])
-        self.inverse = powers(BASE_INV, len(data) + 1)
+    def __init__(self, h: np.ndarray, n: int):
+        """h: eights() of the slice, n: its bytes."""
+        self.sums = np.zeros(max(n - STEP + 2, 1), U)
+        np.cumsum(mix(h) * powers(BASE, len(h)), out=self.sums[1:])
+        self.inverse = powers(BASE_INV, len(self.sums))
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return mix((self.sums[b] - self.sums[a]) * self.inverse[a] + (np.asarray(b) - a).astype(U))
+        return mix((self.sums[np.asarray(b) - (STEP - 1)] - self.sums[a]) * self.inverse[a] + (np.asarray(b) - a).astype(U))
 
 
 def pack(values: np.ndarray) -> bytes:

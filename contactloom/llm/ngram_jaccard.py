@@ -6,10 +6,13 @@ Jaccard similarity t share an n-gram among the first n - ceil(t * n) + 1 of each
 pairs pass a length, a positional and a suffix filter (counts of the whole sets by hash range bound their difference) and are
 then verified once, on the sets.
 
-Prefix n-grams that one set alone holds are dropped at once. Sets are then joined to the smallest and largest set of each
-remaining n-gram; sets already in one component need no further comparison. What stays apart is compared pair by pair, which
-is exact: every pair that shares a prefix n-gram is verified or known to be connected. Where the links themselves are asked
-for, every candidate pair is verified instead, and components are made of the links.
+Prefix n-grams that one set alone holds are dropped at once. Each list of sets that share an n-gram is joined to two hubs of
+it, not to itself: to the most central set, and to one by hash. Sets already in one component need no further comparison, so
+rounds of hubs contract groups of near copies with a number of pairs in proportion to the lists. What stays apart is compared
+list by list in cells of two blocks of sets, each pair in the list of its first common n-gram; a cell gives a spanning forest
+of its links, never its pairs. That is exact: every pair that shares a prefix n-gram is verified or known to be connected.
+
+Numbers of links are counted in such cells too, over the sets of each component: as a number for each set, without pairs.
 
 Defined cases: words are lower-cased over A-Z only; fewer words than an n-gram make one n-gram of all of them; null, empty
 or blank texts have an empty set and are linked with nothing; equal sets are one class; rows with the same doc_id and other
@@ -19,6 +22,7 @@ texts are separate sets; a null doc_id is kept, with the smallest id of its comp
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,8 +39,8 @@ COUNT_BITS = 40
 CLASSES = (2, 4, 16, 64)
 
 BIN_BITS = 4  # sets are counted by 2**BIN_BITS ranges of hashes for the suffix filter
-PROGRESS = 0.1  # of the sets that stay apart, for another round of ends
-LONG, BLOCKS = 64, 8  # posting lists longer than LONG are dealt into blocks
+PROGRESS = 0.1  # of the sets that stay apart, for another round of hubs
+BLOCK, BLOCK_GRAMS = 256, 1 << 19  # sets, and n-grams, of a block of sets that are compared with another
 FILTER_BITS = 20  # bits of the filter that spares most texts a join
 
 _DOC = "doc_id bigint, n bigint, sid bigint, toks array<bigint>, pos array<int>, bins array<int>"
@@ -135,16 +139,87 @@ def _pairs(met: DataFrame, percent: int) -> DataFrame:
     return near.select(F.least("u.sid", "v.sid").alias("a"), F.greatest("u.sid", "v.sid").alias("b")).distinct()
 
 
-def _all_pairs(posts: DataFrame, percent: int) -> DataFrame:
-    """Distinct candidate pairs of all posting lists (tok, e). A list is dealt into BLOCKS by set, and each two of its blocks
-    meet in a cell of their own, so a long list is spread over many tasks."""
-    block = F.pmod(F.xxhash64("e.sid"), F.lit(BLOCKS)).cast("int")
-    sizes = posts.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    dealt = posts.join(sizes, "tok").withColumn("block", F.when(F.col("k") > LONG, block).otherwise(0))
-    others = F.explode(F.when(F.col("k") > LONG, F.sequence(F.lit(0), F.lit(BLOCKS - 1))).otherwise(F.array(F.lit(0))))
-    u = dealt.select("tok", F.col("block").alias("x"), others.alias("y"), F.col("e").alias("u"))
-    v = dealt.select("tok", others.alias("x"), F.col("block").alias("y"), F.col("e").alias("v"))
-    return _pairs(u.join(v, ["tok", "x", "y"]).where("u.sid < v.sid"), percent)
+def _dealt(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of both sides with x, y and side: each side of a key is dealt into blocks of bounded size, and every two blocks meet
+    in a cell (keys, x, y). So a long list is spread over many tasks, and a row comes up once for each block it meets."""
+    sides = []
+    for df, c in ((left, "x"), (right, "y")):
+        blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_GRAMS)))
+        sides.append(df.groupBy(*keys).agg(blocks.cast("int").alias(f"blocks_{c}")))
+    sizes = sides[0].join(sides[1], keys)
+    out = []
+    for i, (df, own, other) in enumerate(((left, "x", "y"), (right, "y", "x"))):
+        meets = F.explode(F.sequence(F.lit(0), F.col(f"blocks_{other}") - 1))
+        out.append(df.join(sizes, keys).withColumn(own, F.pmod(F.xxhash64("sid"), F.col(f"blocks_{own}")).cast("int")).withColumn(other, meets).drop("blocks_x", "blocks_y").withColumn("side", F.lit(i)))
+    return out[0].unionByName(out[1])
+
+
+def _shared(grams: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the values of each list that another list holds as well, the bounds of the lists in them, and how many."""
+    off = grams.offsets.to_numpy() - grams.offsets[0].as_py()
+    values, number, count = np.unique(grams.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    many = count[number] > 1
+    names = np.cumsum(count > 1) - 1
+    return names[number[many]], np.concatenate(([0], np.cumsum(many)))[off], int((count > 1).sum())
+
+
+def _both(grams: pa.Array, side: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each list of side 0 its number, and how many values it has in common with each list of side 1."""
+    number, cut, n = _shared(grams)
+    right = np.flatnonzero(side == 1)
+    held = np.zeros((n, len(right)), np.uint8)
+    for j, r in enumerate(right.tolist()):
+        held[number[cut[r] : cut[r + 1]], j] = 1
+    for i in np.flatnonzero(side == 0).tolist():
+        yield i, held[number[cut[i] : cut[i + 1]]].sum(0, dtype=np.int64)
+
+
+def _linked(cell: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each set of side 0 of a cell its row, the rows of side 1, and which of those it is similar enough to."""
+    side, n, sid = (cell[c].to_numpy() for c in ("side", "n", "sid"))
+    right = np.flatnonzero(side == 1)
+    for i, both in _both(cell["grams"].combine_chunks(), side):
+        yield i, right, (both * 100 >= (n[i] + n[right] - both) * percent) & (sid[right] != sid[i])
+
+
+def _links_of_lists(few: DataFrame, apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between sets (tok, sid, root, n, before) of few and of apart whose roots differ. A pair is compared in the
+    list of its first common n-gram alone, so once; of the links of a cell a spanning forest is given."""
+
+    def forest(cell: pa.Table) -> pa.Table:
+        side, sid, root = (cell[c].to_numpy() for c in ("side", "sid", "root"))
+        first = {i: both == 0 for i, both in _both(cell["before"].combine_chunks(), side)}
+        up: dict[int, int] = {}
+
+        def top(r: int) -> int:
+            while r in up:
+                r = up[r]
+            return r
+
+        out: list[tuple[int, int]] = []
+        for i, right, ok in _linked(cell, percent):
+            for j in right[ok & first[i] & (root[right] != root[i])].tolist():
+                x, y = top(int(root[i])), top(int(root[j]))
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+                    out.append((int(sid[i]), int(sid[j])))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    rows = [df.join(sets, "sid").select("tok", "sid", "root", F.size("grams").cast("bigint").alias("n"), "before", "grams") for df in (few, apart)]
+    return _dealt(*rows, ["tok"]).groupBy("tok", "x", "y").applyInArrow(forest, "a bigint, b bigint")
+
+
+def _count_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """sid and near, the number of rows with another set that is similar enough, of members (root, sid, copies). Only members of
+    one root can link, so blocks of each root's sets are compared; what leaves a cell is a number for each set."""
+
+    def count(cell: pa.Table) -> pa.Table:
+        copies = cell["copies"].to_numpy()
+        found = [(i, int(copies[right[ok]].sum())) for i, right, ok in _linked(cell, percent)]
+        return pa.table({"sid": cell["sid"].take(pa.array([i for i, _ in found], pa.int64())), "near": pa.array([k for _, k in found], pa.int64())})
+
+    rows = members.join(sets, "sid").select("root", "sid", "copies", F.size("grams").cast("bigint").alias("n"), "grams")
+    return _dealt(rows, rows, ["root"]).groupBy("root", "x", "y").applyInArrow(count, "sid bigint, near bigint").groupBy("sid").agg(F.sum("near").alias("near"))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
@@ -188,8 +263,7 @@ def _joined(roots: DataFrame | None, links: DataFrame, scratch: Scratch) -> Data
 
 def ngram_jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, links: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set) of every row of docs (doc_id, text).
-    With links also n_links, the number of other rows that are similar enough; then every candidate pair is verified once,
-    inside a component too."""
+    With links also n_links, the number of other rows that are similar enough."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.save(prepare(docs, n, percent))
     reps = scratch.save(rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
@@ -199,20 +273,14 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, link
     posts = scratch.save(posts.select("sid", F.col("t.toks").alias("tok"), F.struct("n", "sid", F.col("t.pos").alias("p"), *counts).alias("e")))
     total = posts.count()
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(reps, "sid").select("sid", F.col("rep").alias("doc_id"))
-        return scratch.save(_verify(pairs, scratch.save(_sets_of(docs, ids, n)), percent))
+    def sets_of(sids: DataFrame) -> DataFrame:
+        return scratch.save(_sets_of(docs, sids.select("sid").distinct().join(reps, "sid").select("sid", F.col("rep").alias("doc_id")), n))
 
-    roots = tried = linked = None
-    new = 1
-    if links:
-        linked = verified(_all_pairs(posts, percent)).where("ok").select("a", "b")
-        roots = _joined(None, linked, scratch)
-    while not links:
+    roots = tried = None
+    slow = False
+    for turn in itertools.count():
         if roots is None:
-            apart = posts.withColumn("root", F.col("sid"))
-            few = apart
+            few = apart = posts.withColumn("root", F.col("sid"))
         else:
             # members of every n-gram's list that aren't in the list's largest component
             apart = posts.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
@@ -221,27 +289,33 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, link
             volume = lists.agg(F.sum("volume")).first()[0] or 0
             if not volume:
                 break
-            apart = scratch.save(apart.join(lists, "tok"))
+            apart = scratch.save(apart.join(lists.select("tok", "top"), "tok"))
             few = apart.where("root <> top")
-            if volume <= 4 * total or new < PROGRESS * few.select("sid").distinct().count():
-                pairs = few.select("tok", "root", F.col("e").alias("u")).join(apart.select("tok", F.col("root").alias("other"), F.col("e").alias("v")), "tok").where("root <> other")
-                roots = _joined(roots, verified(_pairs(pairs, percent).join(tried, ["a", "b"], "left_anti")).where("ok"), scratch)
+            if slow or volume <= 4 * total:
+                before = one.select("sid", F.arrays_zip("toks", "pos").alias("zip"))
+                listed = apart.join(before, "sid").select("tok", "sid", "root", "top", F.col("e.n").alias("n"), F.transform(F.filter("zip", lambda z: z["pos"] < F.col("e.p")), lambda z: z["toks"]).alias("before"))
+                links_found = _links_of_lists(listed.where("root <> top"), listed, sets_of(apart), percent)
+                roots = _joined(roots, scratch.save(links_found.distinct()), scratch)
                 break
-        ends = scratch.save(few.groupBy("tok").agg(F.min(F.struct("e", "root")).alias("lo"), F.max(F.struct("e", "root")).alias("hi")))
-        met = apart.select("tok", "root", F.col("e").alias("u")).join(ends, "tok").select("root", "u", F.explode(F.array("lo", "hi")).alias("end"))
-        pairs = _pairs(met.where("root <> end.root").select("u", F.col("end.e").alias("v")), percent)
-        checked = verified(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        tried = checked.select("a", "b") if tried is None else tried.unionByName(checked.select("a", "b"))
+        # hubs of a list: the set with the fewest n-grams rarer than it (the most central of near copies), and one by hash
+        central, other = F.struct("e.p", F.xxhash64("sid"), "e", "root"), F.struct(F.xxhash64("sid", F.lit(turn)), "e", "root")
+        hubs = scratch.save(few.groupBy("tok").agg(F.min(central).alias("lo"), F.min(other).alias("hi")))
+        hubs = hubs.select("tok", *(F.struct(F.col(f"{c}.e").alias("e"), F.col(f"{c}.root").alias("root")).alias(c) for c in ("lo", "hi")))
+        met = apart.select("tok", "root", F.col("e").alias("u")).join(hubs, "tok").select("root", "u", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("hub"))
+        pairs = _pairs(met.where("root <> hub.root").select("u", F.col("hub.e").alias("v")), percent)
+        pairs = scratch.save(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        checked = scratch.save(_verify(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sid"))), percent))
         found = checked.where("ok").select("a", "b")
-        new = found.count()
+        slow = found.count() < PROGRESS * few.select("sid").distinct().count()
         roots = _joined(roots, found, scratch)
     named = scratch.save(reps.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
-    lowest = scratch.save(named.groupBy("root").agg(F.min("rep").alias("component_id")))
-    named = scratch.save(named.join(lowest, "root").select("sid", "rep", "component_id", "copies"))
+    lowest = scratch.save(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("classes")))
+    named = scratch.save(named.join(lowest, "root"))
     out = ["doc_id", "n_shingles", "component_id", "class_id"]
     if links:
-        ends = linked.select(F.col("a").alias("sid"), F.col("b").alias("other")).unionByName(linked.select(F.col("b").alias("sid"), F.col("a").alias("other")))
-        near = ends.join(reps.select(F.col("sid").alias("other"), "copies"), "other").groupBy("sid").agg(F.sum("copies").alias("near"))
+        members = named.where("classes > 1").select("root", "sid", "copies")
+        near = scratch.save(_count_links(members, sets_of(members), percent))
         named = scratch.save(named.join(near, "sid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("near", F.lit(0))))
         out.append("n_links")
     alone = rows.where("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))

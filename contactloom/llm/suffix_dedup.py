@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import kernel as K, rounds as R
 
 LENGTH = 400
-TRIGGER = 8  # bytes of a trigger window
+TRIGGER = K.STEP  # bytes of a trigger window
 TRIGGER_BITS = 5  # one window in 2**5 is a trigger
 
 _SQL = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>, kept binary"
@@ -43,13 +43,11 @@ class Part:
 
     def __init__(self, data: np.ndarray, cut: np.ndarray):
         self.data, self.cut, n = data, cut, len(data)
-        self.span = K.Spans(data)
+        h = K.eights(data) if n >= TRIGGER else _NONE
+        self.span = K.Spans(h, n)
         if n < TRIGGER:
             self.at = self.doc = np.zeros(0, np.int64)
         else:
-            h = K.BYTE[data]
-            for step in (1, 2, 4):  # hash of 2, 4, 8 bytes from each place
-                h = h[:-step] * K.powers(K.BASE, 8)[step] + h[step:]
             at = np.flatnonzero((h * K.U(0x9E3779B97F4A7C15)) >> K.U(64 - TRIGGER_BITS) == 0)
             doc = K.owners(at, cut)
             ok = at + TRIGGER <= cut[doc + 1]
@@ -94,7 +92,7 @@ class Part:
         j = np.searchsorted(self.end, start + LENGTH, "right") - 1  # the last trigger inside: in the same text, as windows are
         has = j > i
         i = np.minimum(i, m - 1)
-        return has, self.span(self.at[i], np.where(has, self.end[j], self.at[i])), i
+        return has, self.span(self.at[i], np.where(has, self.end[j], self.end[i])), i
 
 
 class Group:
