@@ -9,8 +9,8 @@ then verified once, on the sets.
 Prefix n-grams that one set alone holds are dropped at once. Each list of sets that share an n-gram is joined to two hubs of
 it, not to itself: to the most central set, and to one by hash. Sets already in one component need no further comparison, so
 rounds of hubs contract groups of near copies with a number of pairs in proportion to the lists. What stays apart is compared
-list by list in cells of two blocks of sets, each pair in the list of its first common n-gram; a cell gives a spanning forest
-of its links, never its pairs. That is exact: every pair that shares a prefix n-gram is verified or known to be connected.
+list by list: short lists as pairs, long lists in cells of two blocks of sets, each pair in the list of its first common
+n-gram; a cell gives a spanning forest of its links, never its pairs. That is exact: every pair that shares a prefix n-gram is verified or known to be connected.
 
 Numbers of links are counted in such cells too, over the sets of each component: as a number for each set, without pairs.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ CLASSES = (2, 4, 16, 64)
 
 BIN_BITS = 4  # sets are counted by 2**BIN_BITS ranges of hashes for the suffix filter
 PROGRESS = 0.1  # of the sets that stay apart, for another round of hubs
+LONG = 64  # a list of more sets is compared in cells
 BLOCK, BLOCK_GRAMS = 256, 1 << 19  # sets, and n-grams, of a block of sets that are compared with another
 FILTER_BITS = 20  # bits of the filter that spares most texts a join
 
@@ -182,9 +184,37 @@ def _linked(cell: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray, np.
         yield i, right, (both * 100 >= (n[i] + n[right] - both) * percent) & (sid[right] != sid[i])
 
 
-def _links_of_lists(few: DataFrame, apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between sets (tok, sid, root, n, before) of few and of apart whose roots differ. A pair is compared in the
-    list of its first common n-gram alone, so once; of the links of a cell a spanning forest is given."""
+def _short_pairs(few: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """Distinct candidate pairs of different roots in lists of LONG sets at most, so with LONG partners of a row at most."""
+    u = few.where(F.col("k") <= LONG).select("tok", "root", F.col("e").alias("u"))
+    v = apart.where(F.col("k") <= LONG).select("tok", F.col("root").alias("other"), F.col("e").alias("v"))
+    return _pairs(u.join(v, "tok").where("root <> other"), percent)
+
+
+def _survivors(few: DataFrame, apart: DataFrame, percent: int) -> DataFrame:
+    """tok, x, y, side, sid, root, before: the sets of long lists' cells that have a candidate of another root in their cell.
+    Rows are (tok, sid, root, n, p, bins, before), `before` being the n-grams of a set's prefix that come before tok."""
+
+    def keep(cell: pa.Table) -> pa.Table:
+        side, n, p, root = (cell[c].to_numpy() for c in ("side", "n", "p", "root"))
+        bins = cell["bins"].combine_chunks().flatten().to_numpy().reshape(len(side), -1).astype(np.int64)
+        right, found = np.flatnonzero(side == 1), np.zeros(len(side), bool)
+        for i, both in _both(cell["before"].combine_chunks(), side):
+            overlap = -(-(n[i] + n[right]) * percent // (100 + percent))
+            ok = (both == 0) & (root[right] != root[i]) & (np.minimum(n[i], n[right]) * 100 >= np.maximum(n[i], n[right]) * percent)
+            ok &= 1 + np.minimum(n[i] - p[i] - 1, n[right] - p[right] - 1) >= overlap
+            ok &= np.abs(bins[right] - bins[i]).sum(1) <= n[i] + n[right] - 2 * overlap
+            found[i] |= ok.any()
+            found[right[ok]] = True
+        return cell.filter(pa.array(found)).select(["tok", "x", "y", "side", "sid", "root", "before"])
+
+    cells = _dealt(*(df.where(F.col("k") > LONG).drop("k") for df in (few, apart)), ["tok"])
+    return cells.groupBy("tok", "x", "y").applyInArrow(keep, "tok bigint, x int, y int, side int, sid bigint, root bigint, before array<bigint>")
+
+
+def _links_of_cells(survivors: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between survivors whose roots differ. A pair is compared in the list of its first common n-gram alone, so
+    once; of the links of a cell a spanning forest is given."""
 
     def forest(cell: pa.Table) -> pa.Table:
         side, sid, root = (cell[c].to_numpy() for c in ("side", "sid", "root"))
@@ -205,8 +235,8 @@ def _links_of_lists(few: DataFrame, apart: DataFrame, sets: DataFrame, percent:
                     out.append((int(sid[i]), int(sid[j])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
-    rows = [df.join(sets, "sid").select("tok", "sid", "root", F.size("grams").cast("bigint").alias("n"), "before", "grams") for df in (few, apart)]
-    return _dealt(*rows, ["tok"]).groupBy("tok", "x", "y").applyInArrow(forest, "a bigint, b bigint")
+    rows = survivors.join(sets, "sid").withColumn("n", F.size("grams").cast("bigint"))
+    return rows.groupBy("tok", "x", "y").applyInArrow(forest, "a bigint, b bigint")
 
 
 def _count_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -273,8 +303,18 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, link
     posts = scratch.save(posts.select("sid", F.col("t.toks").alias("tok"), F.struct("n", "sid", F.col("t.pos").alias("p"), *counts).alias("e")))
     total = posts.count()
 
+    stored: list[DataFrame] = []
+
     def sets_of(sids: DataFrame) -> DataFrame:
-        return scratch.save(_sets_of(docs, sids.select("sid").distinct().join(reps, "sid").select("sid", F.col("rep").alias("doc_id")), n))
+        """sid and grams of at least these sets: made once, from their texts."""
+        missing = sids.select("sid").distinct().join(reps, "sid")
+        for have in stored:
+            missing = missing.join(have.select("sid"), "sid", "left_anti")
+        stored.append(scratch.save(_sets_of(docs, scratch.save(missing.select("sid", F.col("rep").alias("doc_id"))), n)))
+        return reduce(DataFrame.unionByName, stored)
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        return scratch.save(_verify(pairs, sets, percent).where("ok").select("a", "b"))
 
     roots = tried = None
     slow = False
@@ -285,17 +325,21 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, link
             # members of every n-gram's list that aren't in the list's largest component
             apart = posts.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
             sizes = apart.groupBy("tok", "root").agg(F.count(F.lit(1)).alias("k"))
-            lists = scratch.save(sizes.groupBy("tok").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("tok", F.col("top.root").alias("top"), (F.col("k") * (F.col("k") - F.col("top.k"))).alias("volume")))
+            lists = scratch.save(sizes.groupBy("tok").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("tok", "k", F.col("top.root").alias("top"), (F.col("k") * (F.col("k") - F.col("top.k"))).alias("volume")))
             volume = lists.agg(F.sum("volume")).first()[0] or 0
             if not volume:
                 break
-            apart = scratch.save(apart.join(lists.select("tok", "top"), "tok"))
+            apart = scratch.save(apart.join(lists.select("tok", "top", "k"), "tok"))
             few = apart.where("root <> top")
             if slow or volume <= 4 * total:
-                before = one.select("sid", F.arrays_zip("toks", "pos").alias("zip"))
-                listed = apart.join(before, "sid").select("tok", "sid", "root", "top", F.col("e.n").alias("n"), F.transform(F.filter("zip", lambda z: z["pos"] < F.col("e.p")), lambda z: z["toks"]).alias("before"))
-                links_found = _links_of_lists(listed.where("root <> top"), listed, sets_of(apart), percent)
-                roots = _joined(roots, scratch.save(links_found.distinct()), scratch)
+                pairs = scratch.save(_short_pairs(few, apart, percent).join(tried, ["a", "b"], "left_anti"))
+                before = F.transform(F.filter("zip", lambda z: z["pos"] < F.col("e.p")), lambda z: z["toks"])
+                listed = apart.where(F.col("k") > LONG).join(one.select("sid", "bins", F.arrays_zip("toks", "pos").alias("zip")), "sid")
+                listed = listed.select("tok", "sid", "root", "top", "k", F.col("e.n").alias("n"), F.col("e.p").cast("bigint").alias("p"), "bins", before.alias("before"))
+                cells = scratch.save(_survivors(listed.where("root <> top").drop("top"), listed.drop("top"), percent))
+                sets = sets_of(cells.select("sid").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("sid"))))
+                found = verified(pairs, sets).unionByName(_links_of_cells(cells, sets, percent))
+                roots = _joined(roots, scratch.save(found.distinct()), scratch)
                 break
         # hubs of a list: the set with the fewest n-grams rarer than it (the most central of near copies), and one by hash
         central, other = F.struct("e.p", F.xxhash64("sid"), "e", "root"), F.struct(F.xxhash64("sid", F.lit(turn)), "e", "root")
@@ -305,8 +349,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, link
         pairs = _pairs(met.where("root <> hub.root").select("u", F.col("hub.e").alias("v")), percent)
         pairs = scratch.save(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = pairs if tried is None else tried.unionByName(pairs)
-        checked = scratch.save(_verify(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sid"))), percent))
-        found = checked.where("ok").select("a", "b")
+        found = verified(pairs, sets_of(pairs.select(F.explode(F.array("a", "b")).alias("sid"))))
         slow = found.count() < PROGRESS * few.select("sid").distinct().count()
         roots = _joined(roots, found, scratch)
     named = scratch.save(reps.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
