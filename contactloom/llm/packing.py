@@ -1,6 +1,6 @@
 """Packing of documents into fixed-length sequences along a space-filling curve.
 
-Each document becomes a hashed vector of its words, projected to DIMS dimensions; its place on a Hilbert curve through that
+Each document becomes a hashed vector of its tokens, projected to DIMS dimensions; its place on a Hilbert curve through that
 space is its sort key, so neighbours along the curve are alike. The documents' tokens are laid end to end in that order and
 cut every `length` tokens; only the last sequence is shorter. Keys and sizes alone are range-sorted; places come from a
 running sum inside each range and the sums of the ranges before it (one number for each range passes through the driver).
@@ -60,17 +60,12 @@ def hilbert(x: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(data: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Hilbert keys of a slice of texts, from the mean projection of their hashed words."""
-    w = K.words(data, cut, lower=True)
+def curve_keys(ids: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Hilbert keys of documents (ids[cut[i]:cut[i + 1]], none empty), from the mean projection of their hashed tokens."""
     plane = np.random.default_rng(7).standard_normal((FEATURES, DIMS)).astype(np.float32)
-    sums = np.zeros((len(cut) - 1, DIMS), np.float64)
-    size = np.diff(w.first)
-    has = np.flatnonzero(size)
-    if len(has):
-        rows = plane[(w.hash >> K.U(64 - 10)).astype(np.int64)]
-        sums[has] = np.add.reduceat(rows, w.first[:-1][has], axis=0) / size[has, None]
-    place = (0.5 + np.arctan(4 * sums) / np.pi) * (1 << BITS)
+    rows = plane[(K.mix(np.arange(1 << 16, dtype=K.U)) % K.U(FEATURES)).astype(np.int64)[ids & 0xFFFF]]
+    means = np.add.reduceat(rows, cut[:-1], axis=0, dtype=np.float64) / np.diff(cut)[:, None]
+    place = (0.5 + np.arctan(4 * means) / np.pi) * (1 << BITS)
     return hilbert(np.clip(place.astype(np.int64), 0, (1 << BITS) - 1))
 
 
@@ -87,8 +82,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
             for a, b, part, cut in K.slices(data, off):
                 raw = part.tobytes()
                 ids = [enc.encode(raw[cut[i] : cut[i + 1]]) + end for i in range(b - a)]
+                sizes = [len(x) // enc.dtype.itemsize for x in ids]
                 yield pa.record_batch(
-                    [batch.column("doc_id")[a:b], pa.array(curve_keys(part, cut)), pa.array([len(x) // enc.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary()), *(batch.column(c)[a:b] for c in keep)],
+                    [batch.column("doc_id")[a:b], pa.array(curve_keys(np.frombuffer(b"".join(ids), enc.dtype), np.concatenate(([0], np.cumsum(sizes))))), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), *(batch.column(c)[a:b] for c in keep)],
                     names=["doc_id", "key", "n", "ids", *keep],
                 )
 

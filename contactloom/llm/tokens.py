@@ -22,7 +22,8 @@ _DROPPING = re.compile(rb"\S+")
 _WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 #: Letters of ASCII and Latin-1 after one space at most, then marks to the end, or all that after one line end or tab: each
 #: part is a step of its own in either pre-tokenizer.
-_WORD = re.compile(rb"([\n\t]?)( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,*#$%&!?;:]*)")
+_MARKS = b".,*#$%&!?;:"
+_WORD = re.compile(rb"([\n\t]?)( ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([" + _MARKS + rb"]*)")
 #: The byte alphabet of byte-level BPE: printable bytes of Latin-1 stand for themselves, the others for U+0100 and on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _ALPHABET = {b: b for b in _PRINTABLE} | {b: 256 + i for i, b in enumerate(sorted({*range(256)} - _PRINTABLE))}
@@ -43,6 +44,7 @@ class Encoder(dict):
         shape = [s.get("type") for s in steps]
         norms = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec.get("added_tokens", []))
+        self.merges = self.tokenizer.model.tokenize
         self.pieces = None
         if plain and shape == ["ByteLevel"] and steps[0]["use_regex"] and not steps[0]["add_prefix_space"] and not spec.get("normalizer"):
             self.pieces = _KEEPING
@@ -57,15 +59,19 @@ class Encoder(dict):
         """Ids of letters alone, which are one step of the pre-tokenizer: straight from the merges."""
         if self.pieces is _DROPPING:
             piece = piece.decode().lower().encode()
-        return array(self.kind, [t.id for t in self.tokenizer.model.tokenize(piece.decode("latin-1").translate(_ALPHABET))]).tobytes()
+        if piece.isascii():
+            text = "\u0120" + piece[1:].decode() if piece.startswith(b" ") else piece.decode()
+        else:
+            text = piece.decode("latin-1").translate(_ALPHABET)
+        return array(self.kind, [t.id for t in self.merges(text)]).tobytes()
 
     def __missing__(self, piece: bytes) -> bytes:
         if len(self) >= CACHE_PIECES:
             self.clear()
-        parts = _WORD.fullmatch(piece)
-        if not parts:
-            ids = self.whole(piece)
-        elif parts[1] and parts[2].startswith(b" "):
+        letters = piece.rstrip(_MARKS)
+        if letters.removeprefix(b" ").isalpha():  # of ASCII, by far the most
+            ids = self.word(piece) if len(letters) == len(piece) else self[letters] + self[piece[len(letters) :]]
+        elif not (parts := _WORD.fullmatch(piece)) or (parts[1] and parts[2].startswith(b" ")):
             ids = self.whole(piece)
         elif parts[1] or parts[3]:
             ids = b"".join(self[p] for p in parts.groups() if p)
