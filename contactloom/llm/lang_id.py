@@ -2,16 +2,17 @@
 
 For each language a suffix automaton holds a bounded sample of its labelled text. A text is parsed against each automaton
 into phrases, each the longest match that the automaton holds; a language's text needs few phrases. The language with the
-fewest phrases, normalised by the size of its sample (phrases * log2(sample) / length), wins. Texts are parsed in segments of SEGMENT bytes
-that all advance together, one byte a step, through dense transition tables; the phrase at hand ends with its segment.
+fewest phrases, normalised by the size of its sample (phrases * log2(sample) / length), wins. All texts of a slice advance
+together, one byte a step, through dense transition tables; texts longer than LANE are parsed by themselves. Every language
+with a labelled text is learned; languages are scored LANGUAGES at a time, so that many of them cost more passes, not memory.
 
 Bytes are folded to symbols: A-Z to a-z, every other ASCII byte to one blank, bytes beyond ASCII as they are if a sample
 has them.
 
 Defined cases: null texts and texts without a letter are `und`, score 0; extra columns are ignored; rows with the same
 doc_id are separate texts; a table without labelled rows yields `und` for all; ties go to the language first by name.
-Sample bounds are parameters: LANGUAGES languages, DOCS documents a language, TAKE characters of each, SAMPLE bytes a language
-and ALL_SAMPLES bytes in all.
+The labelled sample that automata are made of is bounded, by DOCS rows a language, TAKE characters of a row (rows that are
+shorter are preferred, so that they are taken whole) and SAMPLE bytes a language. Everything else covers all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -25,12 +26,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import kernel as K
 
-LANGUAGES = 64  # learned at most, those with the most labelled documents
+LANGUAGES = 8  # scored in one pass
 DOCS = 128
-TAKE = 800
+TAKE = 2000
 SAMPLE = 40_000
-ALL_SAMPLES = 800_000
-SEGMENT = 1024
+LANE = 1 << 14
 FOLDS, HELD = 3, 1
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -92,60 +92,69 @@ class Model:
         number = np.full(256, len(seen), np.uint8)
         number[seen] = np.arange(len(seen))
         self.symbol = number[FOLD]
-        self.tables, self.cost = [], []
+        self.tables, self.first, self.cost = [], [], []
         for name in self.names:
             text = self.symbol[np.frombuffer(samples[name], np.uint8)]
-            self.tables.append(automaton(text.tolist(), self.width).ravel() * self.width)  # premultiplied; -width is none
+            table = automaton(text.tolist(), self.width)
+            outside = np.full((1, self.width), -1, np.int32)  # the state before a text, and after a symbol that the sample lacks
+            table = np.concatenate((table, outside)).ravel() * self.width  # premultiplied; -width is none
+            self.tables.append(table)
+            self.first.append(np.where(table[: self.width] < 0, len(table) - self.width, table[: self.width]).astype(np.int32))
             self.cost.append(np.log2(max(2, len(text))))
 
     def phrases(self, data: np.ndarray, cut: np.ndarray) -> np.ndarray:
         """Phrases of each text against each language."""
         size = np.diff(cut)
-        parts = -(-size // SEGMENT)
-        doc = np.repeat(np.arange(len(size)), parts)
-        at = cut[:-1][doc] + SEGMENT * (np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts))
-        n = np.minimum(SEGMENT, cut[1:][doc] - at)
-        order = np.argsort(-n, kind="stable")  # lanes that end first are last
-        doc, at, n = doc[order], at[order], n[order]
         text = self.symbol[data]
-        count = np.zeros((len(self.names), len(doc)), np.int32)
-        state = np.zeros((len(self.names), len(doc)), np.int32)
-        lanes = np.searchsorted(-n, -np.arange(SEGMENT), "left")  # lanes longer than each step
-        for step in range(int(n[0]) if len(n) else 0):
-            m = lanes[step]
+        count = np.zeros((len(self.names), len(size)), np.int64)
+        order = np.argsort(-size, kind="stable")  # lanes that end first are last
+        order = order[np.searchsorted(-size[order], -LANE) :]
+        at, n = cut[:-1][order], size[order]
+        state = np.array([[len(t) - self.width] for t in self.tables], np.int32).repeat(len(order), axis=1)
+        found = np.zeros((len(self.names), len(order)), np.int64)
+        steps = int(n[0]) if len(n) else 0
+        lanes = np.searchsorted(-n, -np.arange(steps), "left").tolist()  # lanes longer than each step
+        for step, m in enumerate(lanes):
             c = text[at[:m] + step].astype(np.int32)
             for i, table in enumerate(self.tables):
                 to = table[state[i, :m] + c]
                 stop = np.flatnonzero(to < 0)
                 if len(stop):
-                    count[i, stop] += 1
-                    to[stop] = np.maximum(table[c[stop]], 0)  # a new phrase; a symbol without transition is one by itself
+                    found[i, stop] += 1
+                    to[stop] = self.first[i][c[stop]]  # a new phrase; a symbol that the sample lacks is one by itself
                 state[i, :m] = to
-        out = np.zeros((len(self.names), len(size)))
-        for i in range(len(self.names)):
-            out[i] = np.bincount(doc, count[i] + 1, len(size))
-        return out
+        count[:, order] = found
+        for d in np.flatnonzero(size > LANE).tolist():
+            symbols = text[cut[d] : cut[d + 1]].tolist()
+            for i, table in enumerate(self.tables):
+                step, first, at_state, phrases = memoryview(table), self.first[i].tolist(), len(table) - self.width, 0
+                for c in symbols:
+                    at_state = step[at_state + c]
+                    if at_state < 0:
+                        phrases += 1
+                        at_state = first[c]
+                count[i, d] = phrases
+        return count
 
     def entropy(self, data: np.ndarray, cut: np.ndarray) -> np.ndarray:
         """Bits a byte, languages by texts."""
         return self.phrases(data, cut) * np.array(self.cost)[:, None] / np.maximum(np.diff(cut), 1)
 
 
-def learn(docs: DataFrame) -> Model | None:
-    """A model from labelled documents that aren't held out: for each language the document with the smallest hash in each
-    of DOCS ranges of hashes, so the choice is spread over the whole table and costs one pass of partial minima."""
+def learn(docs: DataFrame) -> list[Model]:
+    """Models from labelled documents that aren't held out, LANGUAGES languages each: for each language one document in each of
+    DOCS ranges of hashes, so the choice is spread over the whole table and costs one pass of partial minima; of documents with
+    one hash, as of repeated rows, the smallest text is taken."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    langs = [r.lang for r in counts.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    bound = min(SAMPLE, ALL_SAMPLES // max(1, len(langs)))
-    keyed = labelled.where(F.col("lang").isin(langs)).select("lang", F.xxhash64("doc_id").alias("h"), "text")
-    picks = keyed.groupBy("lang", F.pmod("h", F.lit(DOCS)).alias("range")).agg(F.min("h").alias("h")).select("lang", "h")
-    rows = keyed.join(F.broadcast(picks), ["lang", "h"]).select("lang", "h", F.substring("text", 1, TAKE).alias("text")).collect()  # DOCS texts a language
+    h = F.xxhash64("doc_id")
+    pick = F.min(F.struct((F.length("text") > TAKE).alias("long"), h.alias("h"), F.substring("text", 1, TAKE).alias("text")))
+    rows = labelled.groupBy("lang", F.pmod(h, F.lit(DOCS)).alias("range")).agg(pick.alias("p")).select("lang", "p.h", "p.text")
     samples: dict[str, bytes] = {}
-    for lang, _, text in sorted(rows):
+    for lang, _, text in rows.orderBy("lang", "h").toLocalIterator():  # DOCS texts of TAKE characters a language at most
         have = samples.get(lang, b"")
-        samples[lang] = (have + b"\n" + text.encode())[:bound]
-    return Model(samples) if samples else None
+        samples[lang] = (have + b"\n" + text.encode())[:SAMPLE]
+    names = sorted(samples)
+    return [Model({n: samples[n] for n in names[i : i + LANGUAGES]}) for i in range(0, len(names), LANGUAGES)]
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -155,31 +164,45 @@ def identify(docs: DataFrame) -> DataFrame:
     return predicted.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
-    """doc_id, the kept columns, lang_pred and score from doc_id and text alone. The score is how much sooner the winner
-    explains the text than the next language does, 1 - best / second (1 if there is one language)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    names_kept = ["doc_id", *keep]
+def predict(docs: DataFrame, models: list[Model], *keep: str) -> DataFrame:
+    """doc_id, the kept columns, lang_pred, score and lettered (the text has a letter) from doc_id and text alone. The score is
+    how much sooner the winner explains the text than the next language does, 1 - best / second (1 if there is one language)."""
+    names = ["doc_id", "text", *(c for c in keep if c != "text")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", _best double, _second double, _name string, _lettered boolean"
+    found = docs.select(*names, F.lit(None).cast("double").alias("_best"), F.lit(None).cast("double").alias("_second"), F.lit(None).cast("string").alias("_name"), F.lit(None).cast("boolean").alias("_lettered"))
+    for model in models or [None]:
+        found = found.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model), len(names)), schema)
+    known = F.coalesce("_lettered", F.lit(False)) & F.col("_name").isNotNull()
+    score = F.when(F.col("_second").isNull() | (F.col("_second") == 0), 1.0).otherwise(1 - F.col("_best") / F.col("_second"))
+    return found.select("doc_id", *keep, F.when(known, F.col("_name")).otherwise(UNKNOWN).alias("lang_pred"), F.when(known, score).otherwise(0.0).alias("score"), F.col("_lettered").alias("lettered"))
+
+
+def _scorer(sent, n: int):
+    """Updates the two lowest entropies of each text, and the language of the lowest, by the languages of one model. The first
+    n columns stay."""
 
-    def guess(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
             data, off = K.as_bytes(batch.column("text"))
-            names: list[str] = []
-            scores: list[float] = []
+            best, second = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("_best", "_second"))
+            name, lettered = batch.column("_name").to_pylist(), batch.column("_lettered").to_pylist()
             for a, b, part, cut in K.slices(data, off, 16 * K.SLICE_BYTES):
                 raw = part.tobytes()
-                bits = model.entropy(part, cut) if model else np.zeros((1, b - a))
-                best = bits.argmin(0)
-                top = np.sort(bits, axis=0)
-                for i in range(b - a):
-                    if not model or not _LETTER.search(raw[cut[i] : cut[i + 1]].decode("utf-8", "replace")):
-                        names.append(UNKNOWN)
-                        scores.append(0.0)
-                    else:
-                        names.append(model.names[best[i]])
-                        scores.append(1.0 - top[0, i] / top[1, i] if len(top) > 1 and top[1, i] > 0 else 1.0)
-            done = [batch.column(c) for c in names_kept]
-            yield pa.record_batch([*done, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*names_kept, "lang_pred", "score"])
-
-    return docs.mapInArrow(guess, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names_kept).schema) + ", lang_pred string, score double")
+                for i in range(a, b):
+                    if lettered[i] is None:
+                        lettered[i] = bool(_LETTER.search(raw[cut[i - a] : cut[i - a + 1]].decode("utf-8", "replace")))
+                if not model:
+                    continue
+                bits = model.entropy(part, cut)
+                low = bits.argmin(0)
+                for i, (l, own) in enumerate(zip(low.tolist(), np.sort(bits, axis=0)[:2].T.tolist(), strict=True), a):
+                    lowest = sorted([*own, *(x for x in (best[i], second[i]) if x == x)])
+                    if not best[i] <= own[0]:  # nan, or higher; names rise from model to model
+                        name[i] = model.names[l]
+                    best[i] = lowest[0]
+                    second[i] = lowest[1] if len(lowest) > 1 else np.nan
+            made = [pa.array(best, pa.float64(), from_pandas=True), pa.array(second, pa.float64(), from_pandas=True), pa.array(name, pa.string()), pa.array(lettered, pa.bool_())]
+            yield pa.record_batch([*batch.columns[:n], *made], names=batch.schema.names)
+
+    return score

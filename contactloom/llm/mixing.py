@@ -67,26 +67,10 @@ def schedule(docs: DataFrame, weights: dict[str, int] | None = None, block: int
     )
 
 
-def mixed(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
-    """The rows of docs in the longest run of whole periods that every present source can fill: the target weights hold
-    exactly there. A surplus of a source beyond that is left out; a source without rows doesn't count. If some source has
-    less than one period's share, the first period is kept, with what there is."""
-    weights = dict(weights or WEIGHTS)
-    weights.setdefault(REST, 1)
-    scratch = Scratch(docs.sparkSession)
-    rows = scratch.save(schedule(docs, weights, block))
-    total = sum(weights.values())
-    shares = docs.sparkSession.createDataFrame(list(weights.items()), "mix_class string, w int")
-    sizes = rows.groupBy("mix_class").agg(F.count(F.lit(1)).alias("k")).join(F.broadcast(shares), "mix_class")
-    periods = sizes.agg(F.greatest(F.lit(1), F.min(F.floor(F.col("k") / (F.col("w") * block))))).first()[0]  # one number
-    if periods is None:
-        return docs
-    taken = rows.where(F.col("mix_slot") < periods * total).select(F.col("doc_id").alias("taken"))
-    return docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken")), "left_semi")
-
-
 def ordered(docs: DataFrame, weights: dict[str, int] | None = None, block: int = BLOCK) -> DataFrame:
-    """Every row of docs with all its columns, and its mix_slot and mix_position: in their order the target weights hold for
-    as long as every source has blocks; a surplus follows in later periods. No row is left out."""
+    """Every row of docs with all its columns, and its mix_slot and mix_position (in place of columns of these names): in their
+    order the target weights hold for as long as every source has blocks; a surplus follows in later periods. No row is left
+    out; rows that are equal get places of their own."""
+    docs = docs.drop("mix_slot", "mix_position")
     rows = docs.select("doc_id", "source", F.struct(*docs.columns).alias("mix_row"))
     return schedule(rows, weights, block, ("doc_id", "mix_row")).select("mix_row.*", "mix_slot", "mix_position")

@@ -45,7 +45,7 @@ LONG = 64  # a list of more sets is compared in cells
 BLOCK, BLOCK_GRAMS = 256, 1 << 19  # sets, and n-grams, of a block of sets that are compared with another
 FILTER_BITS = 20  # bits of the filter that spares most texts a join
 
-_DOC = "doc_id bigint, n bigint, sid bigint, toks array<bigint>, pos array<int>, bins array<int>"
+_DOC = "doc_id bigint, n bigint, row_key bigint, sid bigint, toks array<bigint>, pos array<int>, bins array<int>"
 
 
 def need(n: int | np.ndarray, percent: int):
@@ -78,10 +78,10 @@ def _counted(sets: Iterable[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, K.U), *sets]) & ~K.U((1 << (64 - COUNT_BITS)) - 1))
 
 
-def prepare(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n (set size), and for the sets that share a prefix n-gram with another: sid, and once in each group the shared
+def prepare(docs: DataFrame, n: int = N, percent: int = PERCENT, key: Column | None = None) -> DataFrame:
+    """doc_id, n (set size), row_key, and for the sets that share a prefix n-gram with another: sid, and once in each group the shared
     prefix n-grams, their places, and counts of the set by hash range."""
-    groups = R.grouped(docs, F.col("text").cast("string").alias("text"))
+    groups = R.grouped(docs, F.col("text").cast("string").alias("text"), (F.lit(None) if key is None else key).cast("bigint").alias("row_key"))
 
     def send(rows: pa.Table, _: dict) -> R.Keys:
         return {1: (_counted(_sets(rows, n)), None)}
@@ -120,7 +120,7 @@ def prepare(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
             for c, v in zip(out, row, strict=True):
                 out[c].append(v)
         kinds = {"sid": pa.int64(), "toks": pa.list_(pa.int64()), "pos": pa.list_(pa.int32()), "bins": pa.list_(pa.int32())}
-        return pa.table({"doc_id": rows["doc_id"].cast(pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), **{c: pa.array(v, kinds[c]) for c, v in out.items()}})
+        return pa.table({"doc_id": rows["doc_id"].cast(pa.int64()), "n": pa.array([len(s) for s in sets], pa.int64()), "row_key": rows["row_key"], **{c: pa.array(v, kinds[c]) for c, v in out.items()}})
 
     return R.finish(groups, R.ask(groups, None, send, answer, masks=True), keep, _DOC)
 
@@ -291,11 +291,12 @@ def _joined(roots: DataFrame | None, links: DataFrame, scratch: Scratch) -> Data
     return scratch.save(moved.unionByName(more.select(F.col("node").alias("sid"), "root")))
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, links: bool = False) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, links: bool = False, key: Column | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, class_id (smallest doc_id with an equal set) of every row of docs (doc_id, text).
-    With links also n_links, the number of other rows that are similar enough."""
+    With links also n_links, the number of other rows that are similar enough. With key, a bigint of docs, also row_key (that)
+    and group_key, a number of the component that holds for rows without doc_id too, null for a row that is alone."""
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.save(prepare(docs, n, percent))
+    rows = scratch.save(prepare(docs, n, percent, key))
     reps = scratch.save(rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     one = scratch.save(rows.where("toks is not null").dropDuplicates(["sid"]).select("sid", "n", "toks", "pos", "bins"))
     counts = [F.get("bins", F.lit(i)).alias(f"b{i}") for i in range(1 << BIN_BITS)]
@@ -361,6 +362,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, link
         near = scratch.save(_count_links(members, sets_of(members), percent))
         named = scratch.save(named.join(near, "sid", "left").withColumn("n_links", F.col("copies") - 1 + F.coalesce("near", F.lit(0))))
         out.append("n_links")
-    alone = rows.where("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
-    joined = rows.where("sid is not null").join(named, "sid", "left").withColumnsRenamed({"n": "n_shingles", "rep": "class_id"})
+    if key is not None:
+        out += ["row_key", "group_key"]
+    alone = rows.where("sid is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"), "row_key", F.lit(None).cast("bigint").alias("group_key"))
+    joined = rows.where("sid is not null").join(named, "sid", "left").withColumnsRenamed({"n": "n_shingles", "rep": "class_id", "root": "group_key"})
     return scratch.save(alone.select(*out).unionByName(joined.select(*out)))

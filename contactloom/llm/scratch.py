@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.tables import shared_folder
+
 
 class Scratch:
     """Intermediate tables as Parquet under spark.checkpoint.dir: they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="checkpoint-")  # tests on one machine only
-            spark.sparkContext.setCheckpointDir(root)
-            spark.conf.set("spark.checkpoint.dir", root)
-        self.folder = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+        self.folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
         self.n = 0
 
     def path(self) -> str:

@@ -1,10 +1,12 @@
 """Sharding through fixed virtual slots.
 
-Records hash into SLOTS slots by doc_id, for good. Bytes and rows are summed for each slot, and a slot-to-shard map is made
+Records hash into SLOTS slots by doc_id and text, for good; only rows that are repeated so often that they would fill a slot
+are dealt over all slots (at most SLOTS such rows differ, so the table of them is bounded). Bytes and rows are summed for each slot, and a slot-to-shard map is made
 from those sums: heaviest slot first, to the lightest shard. The map is a small versioned table; rebalancing edits it, so
 only the records of the slots that were edited move. The number of slots bounds all that reaches the driver.
 
-Defined cases: a null text has no bytes and counts its row's 16; rows with the same doc_id share a slot; an empty table has
+Defined cases: a null text has no bytes and counts its row's 16; rows with the same doc_id and other texts are records of their own;
+an empty table has
 an empty result; extra columns are ignored.
 """
 
@@ -25,8 +27,20 @@ Sizes = dict[int, tuple[int, int]]
 Shards = dict[int, int]
 
 
-def slot_of(doc_id: str = "doc_id", slots: int = SLOTS):
-    return F.pmod(F.xxhash64(doc_id), F.lit(slots)).cast("int")
+def slot_of(*columns, slots: int = SLOTS):
+    return F.pmod(F.xxhash64(*columns), F.lit(slots)).cast("int")
+
+
+def in_slots(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds vslot to rows (doc_id, size, text_crc32)."""
+    record = ["doc_id", "size", "text_crc32"]
+    rows = scratch.save(rows)
+    often = max(64, rows.count() // SLOTS)
+    heavy = rows.groupBy(*record).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > often).select(*(F.col(c).alias(f"heavy_{c}") for c in record), F.lit(True).alias("heavy"))
+    same = [F.col(c).eqNullSafe(F.col(f"heavy_{c}")) for c in record]
+    marked = rows.join(F.broadcast(heavy), same, "left")  # SLOTS rows at most
+    salt = F.when(F.col("heavy"), F.monotonically_increasing_id())
+    return scratch.save(marked.select(*record, slot_of(*record, salt).alias("vslot")))
 
 
 def slot_sizes(rows: DataFrame) -> Sizes:
@@ -92,7 +106,7 @@ def shard_documents(docs: DataFrame, shards: int = 40, folder: str | None = None
     scratch = Scratch(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (F.octet_length(text) + F.lit(ROW_BYTES)).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"))
-    rows = scratch.save(rows.withColumn("vslot", slot_of()))
+    rows = in_slots(rows, scratch)
     sizes = slot_sizes(rows)
     shard_map = new_map(sizes, shards)
     table = map_table(spark, [shard_map], sizes)

@@ -103,6 +103,11 @@ def test_sharding(spark):
         load[r.shard] += r.size
     assert max(load.values()) - min(load.values()) <= max(r.size for r in rows)
     assert len({(r.vslot, r.shard) for r in rows}) == len({r.vslot for r in rows})
+    one = ship(spark).createDataFrame([(7, "same") if i % 3 else (7, f"text {i}") for i in range(4000)] + [(None, None)] * 300, "doc_id bigint, text string")
+    load = Counter()
+    for r in sharding.shard_documents(one, 5).collect():
+        load[r.shard] += r.size
+    assert max(load.values()) - min(load.values()) <= 30
     assert sharding.shard_documents(df.limit(0), 5).count() == 0
 
 
@@ -132,9 +137,7 @@ def test_schedule_is_fair(spark):
     for s in weights:
         at = sorted(r.mix_position for r in rows if r.mix_class == s)
         assert [p // 4 for p in at] == sorted(r.mix_slot for r in rows if r.mix_class == s)
-    kept = Counter(r.source or mixing.REST for r in mixing.mixed(frame(spark, 300), weights, 4).collect())
-    assert {s: n / kept[mixing.REST] for s, n in kept.items()} == {s: float(w) for s, w in weights.items()}
-    assert mixing.mixed(frame(spark).limit(0), weights).count() == 0
+    assert mixing.schedule(frame(spark).limit(0), weights).count() == 0
 
 
 def test_the_mix_of_the_pipeline_loses_no_document(spark):
@@ -223,6 +226,52 @@ def test_language_id_cases(spark):
     assert {r.lang_pred for r in lang_id.identify(df.where("lang is null")).collect()} == {"und"}
 
 
+def test_phrases_against_brute_force(spark, monkeypatch):
+    """Greedy longest matches by Python's own search, for short and long texts and more languages than one pass takes."""
+    rng = np.random.default_rng(4)
+    names = [f"l{i:02d}" for i in range(11)]
+    letters = {n: rng.choice(list("abcdefgh "), 5) for n in names}
+    make = lambda n, size: "".join(rng.choice(letters[n], size))
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(ids[i], make(names[i % 11], int(rng.integers(1, 300))), names[i % 11]) for i in range(44)]
+    rows += [(ids[50], make("l03", 9000), None), (ids[51], "\u00e9\u00e8 a" * 50, None), (ids[52], "A", None)] + [rows[0]] * 3
+    monkeypatch.setattr(lang_id, "LANE", 100)
+    df = ship(spark).createDataFrame(rows, "doc_id bigint, text string, lang string")
+    models = lang_id.learn(df)
+    assert [n for m in models for n in m.names] == names and len(models) == 2
+    fold = lambda b: 0 if b < 65 or 90 < b < 97 or 122 < b < 128 else b + 32 if b < 97 and b < 91 else b
+    samples = {n: b"" for n in names}
+    by = {(r[2], r[0]): r[1] for r in rows if r[2]}
+    order = {r.doc_id: r.h for r in df.selectExpr("doc_id", "xxhash64(doc_id) h").collect()}
+    for n in names:
+        picked = {}
+        for (lang, d), text in by.items():
+            if lang == n:
+                picked[order[d] % lang_id.DOCS] = min(picked.get(order[d] % lang_id.DOCS, (order[d], text)), (order[d], text))
+        samples[n] = b"".join(b"\n" + text.encode() for _, text in sorted(picked.values()))[: lang_id.SAMPLE]
+    held = {n: bytes(map(fold, s)) for n, s in samples.items()}
+
+    def phrases(text, sample):
+        count, at = 0, 0
+        while at < len(text):
+            end = at + 1
+            while end < len(text) and text[at:end] in sample and text[at : end + 1] in sample:
+                end += 1
+            count, at = count + 1, end
+        return count
+
+    texts = [r[1].encode() for r in rows]
+    cut = np.cumsum([0, *map(len, texts)])
+    for model in models:
+        got = model.phrases(np.frombuffer(b"".join(texts), np.uint8), cut)
+        for i, n in enumerate(model.names):
+            assert got[i].tolist() == [phrases(bytes(map(fold, t)), held[n]) for t in texts], n
+    bits = {t: {n: phrases(bytes(map(fold, t)), held[n]) * np.log2(len(samples[n])) / len(t) for n in names} for t in texts}
+    for r in lang_id.predict(df.select("doc_id", "text"), models, "text").collect():
+        low = sorted((v, n) for n, v in bits[r.text.encode()].items())
+        assert r.lang_pred == low[0][1] and abs(r.score - (1 - low[0][0] / low[1][0])) < 1e-9
+
+
 def test_automaton_finds_longest_matches():
     text = [1, 2, 1, 2, 3, 1, 1, 2]
     table = lang_id.automaton(text, 4)
