@@ -30,7 +30,7 @@ LANGUAGES = 8  # scored in one pass
 DOCS = 128
 TAKE = 2000
 SAMPLE = 40_000
-LANE = 1 << 14
+LANE = 1 << 13
 FOLDS, HELD = 3, 1
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -92,15 +92,18 @@ class Model:
         number = np.full(256, len(seen), np.uint8)
         number[seen] = np.arange(len(seen))
         self.symbol = number[FOLD]
-        self.tables, self.first, self.cost = [], [], []
+        tables, firsts, self.cost, size = [], [], [], 0
         for name in self.names:
             text = self.symbol[np.frombuffer(samples[name], np.uint8)]
             table = automaton(text.tolist(), self.width)
             outside = np.full((1, self.width), -1, np.int32)  # the state before a text, and after a symbol that the sample lacks
-            table = np.concatenate((table, outside)).ravel() * self.width  # premultiplied; -width is none
-            self.tables.append(table)
-            self.first.append(np.where(table[: self.width] < 0, len(table) - self.width, table[: self.width]).astype(np.int32))
+            table = np.concatenate((table, outside)).ravel()
+            tables.append(np.where(table < 0, -1, table * self.width + size).astype(np.int32))  # a state is where its row begins
+            size += len(table)
+            firsts.append(np.where(tables[-1][: self.width] < 0, size - self.width, tables[-1][: self.width]))
             self.cost.append(np.log2(max(2, len(text))))
+        self.step, self.first = np.concatenate(tables), np.array(firsts, np.int32)
+        self.outside = np.cumsum([len(t) for t in tables]).astype(np.int32) - self.width
 
     def phrases(self, data: np.ndarray, cut: np.ndarray) -> np.ndarray:
         """Phrases of each text against each language."""
@@ -110,29 +113,29 @@ class Model:
         order = np.argsort(-size, kind="stable")  # lanes that end first are last
         order = order[np.searchsorted(-size[order], -LANE) :]
         at, n = cut[:-1][order], size[order]
-        state = np.array([[len(t) - self.width] for t in self.tables], np.int32).repeat(len(order), axis=1)
+        state = self.outside[:, None].repeat(len(order), axis=1)
         found = np.zeros((len(self.names), len(order)), np.int64)
         steps = int(n[0]) if len(n) else 0
         lanes = np.searchsorted(-n, -np.arange(steps), "left").tolist()  # lanes longer than each step
         for step, m in enumerate(lanes):
             c = text[at[:m] + step].astype(np.int32)
-            for i, table in enumerate(self.tables):
-                to = table[state[i, :m] + c]
-                stop = np.flatnonzero(to < 0)
-                if len(stop):
-                    found[i, stop] += 1
-                    to[stop] = self.first[i][c[stop]]  # a new phrase; a symbol that the sample lacks is one by itself
-                state[i, :m] = to
+            to = self.step[state[:, :m] + c]
+            i, stop = np.nonzero(to < 0)
+            if len(i):
+                found[i, stop] += 1
+                to[i, stop] = self.first[i, c[stop]]  # a new phrase; a symbol that the sample lacks is one by itself
+            state[:, :m] = to
         count[:, order] = found
+        table = memoryview(self.step)
         for d in np.flatnonzero(size > LANE).tolist():
             symbols = text[cut[d] : cut[d + 1]].tolist()
-            for i, table in enumerate(self.tables):
-                step, first, at_state, phrases = memoryview(table), self.first[i].tolist(), len(table) - self.width, 0
+            for i, now in enumerate(self.outside.tolist()):
+                first, phrases = self.first[i].tolist(), 0
                 for c in symbols:
-                    at_state = step[at_state + c]
-                    if at_state < 0:
+                    now = table[now + c]
+                    if now < 0:
                         phrases += 1
-                        at_state = first[c]
+                        now = first[c]
                 count[i, d] = phrases
         return count
 
