@@ -167,6 +167,8 @@ def ask(groups: DataFrame, got: DataFrame | None, send: Callable[[pa.Table, Box]
                         if back[start:end].any():
                             letters.setdefault(g // GROUPS_PER_HALL, []).append((g, as_kind, flags(back[start:end]), np.array([b])))
                     continue
+                if not mask.any():
+                    continue
                 k, s = keys[mask], senders[mask]
                 by = np.argsort(s, kind="stable")  # keys stay sorted within a sender
                 k, s = k[by], s[by]

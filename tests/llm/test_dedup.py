@@ -9,6 +9,7 @@ import pytest
 
 from contactloom import ship
 from contactloom.llm.ngram_jaccard import ngram_jaccard_join
+from contactloom.llm.scratch import Scratch
 from contactloom.llm.substring_dedup import COVER, PERIOD, substring_dedup
 from contactloom.llm.suffix_dedup import suffix_dedup
 
@@ -154,3 +155,60 @@ def test_components(spark):
                 todo += near[n]
     got = {r.node: r.root for r in components(ship(spark).createDataFrame(edges, "a bigint, b bigint"), Scratch(spark)).collect()}
     assert {n: got.get(n, n) for n in want} == want
+
+
+def test_texts_of_much_structure(spark):
+    """Patterns that give equal sums in a polynomial modulo 2**64, whatever its base."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    x, y = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    tail = " ".join(f"w{i}" for i in range(12))
+    df = ship(spark).createDataFrame([(1, f"{x} {tail}"), (2, f"{y} {tail}"), (3, f"{x} a b c d"), (4, f"{y} a b c d"), (5, x), (6, y)], "doc_id bigint, text string")
+    assert {r.n_removed for r in substring_dedup(df).collect()} == {0}
+    got = {r.doc_id: r.component_id for r in ngram_jaccard_join(df.where("doc_id > 2")).collect()}
+    assert got == {3: 3, 4: 4, 5: 5, 6: 6}
+    texts = {5: x.encode(), 6: y.encode()}
+    count = Counter(t[i : i + 400] for t in texts.values() for i in range(len(t) - 399))
+    for r in suffix_dedup(df.where("doc_id > 4")).collect():
+        gone = {j for i in range(625) if count[texts[r.doc_id][i : i + 400]] > 1 for j in range(i, i + 400)}
+        assert r.n_removed == len(gone)
+
+
+def test_pairs_of_a_group_grow_with_its_size(spark, monkeypatch):
+    """Near copies of one text, about half of whose pairs link: links by brute force, and few pairs compared one by one."""
+    from contactloom.llm import ngram_jaccard as J
+
+    seen, whole = [], J._verify
+    monkeypatch.setattr(J, "_verify", lambda pairs, *more: (seen.append(pairs.count()), whole(pairs, *more))[1])
+    monkeypatch.setattr(J, "BLOCK", 64)
+    totals = {}
+    for size in (150, 600):
+        rng = random.Random(size)
+        base = [f"b{i}" for i in range(150)]
+        texts = {0: list(base)}
+        for d in range(1, size):
+            texts[d] = [f"e{d}.{i}" if i in edits else w for edits in [set(rng.sample(range(150), rng.randint(1, 3)))] for i, w in enumerate(base)]
+        sets = {d: {tuple(w[i : i + 5]) for i in range(146)} for d, w in texts.items()}
+        want = {d: sum(e != d and 100 * len(s & t) >= 80 * len(s | t) for e, t in sets.items()) for d, s in sets.items()}
+        seen.clear()
+        got = ngram_jaccard_join(ship(spark).createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id bigint, text string"), links=True).collect()
+        assert {r.doc_id: r.n_links for r in got} == want
+        assert {r.component_id for r in got} == {0}
+        totals[size] = sum(seen)
+    assert all(pairs <= 4 * size for size, pairs in totals.items())  # two hubs a round, two rounds; measured 297 and 1495
+
+
+def test_stages_of_the_pipeline_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "lang", "source", "n_chars", "lang_pred", "score", "gone", "kept", "n_words", "row_key", "group_key", "mix_class", "copies", "odd name", "_best"]
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (2, text + " more"), (None, text), (None, "other words"), (3, None), (4, "12"), (5, ""), (1, "same id, another text"), (6, "x " * 30000)]
+    df = ship(spark).createDataFrame([(d, t, "en" if d else None, None, 1, *[i] * 11) for i, (d, t) in enumerate(rows)], ", ".join(f"`{n}` {'string' if n in ('text', 'lang', 'source') else 'bigint'}" for n in names))
+    want = {"language_id": [1, 1, 2, None, None, 1, 6], "near_duplicates": [1, None, 1, 6], "repeated_passages": [1, None, 1, 6], "source_mix": [1, None, 1, 6]}
+    scratch = Scratch(spark)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, df.limit(0), "").count() == 0
+        df = scratch.save(stage(spark, df, ""))
+        assert df.columns == names + ["mix_slot", "mix_position"] * (name == "source_mix")
+        assert Counter(r.doc_id for r in df.collect()) == Counter(want[name]), name
+    assert all(rows[r.gone] == (r.doc_id, r.text) for r in df.collect())
