@@ -45,6 +45,7 @@ ROLE_LOCAL = [
     "info", "contact", "sales", "support", "hello", "office", "admin", "enquiries", "inquiries", "enquiry", "service", "booking",
     "reservations", "mail", "team",
 ]
+#: Lists, as Spark and DuckDB build different patterns of them
 AT_WORDS = ["at", "@", "chiocciola", "arroba", "ät"]
 DOT_WORDS = ["dot", "punto", "ponto", "point"]
 GLUED_TLD = r"(\.[a-z]{2,3})[A-Z][a-z]+$"
@@ -74,32 +75,93 @@ COUNTRY_ALIASES = {
     "swaziland": "SZ",
 }
 
+#: Keyword -> (key, value) tags
 CATEGORY_TAGS = {
-    "restaurant": "amenity=restaurant", "cafe": "amenity=cafe", "coffee shop": "amenity=cafe", "fast food": "amenity=fast_food",
-    "bar": "amenity=bar", "pub": "amenity=pub", "bakery": "shop=bakery", "hotel": "tourism=hotel", "guest house": "tourism=guest_house",
-    "hostel": "tourism=hostel", "motel": "tourism=motel", "dentist": "amenity=dentist healthcare=dentist",
-    "doctor": "amenity=doctors healthcare=doctor", "clinic": "amenity=clinic healthcare=clinic", "hospital": "amenity=hospital",
-    "pharmacy": "amenity=pharmacy", "veterinary": "amenity=veterinary", "optician": "shop=optician", "gym": "leisure=fitness_centre",
-    "fitness": "leisure=fitness_centre", "spa": "leisure=spa amenity=spa", "beauty salon": "shop=beauty", "hairdresser": "shop=hairdresser",
-    "barber": "shop=hairdresser", "school": "amenity=school", "university": "amenity=university", "college": "amenity=college",
-    "kindergarten": "amenity=kindergarten", "language school": "amenity=language_school", "driving school": "amenity=driving_school",
-    "bank": "amenity=bank", "atm": "amenity=atm", "insurance": "office=insurance", "real estate": "office=estate_agent",
-    "estate agent": "office=estate_agent", "lawyer": "office=lawyer", "law firm": "office=lawyer", "accountant": "office=accountant",
-    "architect": "office=architect", "travel agency": "shop=travel_agency office=travel_agent", "it company": "office=it",
-    "software company": "office=it", "company": "office=company", "ngo": "office=ngo", "supermarket": "shop=supermarket",
-    "grocery": "shop=convenience shop=supermarket", "clothing store": "shop=clothes", "shoe store": "shop=shoes", "jewelry": "shop=jewelry",
-    "furniture": "shop=furniture", "electronics": "shop=electronics", "mobile shop": "shop=mobile_phone", "computer store": "shop=computer",
-    "hardware store": "shop=hardware shop=doityourself", "bookstore": "shop=books", "florist": "shop=florist", "car dealer": "shop=car",
-    "car repair": "shop=car_repair", "car wash": "amenity=car_wash", "car rental": "amenity=car_rental", "fuel": "amenity=fuel",
-    "gas station": "amenity=fuel", "bike shop": "shop=bicycle", "photographer": "craft=photographer shop=photo",
-    "printing": "shop=copyshop craft=printer", "laundry": "shop=laundry shop=dry_cleaning", "electrician": "craft=electrician",
-    "plumber": "craft=plumber", "carpenter": "craft=carpenter", "builder": "craft=builder",
-    "construction": "office=construction_company craft=builder", "wedding": "shop=wedding amenity=events_venue",
-    "event venue": "amenity=events_venue", "coworking": "amenity=coworking_space", "cinema": "amenity=cinema",
-    "nightclub": "amenity=nightclub", "pet shop": "shop=pet", "supplier": "shop=wholesale", "wholesale": "shop=wholesale",
-    "factory": "man_made=works industrial=factory", "warehouse": "building=warehouse", "marketing agency": "office=advertising_agency",
-    "advertising agency": "office=advertising_agency", "recruitment": "office=employment_agency",
-    "telecom": "office=telecommunication shop=mobile_phone",
+    "restaurant": [("amenity", "restaurant")],
+    "cafe": [("amenity", "cafe")],
+    "coffee shop": [("amenity", "cafe")],
+    "fast food": [("amenity", "fast_food")],
+    "bar": [("amenity", "bar")],
+    "pub": [("amenity", "pub")],
+    "bakery": [("shop", "bakery")],
+    "hotel": [("tourism", "hotel")],
+    "guest house": [("tourism", "guest_house")],
+    "hostel": [("tourism", "hostel")],
+    "motel": [("tourism", "motel")],
+    "dentist": [("amenity", "dentist"), ("healthcare", "dentist")],
+    "doctor": [("amenity", "doctors"), ("healthcare", "doctor")],
+    "clinic": [("amenity", "clinic"), ("healthcare", "clinic")],
+    "hospital": [("amenity", "hospital")],
+    "pharmacy": [("amenity", "pharmacy")],
+    "veterinary": [("amenity", "veterinary")],
+    "optician": [("shop", "optician")],
+    "gym": [("leisure", "fitness_centre")],
+    "fitness": [("leisure", "fitness_centre")],
+    "spa": [("leisure", "spa"), ("amenity", "spa")],
+    "beauty salon": [("shop", "beauty")],
+    "hairdresser": [("shop", "hairdresser")],
+    "barber": [("shop", "hairdresser")],
+    "school": [("amenity", "school")],
+    "university": [("amenity", "university")],
+    "college": [("amenity", "college")],
+    "kindergarten": [("amenity", "kindergarten")],
+    "language school": [("amenity", "language_school")],
+    "driving school": [("amenity", "driving_school")],
+    "bank": [("amenity", "bank")],
+    "atm": [("amenity", "atm")],
+    "insurance": [("office", "insurance")],
+    "real estate": [("office", "estate_agent")],
+    "estate agent": [("office", "estate_agent")],
+    "lawyer": [("office", "lawyer")],
+    "law firm": [("office", "lawyer")],
+    "accountant": [("office", "accountant")],
+    "architect": [("office", "architect")],
+    "travel agency": [("shop", "travel_agency"), ("office", "travel_agent")],
+    "it company": [("office", "it")],
+    "software company": [("office", "it")],
+    "company": [("office", "company")],
+    "ngo": [("office", "ngo")],
+    "supermarket": [("shop", "supermarket")],
+    "grocery": [("shop", "convenience"), ("shop", "supermarket")],
+    "clothing store": [("shop", "clothes")],
+    "shoe store": [("shop", "shoes")],
+    "jewelry": [("shop", "jewelry")],
+    "furniture": [("shop", "furniture")],
+    "electronics": [("shop", "electronics")],
+    "mobile shop": [("shop", "mobile_phone")],
+    "computer store": [("shop", "computer")],
+    "hardware store": [("shop", "hardware"), ("shop", "doityourself")],
+    "bookstore": [("shop", "books")],
+    "florist": [("shop", "florist")],
+    "car dealer": [("shop", "car")],
+    "car repair": [("shop", "car_repair")],
+    "car wash": [("amenity", "car_wash")],
+    "car rental": [("amenity", "car_rental")],
+    "fuel": [("amenity", "fuel")],
+    "gas station": [("amenity", "fuel")],
+    "bike shop": [("shop", "bicycle")],
+    "photographer": [("craft", "photographer"), ("shop", "photo")],
+    "printing": [("shop", "copyshop"), ("craft", "printer")],
+    "laundry": [("shop", "laundry"), ("shop", "dry_cleaning")],
+    "electrician": [("craft", "electrician")],
+    "plumber": [("craft", "plumber")],
+    "carpenter": [("craft", "carpenter")],
+    "builder": [("craft", "builder")],
+    "construction": [("office", "construction_company"), ("craft", "builder")],
+    "wedding": [("shop", "wedding"), ("amenity", "events_venue")],
+    "event venue": [("amenity", "events_venue")],
+    "coworking": [("amenity", "coworking_space")],
+    "cinema": [("amenity", "cinema")],
+    "nightclub": [("amenity", "nightclub")],
+    "pet shop": [("shop", "pet")],
+    "supplier": [("shop", "wholesale")],
+    "wholesale": [("shop", "wholesale")],
+    "factory": [("man_made", "works"), ("industrial", "factory")],
+    "warehouse": [("building", "warehouse")],
+    "marketing agency": [("office", "advertising_agency")],
+    "advertising agency": [("office", "advertising_agency")],
+    "recruitment": [("office", "employment_agency")],
+    "telecom": [("office", "telecommunication"), ("shop", "mobile_phone")],
 }
 CATEGORY_ALIASES = {
     "restaurants": "restaurant", "dentists": "dentist", "hotels": "hotel", "doctors": "doctor", "clinics": "clinic", "gyms": "gym",

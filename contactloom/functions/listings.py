@@ -45,7 +45,7 @@ def identities(place_id: Column, map_url: Column, phone: Column, email: Column,
 
 def category_tags(spark: SparkSession) -> DataFrame:
     """keyword, k, v; aliases and plurals included."""
-    rows = [(w, *t.split("=")) for w, tags in fixed.CATEGORY_TAGS.items() for t in tags.split()]
+    rows = [(w, k, v) for w, tags in fixed.CATEGORY_TAGS.items() for k, v in tags]
     rows += [(alias, k, v) for alias, w in fixed.CATEGORY_ALIASES.items() for word, k, v in rows if word == w]
     known = {w for w, *_ in rows}
     rows += [(w + "s", k, v) for w, k, v in rows if w + "s" not in known]
@@ -58,7 +58,7 @@ def resolve(category: str) -> tuple[list[tuple[str, str]], bool]:
     c = fixed.CATEGORY_ALIASES.get(c, c)
     for word in (c, c.removesuffix("s")):
         if word in fixed.CATEGORY_TAGS:
-            return [tuple(t.split("=")) for t in fixed.CATEGORY_TAGS[word].split()], True
+            return fixed.CATEGORY_TAGS[word], True
     if "=" in c:
         k, _, v = category.strip().partition("=")
         return [(k.strip(), v.strip())], True

@@ -111,7 +111,7 @@ TEXT = "regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(scr
 _ASKED = ["UK", " uae", "de", "USA", "Deu", "xx", "Holland"]
 _REGION = ", ".join(f"({text(c)}, {text(n.lower())}, {text(a.lower())}, {c != 'EG'})" for c, n, a in REGIONS)
 _ALIAS = ", ".join(f"({text(k)}, {text(v)})" for k, v in fixed.COUNTRY_ALIASES.items())
-_CATEGORY = ", ".join(f"({text(k)}, {text(t.split('=')[0])}, {text(t.split('=')[1])})" for k, v in fixed.CATEGORY_TAGS.items() for t in v.split())
+_CATEGORY = ", ".join(f"({text(w)}, {text(k)}, {text(v)})" for w, tags in fixed.CATEGORY_TAGS.items() for k, v in tags)
 QUALIFIES = "(phone <> '' or email <> '')"
 
 ORACLE: dict[str, str] = {
