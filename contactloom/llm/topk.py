@@ -1,31 +1,34 @@
 """Exact top-k by inner product, with a uniform threshold in three phases.
 
-The components are split into LISTS lists; a vector's score is the sum of its partial scores in each. Phase 1 gathers, for
-each query, the best entries of each list on every partition, resolves their scores, and the k-th best of all of them is a
-safe cutoff. Phase 2 broadcasts it: an entry whose partial scores all lie below an equal share of the cutoff (each measured
-from the list's minimum) can't reach it and is never looked at again. Phase 3 resolves the others exactly and ranks them.
-
-Queries are taken in blocks of bounded size against all rows. Components are turned into floor(scale * x), and all scores
-are integers. Defined cases: vectors that are null or hold a null or non-finite component take no part; a query's own
-vec_id is never its candidate; vectors of another number of components are no candidates; rows that repeat a vec_id are
+The components are split into LISTS lists; a vector's score is the sum of its partial scores in each. Rows are stored in
+slices, and every block of queries meets every slice. Phase 1 gathers, for each query, the k best entries of each list and
+the list's minimum, and resolves the scores of these entries alone; the k-th best of them is a safe cutoff. Phase 2 sends it
+with the query: an entry whose partial scores all lie below an equal share of the cutoff (each measured from the list's
+minimum) can't reach it and is never looked at again. Phase 3 resolves the others exactly and ranks them. Neither rows nor
+queries nor cutoffs pass through the driver.
+
+Components are turned into floor(scale * x), and all scores are integers. Defined cases: vectors that are null or hold a
+null or non-finite component take no part; a query's own vec_id is never its candidate; of queries that repeat a vec_id, the
+smallest vector is taken; vectors of another number of components are no candidates; rows that repeat a vec_id are
 candidates of their own; ties go to the smaller vec_id; extra columns are ignored. Scores beyond 2**63 aren't supported.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import vectors as V
+from .scratch import Scratch
 
 K = 10
 LISTS = 2
 SCALE = 1024
 _HITS = "query_id bigint, vec_id bigint, score bigint"
+_NONE = np.iinfo(np.int64).min  # the cutoff of a query with fewer than k candidates
 
 
 def _whole(x: np.ndarray, scale: int) -> np.ndarray:
@@ -41,79 +44,95 @@ def _partials(q: np.ndarray, x: np.ndarray) -> list[np.ndarray]:
     return [(q[:, a:b] @ x[:, a:b].T).astype(np.int64) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray, scale: int):
-    step = max(1, V.SCORES // len(ids))
-    for batch in batches:
-        for vec, x in V.matrices(batch):
-            if x.shape[1] == q.shape[1]:
-                for a in range(0, len(vec), step):
-                    yield vec[a : a + step], _partials(q, _whole(x[a : a + step], scale))
+def exact_top_k(df: DataFrame, k: int = K, every: int = 100, scale: int = SCALE) -> DataFrame:
+    """query_id, rank, vec_id, score of df (vec_id, embedding), for the queries whose vec_id is divisible by `every`."""
+    scratch = Scratch(df.sparkSession)
+    df = df.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
+    asked = scratch.save(V.queries(df, every))
+    stored = scratch.save(_slices(df, scale))
+    first = V.meetings(stored, _slices(asked, scale), scratch).mapInArrow(_gather(k), "query_id bigint, list int, score bigint")
+    cutoffs = _cutoffs(scratch.save(first), k)
+    sent = asked.join(cutoffs, F.col("query_id") == F.col("vec_id"), "left").drop("query_id")
+    return V.ranked(V.meetings(stored, _slices(sent, scale, ["cutoff", *_LOWS]), scratch).mapInArrow(_resolve(k), _HITS), k, F.desc("score"), "vec_id")
+
+
+_LOWS = [f"low_{i}" for i in range(LISTS)]
+
+
+def _slices(df: DataFrame, scale: int, more: list[str] = []) -> DataFrame:  # noqa: B006
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[V.Chunk]:
+        for batch in batches:
+            for place, ids, x in V.matrices(batch):
+                extra = [batch.column(n).fill_null(_NONE).to_numpy(zero_copy_only=False)[place] for n in more]
+                yield np.zeros(len(ids), np.int64), ids, _whole(x, scale), np.array(extra, np.int64).reshape(len(more), len(ids)).T
 
+    return df.mapInArrow(lambda batches: V.slices(rows(batches)), V.SLICE)
+
+
+def _gather(k: int):
+    """Phase 1. Of each query: the scores of the best entries of the lists (list null), and the minimum of each list."""
 
-def _phase_1(df: DataFrame, ids: np.ndarray, q: np.ndarray, k: int, scale: int) -> DataFrame:
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        low = np.full((LISTS, len(ids)), np.iinfo(np.int64).max)
-        at, vec, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for v, parts in _blocks(batches, ids, q, scale):
-            total = sum(parts)
-            low = np.minimum(low, [p.min(1) for p in parts])
-            own = ids[:, None] == v[None, :]
-            take = [np.argpartition(np.where(own, np.iinfo(np.int64).min, p), max(0, p.shape[1] - k), axis=1)[:, -k:] for p in parts]
-            cols = np.concatenate(take, axis=1)
-            rows = np.repeat(np.arange(len(ids)), cols.shape[1])
-            pair = np.unique(rows * len(v) + cols.ravel())
+        top = V.Held(lambda q, s: V.best(q, s, -s, k))
+        low = V.Held(lambda q, i, s: V.best(q * LISTS + i, s, s, 1))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if (got := top.take()) is not None:
+                yield pa.record_batch([pa.array(got[0]), pa.nulls(len(got[0]), pa.int32()), pa.array(got[1])], names=["query_id", "list", "score"])
+            if (got := low.take()) is not None:
+                yield pa.record_batch([pa.array(got[0]), pa.array(got[1].astype(np.int32)), pa.array(got[2])], names=["query_id", "list", "score"])
+
+        for v, x, _, ids, q, _ in V.pairs(batches, np.int64, np.int64):
+            parts, own = _partials(q, x), ids[:, None] == v[None, :]
+            best = []
+            for i, p in enumerate(parts):
+                low.add(ids, np.full(len(ids), i), p.min(1))
+                best.append(np.argpartition(np.where(own, _NONE, p), max(0, len(v) - k), axis=1)[:, -k:])
+            cols = np.concatenate(best, axis=1)
+            pair = np.unique(np.repeat(np.arange(len(ids)), cols.shape[1]) * len(v) + cols.ravel())
             rows, cols = pair // len(v), pair % len(v)
-            other = ids[rows] != v[cols]
+            other = ~own[rows, cols]
             rows, cols = rows[other], cols[other]
-            at, vec, score = np.concatenate((at, rows)), np.concatenate((vec, v[cols])), np.concatenate((score, total[rows, cols]))
-            top = V.best(at, vec, -score, k)
-            at, vec, score = at[top], vec[top], score[top]
-        if (low[0] < np.iinfo(np.int64).max).any():
-            yield pa.record_batch([pa.array(ids[at]), pa.array(score), pa.array(np.zeros(len(at), np.int64))], names=["query_id", "score", "kind"])
-            for i in range(LISTS):
-                yield pa.record_batch([pa.array(ids), pa.array(low[i]), pa.array(np.full(len(ids), i + 1))], names=["query_id", "score", "kind"])
+            top.add(ids[rows], sum(p[rows, cols] for p in parts))
+            if top.full() or low.full():
+                yield from out()
+        yield from out()
 
-    return df.mapInArrow(lists, "query_id bigint, score bigint, kind bigint")
+    return lists
 
 
-def exact_top_k(df: DataFrame, k: int = K, every: int = 100, scale: int = SCALE) -> DataFrame:
-    """query_id, rank, vec_id, score of df (vec_id, embedding), for the queries whose vec_id is divisible by `every`."""
-    df = df.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding")
-    found = [df.sparkSession.createDataFrame([], _HITS)]
-    for ids, vectors in V.query_blocks(df, every):
-        q = _whole(vectors, scale)
-        entries = _phase_1(df, ids, q, k, scale)
-        kth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score")))
-        cutoffs = entries.where("kind = 0").withColumn("r", kth).where(F.col("r") <= k).groupBy("query_id").agg(F.min("score").alias("score"), F.count(F.lit(1)).alias("kind"))
-        lows = entries.where("kind > 0").groupBy("query_id", "kind").agg(F.min("score").alias("score")).select("query_id", "score", -F.col("kind"))
-        cutoff, low = np.full(len(ids), np.iinfo(np.int64).min), np.zeros((LISTS, len(ids)), np.int64)
-        place = {v: i for i, v in enumerate(ids.tolist())}
-        for v, score, kind in cutoffs.union(lows).collect():  # LISTS + 1 rows for each query of the block
-            if kind < 0:
-                low[-kind - 1, place[v]] = score
-            elif kind == k:
-                cutoff[place[v]] = score
-        found.append(_phases_2_and_3(df, ids, q, cutoff, low, k, scale))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return reduce(DataFrame.unionByName, found).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _phases_2_and_3(df: DataFrame, ids: np.ndarray, q: np.ndarray, cutoff: np.ndarray, low: np.ndarray, k: int, scale: int) -> DataFrame:
-    sent = df.sparkSession.sparkContext.broadcast((ids, q, cutoff, low))
+def _cutoffs(gathered: DataFrame, k: int) -> DataFrame:
+    """query_id, the k-th best score if there are k, and the minimum of each list."""
+    best = V.ranked(gathered.where("list is null").withColumn("vec_id", F.lit(0)), k, F.desc("score"))
+    best = best.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).alias("cutoff"))
+    lows = gathered.where("list is not null").groupBy("query_id").agg(*(F.min(F.when(F.col("list") == i, F.col("score"))).alias(n) for i, n in enumerate(_LOWS)))
+    return lows.join(best, "query_id", "left")
+
+
+def _resolve(k: int):
+    """Phases 2 and 3."""
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, cutoff, low = sent.value
-        known = cutoff > np.iinfo(np.int64).min
-        share = np.where(known, cutoff - low.sum(0), 0)  # of all lists together, above their minima
-        for v, parts in _blocks(batches, ids, q, scale):
-            passing = ~known[:, None]
+        held = V.Held(lambda q, v, s: V.best(q, v, -s, k))
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if (got := held.take()) is not None:
+                yield pa.record_batch([pa.array(c) for c in got], names=["query_id", "vec_id", "score"])
+
+        for v, x, _, ids, q, more in V.pairs(batches, np.int64, np.int64):
+            cutoff, low = more[:, 0], more[:, 1:].T
+            known = cutoff != _NONE
+            share = np.where(known, cutoff - low.sum(0), 0)  # of all lists together, above their minima
+            parts = _partials(q, x)
+            passing = np.repeat(~known[:, None], len(v), 1)
             for p, lo in zip(parts, low, strict=True):
-                passing = passing | (LISTS * (p - lo[:, None]) >= share[:, None])
+                passing |= LISTS * (p - lo[:, None]) >= share[:, None]
             at, col = np.nonzero(passing)
             score = sum(p[at, col] for p in parts)
             ok = (score >= cutoff[at]) & (ids[at] != v[col])
-            at, vec, score = at[ok], v[col[ok]], score[ok]
-            top = V.best(at, vec, -score, k)
-            yield pa.record_batch([pa.array(ids[at[top]]), pa.array(vec[top]), pa.array(score[top])], names=["query_id", "vec_id", "score"])
+            held.add(ids[at[ok]], v[col[ok]], score[ok])
+            if held.full():
+                yield from out()
+        yield from out()
 
-    return df.mapInArrow(resolve, _HITS)
+    return resolve

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from contactloom import ship
-from contactloom.llm import lang_id, mixing, records, sharding
+from contactloom.llm import lang_id, mixing, multi_index, records, sharding, vectors as vector_lists
 from contactloom.llm.multi_index import nearest
 from contactloom.llm.packing import hilbert, pack_documents
 from contactloom.llm.tokens import encoder
@@ -202,8 +202,44 @@ def test_nearest(spark):
         assert [s for _, s in got[q]] == sorted(s for _, s in got[q])
         for i, s in got[q]:
             assert s == pytest.approx(float(np.sqrt(((x[i] - x[q]) ** 2).sum())), abs=1e-12)
-    assert hits >= 9 * len(got)
+    assert hits >= 9 * len(got) and set(got) == {i for i in x if i % 100 == 0}
     assert nearest(df.limit(0)).count() == 0
+    assert nearest(df.where("vec_id in (10, 100, 200)")).count() == 2  # 10 has one component
+    assert nearest(df.unionByName(df.where("vec_id = 100"))).where("query_id = 100 and vec_id = 100").count() == 0
+
+
+def test_nearest_takes_all_cells_or_some(spark):
+    """With all cells the search is exact; with few it finds less, so cells are left out at this size."""
+    df, rows = vectors(spark)
+    x = {i: np.array(v, np.float32).astype(float) for i, v in usable(rows, False).items()}
+    want = {q: {i for _, i in sorted((float(np.sqrt(((v - x[q]) ** 2).sum())), i) for i, v in x.items() if i != q)[:10]} for q in x if q % 100 == 0}
+    found = {}
+    for share in (1.0, 0.0):
+        hits = [r.vec_id in want[r.query_id] for r in nearest(df, share=share).collect()]
+        found[share] = sum(hits) / (10 * len(want))
+    assert found[1.0] == 1 and found[0.0] < 1
+
+
+def test_traversal_is_in_order_of_summed_distance():
+    rng = np.random.default_rng(5)
+    index = (rng.standard_normal((7, 2)), rng.standard_normal((5, 3)))
+    sizes = rng.integers(0, 4, 35)
+    q = rng.standard_normal(5)
+    sums = ((index[0] - q[:2]) ** 2).sum(1)[:, None] + ((index[1] - q[2:]) ** 2).sum(1)[None, :]
+    order = [c for c in sums.ravel().argsort().tolist() if sizes[c]]
+    for enough in (1, 9, sizes.sum()):
+        n = int(np.searchsorted(np.cumsum(sizes[order]), enough)) + 1
+        assert multi_index.traverse(q, index, sizes, enough).tolist() == order[:n]
+
+
+def test_small_slices_and_little_memory(spark, monkeypatch):
+    """Lists in many slices and partitions, and tasks that give away what they hold at once."""
+    df, _ = vectors(spark)
+    whole = {f: sorted(map(tuple, f(df).collect())) for f in (exact_top_k, nearest)}
+    for name, value in (("SLICE_ROWS", 16), ("OPEN_BYTES", 4096), ("PART_BYTES", 8192), ("HELD", 8)):
+        monkeypatch.setattr(vector_lists, name, value)
+    for f, rows in whole.items():
+        assert sorted(map(tuple, f(df).collect())) == rows
 
 
 def test_language_id(spark):
