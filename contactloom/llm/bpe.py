@@ -70,14 +70,16 @@ def _cut(text: str, at: int, end: int, size: int) -> Iterator[str]:
         yield text[at:end]
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned 32-bit integers."""
+    return np.array(ids, "<u4").tobytes()
+
+
 def encode_text(enc: tiktoken.Encoding, text: str, split: bool = True) -> bytes:
-    """Ids of a whole text as little-endian unsigned 32-bit integers."""
-    if not split or (len(text) <= PART_CHARS and len(text) < LONG_BLANK):
-        return enc.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
-    found = []
-    for part, single in parts(text):
-        found.append(np.array(enc._encode_single_piece(part), "<u4") if single else enc.encode_to_numpy(part, disallowed_special=()).astype("<u4"))
-    return b"".join(ids.tobytes() for ids in found)
+    """Packed ids of a whole text."""
+    if not split or len(text) < LONG_BLANK:
+        return packed(enc.encode_ordinary(text))
+    return b"".join(packed(enc._encode_single_piece(part) if single else enc.encode_ordinary(part)) for part, single in parts(text))
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, byte_level: bool = True) -> DataFrame:
