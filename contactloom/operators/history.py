@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import listings as L
 
 
+def identity_list() -> Column:
+    """Array of (field, value) of a lead."""
+    return L.identities(*(F.col(c) for c in ("place_id", "map_url", "phone", "email", "website", "lead_key")))
+
+
 def identities(leads: DataFrame) -> DataFrame:
     """seq, field, value of every lead's identities."""
-    ids = L.identities(*(F.col(c) for c in ("place_id", "map_url", "phone", "email", "website", "lead_key")))
-    return leads.select("seq", F.explode(ids).alias("i")).select("seq", "i.field", "i.value")
+    return leads.select("seq", F.explode(identity_list()).alias("i")).select("seq", "i.field", "i.value")
 
 
 def known(leads: DataFrame, history: DataFrame, need_email: bool = False) -> DataFrame:

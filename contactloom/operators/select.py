@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import listings as L
-from .history import identities
+from .accept import accepted
+from .history import identity_list
+from .rank import median, ranked
 from .tables import cut
 
 
@@ -20,39 +22,26 @@ def qualifies(keep_incomplete: bool = False, require_email: bool = False, requir
 
 
 def first_of_each(ids: DataFrame) -> DataFrame:
-    """seq that are accepted when rows (seq, field, value) are taken in order and a row goes if an accepted one shares a value.
-
-    That is not transitive: a row that goes blocks no other. Each round accepts the rows that are first in all their values
-    and drops the rows that share a value with them; only minima are aggregated, whatever the size of a value's group.
-    """
-    open_, accepted = cut(ids.select("seq", "field", "value").distinct()), None
-    while open_.limit(1).count():
-        low = open_.groupBy("field", "value").agg(F.min("seq").alias("low"))
-        marked = cut(open_.join(low, ["field", "value"]))
-        won = cut(marked.groupBy("seq").agg(F.min((F.col("low") == F.col("seq")).cast("int")).alias("won")).where("won = 1").select("seq"))
-        accepted = won if accepted is None else cut(accepted.unionByName(won))
-        taken = open_.join(won, "seq", "left_semi").select("field", "value").distinct()
-        lost = open_.join(taken, ["field", "value"], "left_semi").select("seq").distinct()  # the winners as well
-        open_ = cut(open_.join(lost, "seq", "left_anti"))
-    return ids.select("seq").limit(0) if accepted is None else accepted
+    """seq that are accepted when rows (seq, field, value) are taken in order and a row goes if an accepted one shares a value."""
+    ids = ids.select(F.lit(0).alias("cat"), "seq", "field", "value")
+    return accepted(ids, ids, None).select("seq")
 
 
 def accept(leads: DataFrame, n: int | None, categories: list[str] | None = None) -> DataFrame:
     """Qualifying leads in the order of seq: no two of a run share an identity, N for each category, categories in order.
 
-    A row after the N-th of its category is never accepted, and so blocks no later category.
+    Without categories there is one order and one N for all leads; with them, leads of other categories are left out, and seq
+    need only be unique within a category.
     """
-    done = None
-    for category in categories or [None]:
-        part = leads if category is None else leads.where(F.col("category") == category)
-        if done is not None:
-            clash = identities(part).join(identities(done).select("field", "value").distinct(), ["field", "value"], "left_semi")
-            part = part.join(clash.select("seq").distinct(), "seq", "left_anti")
-        part = part.join(first_of_each(identities(part)), "seq", "left_semi")
-        if n is not None:
-            part = part.orderBy("seq").limit(n)
-        done = cut(part if done is None else done.unionByName(part))
-    return done
+    if categories is None:
+        placed = leads.withColumn("cat", F.lit(0))
+    else:
+        order = leads.sparkSession.createDataFrame(list({c: i for i, c in reversed(list(enumerate(categories)))}.items()), "category string, cat int")
+        placed = leads.join(order, "category")
+    slim = cut(placed.select("cat", "seq", identity_list().alias("ids")))
+    ids = slim.select("cat", "seq", F.explode("ids").alias("i")).select("cat", "seq", "i.field", "i.value")
+    won = accepted(slim.select("cat", "seq"), ids, n)
+    return placed.join(won, ["cat", "seq"], "left_semi").select(*leads.columns)
 
 
 def top_n(leads: DataFrame, n: int) -> DataFrame:
@@ -65,8 +54,8 @@ def completeness() -> Column:
 
 
 def final_order(leads: DataFrame) -> DataFrame:
-    """Most complete first, else as they came."""
-    return leads.orderBy(F.desc(completeness()), "seq")
+    """Most complete first, else as they came (F6): sorted, with `position`."""
+    return ranked(leads, [-completeness(), F.col("seq")], name="position").orderBy("position")
 
 
 def export_rows(leads: DataFrame) -> DataFrame:
@@ -109,4 +98,6 @@ def run_report(leads: DataFrame, accepted: DataFrame, skipped: DataFrame, reques
 def city_centre(leads: DataFrame) -> DataFrame:
     """Median lat and lon over distinct listings, if there are 3 of them."""
     rows = leads.where("place_id <> '' and lat is not null and lon is not null").groupBy("place_id").agg(F.min_by(F.struct("lat", "lon"), "seq").alias("p"))
-    return rows.agg(F.count(F.lit(1)).alias("listings"), F.median("p.lat").alias("lat"), F.median("p.lon").alias("lon")).where("listings >= 3")
+    rows = rows.select("p.lat", "p.lon")
+    counted = rows.agg(F.count(F.lit(1)).alias("listings")).where("listings >= 3")
+    return counted.crossJoin(median(rows, "lat")).crossJoin(median(rows, "lon"))  # one row each

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import emails as E, fixed, html as H, listings as L, phones as P, urls as U
-from ..operators import enrich as N, history as Hist, merge as M, select as S
+from ..operators import enrich as N, history as Hist, merge as M, run as R, select as S
 from ..operators.tables import shared_path
 from ..sources import history as SH, listings as SL, pages as SP
 from . import inputs as I
@@ -88,7 +88,8 @@ def a5_history_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, aside = SH.read_history(spark, f"{folder}/runs")
     file = F.pmod(F.xxhash64("value"), F.lit(8))
     objects = rows.where("field = 'phones'").distinct().groupBy(file.alias("file")).agg(F.to_json(F.struct(F.sort_array(F.collect_list("value")).alias("phones"))).alias("value"))
-    objects = objects.unionByName(spark.range(1).select(F.lit(8).cast("bigint").alias("file"), F.lit('{"ids": 7').alias("value")))
+    bad = ['{"ids": 7', '{"ids": [7, "x"], "phones": null}', '{"ids": ["x", null]}', "[]"]
+    objects = objects.unionByName(spark.range(1).select(F.posexplode(F.array(*map(F.lit, bad))).alias("n", "value")).select((F.col("n") + 8).cast("bigint").alias("file"), "value"))
     objects.write.partitionBy("file").text(f"{folder}/old")
     old, broken = SH.read_legacy(spark, f"{folder}/old")
     parts = {"runs": good, "runs aside": aside.select("field", "value"), "old": old, "old aside": broken.select(F.lit("").alias("field"), F.trim("value", F.lit("\n")).alias("value"))}
@@ -392,7 +393,7 @@ def f5_g1_ordered_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def f6_final_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.final_order(I.delivered(spark, sf_dir)).select("seq", S.completeness().alias("score"), "email", "phone")
+    return S.final_order(I.delivered(spark, sf_dir)).select("position", "seq", S.completeness().alias("score"), "email", "phone")
 
 
 @query
@@ -424,12 +425,25 @@ def h4_unread_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unread(leads.select("seq", "place_id"), read)
 
 
+#: Asked for in this order, which is neither that of the alphabet nor that of the rows.
+CATEGORIES = ["MACHINERY", "BUILDING", "FURNITURE", "AUTOMOBILE", "HOUSEHOLD"]
+
+
+@query
+def f4_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N for each category in one order: rows beyond N share phones and addresses with later categories."""
+    return S.accept(I.delivered(spark, sf_dir).where(S.qualifies()), 3 * N_LEADS, CATEGORIES).select("category", "seq", "lead_key")
+
+
 @query
 def w1_lead_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole batch: clean, merge, drop delivered, validate, qualify, accept in order, N for each category."""
-    leads = I.raw_leads(spark, sf_dir).withColumn("website", U.clean_website(F.col("website")))
-    merged = M.merge_leads(leads)
-    done = N.finalize(merged, F.lit("GB"), I.domain_status(merged))
-    fresh = Hist.unseen(done, _history(spark, sf_dir)).where(S.qualifies())
-    taken = S.top_n(fresh.join(S.first_of_each(Hist.identities(fresh)), "seq", "left_semi"), N_LEADS)
-    return taken.select("category", "rank", "seq", "name", "phone_display", "email", "address", "website")
+    """The whole run: two sources, merged, without what is known, with the contacts of their sites, N for each category."""
+    leads = I.raw_leads(spark, sf_dir)
+    sources = [leads.where("source = 'OpenStreetMap'"), leads.where("source <> 'OpenStreetMap'")]
+    host = U.bare_host(F.col("url"))
+    sites = leads.select(U.clean_website(F.col("website")).alias("url")).distinct().where((F.col("url") != "") & (F.regexp_extract(host, "([0-9]+)", 1).cast("int") % 2 == 0))
+    sites = sites.select("url", F.array(F.concat(F.lit("Info@"), host)).alias("emails"), F.array(F.lit("+44 20 7946 9990")).alias("phones"), F.create_map(F.lit("facebook"), host).alias("socials"))
+    domains = I.domain_status(leads.select("raw_emails").unionByName(sites.select(F.col("emails").alias("raw_emails"))))
+    taken = R.lead_run(sources, CATEGORIES, _history(spark, sf_dir), domains, F.lit("GB"), N_LEADS, sites)
+    rank = F.row_number().over(Window.partitionBy("category").orderBy("seq"))  # over the N accepted ones
+    return taken.select("category", rank.alias("rank"), "name", "phone_display", "email", "address", "website", "source", "lead_key", F.coalesce(F.col("socials")["facebook"], F.lit("")).alias("facebook"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import fixed, phones as P, urls as U
 from . import inputs as I
-from .entries import N_LEADS, REGIONS
+from .entries import CATEGORIES, N_LEADS, REGIONS
 
 LEADS, MESSY, PAGES, HISTORY = (I.duck(s) for s in (I.LEADS, I.MESSY, I.PAGES, I.HISTORY))
 
@@ -126,7 +126,8 @@ ORACLE: dict[str, str] = {
     "a4_readable_pages": """select page_id, url, length(t) as n, md5(t) as digest from (select page_id, url, regexp_replace(html, '[^\\x00-\\x7F]', '?', 'g') as t from pages)
       where page_id % 7 <> 0 and page_id % 5 <> 0""",
     "a5_history_read": f"""select distinct origin, field, value from ({HISTORY}), (values ('runs'), ('old')) o(origin)
-      union select 'runs aside', 'unknown', value from ({HISTORY}) union select 'runs aside', field, '' from ({HISTORY}) union select 'old aside', '', '{{"ids": 7'""",
+      union select 'runs aside', 'unknown', value from ({HISTORY}) union select 'runs aside', field, '' from ({HISTORY}) 
+      union select 'old aside', '', unnest(['{{"ids": 7', '{{"ids": [7, "x"], "phones": null}}', '{{"ids": ["x", null]}}', '[]'])""",
     "a8_export_rows": f"""with {DELIVERED} select name, phone_display as phone, coalesce(nullif(email, ''), {NOTE}) as email, address,
       case when website <> '' then 'Yes' else 'No' end as website_present, website from leads""",
     "a9_a10_labels_and_cells": f"""select seq, substr(lower(regexp_replace(regexp_replace(region || '_' || url || '_É 1', '[^\\p{{L}}\\p{{N}}_\\-]+', '_', 'g'), '^_+|_+$', '', 'g')), 1, 80) as label,
@@ -220,7 +221,7 @@ ORACLE: dict[str, str] = {
     "f4_top_n": f"with {DELIVERED} select category, seq, row_number() over (partition by category order by seq) as rank from leads where {QUALIFIES} qualify rank <= {N_LEADS}",
     "f5_g1_ordered_sources": f"""select category, row_number() over (partition by category order by -((website <> '')::int + (raw_phone <> '')::int + (raw_email <> '')::int), case when source = 'OpenStreetMap' then 0 else 1 end, seq) as seq,
       name, source, website from ({LEADS})""",
-    "f6_final_order": f"with {DELIVERED} select seq, (email <> '')::int + (phone <> '')::int as score, email, phone from leads",
+    "f6_final_order": f"with {DELIVERED} select row_number() over (order by (email <> '')::int + (phone <> '')::int desc, seq) as position, seq, (email <> '')::int + (phone <> '')::int as score, email, phone from leads",
     "e4_summary": f"""with {DELIVERED}, n as (select *, {NOTE} as note from leads) select count(*) as total, count(*) filter (where email <> '') as with_email, count(*) filter (where phone <> '') as with_phone,
       count(*) filter (where website <> '') as with_website, count(*) filter (where website = '') as no_website, count(*) filter (where note = 'Not found on website') as not_found,
       count(*) filter (where starts_with(note, 'No website')) as no_website_note, count(*) filter (where email <> '' and phone <> '') as email_and_phone from n""",
@@ -238,19 +239,42 @@ ORACLE: dict[str, str] = {
 }
 
 
-def greedy(source: str) -> str:
-    """CTEs that take the rows of a source (seq, field values) one by one: `accepted` has those that share no value with one taken before."""
-    return f"""listed as (select seq, row_number() over (order by seq) as rn, list_filter([case when place_id <> '' then 'i:' || place_id end, case when website = '' and phone <> '' then 'p:' || phone end,
+def greedy(source: str, n: int | None = None) -> str:
+    """CTEs that take the rows of a source (cat, seq, field values) one by one in the order of (cat, seq): `accepted` has those
+    that share no value with one taken before, at most n of a cat; a row beyond n isn't taken, so it hides no later one."""
+    full = "false" if n is None else f"(s.cat = l.cat and s.k >= {n})"
+    refused = f"({full} or list_has_any(s.taken, l.ids))"
+    return f"""listed as (select cat, seq, row_number() over (order by cat, seq) as rn, list_filter([case when place_id <> '' then 'i:' || place_id end, case when website = '' and phone <> '' then 'p:' || phone end,
         case when email <> '' then 'e:' || email end, 'k:' || lead_key], lambda v: v is not null) as ids from {source}),
-      step as (select 0::bigint as rn, []::varchar[] as taken, null::bigint as seq union all
-        select l.rn, case when list_has_any(s.taken, l.ids) then s.taken else list_concat(s.taken, l.ids) end, case when list_has_any(s.taken, l.ids) then null else l.seq end from step s join listed l on l.rn = s.rn + 1),
-      accepted as (select seq from step where seq is not null)"""
-
-
-ORACLE["f4_accepted_leads"] = f"with recursive {DELIVERED}, qualified as (select * from leads where {QUALIFIES}), {greedy('qualified')} select seq, lead_key from leads join accepted using (seq)"
-ORACLE["w1_lead_table"] = f"""with recursive {TARGETS},
-  filled as (select target as seq, coalesce(min_by(address, seq) filter (where address <> ''), '') as address, coalesce(min_by(website, seq) filter (where website <> ''), '') as website,
-    coalesce(min_by(raw_phone, seq) filter (where raw_phone <> ''), '') as phone_display, coalesce(min_by(email, seq) filter (where email <> ''), '') as email from targets group by target),
-  merged as (select t.seq, t.name, t.category, t.place_id, t.lead_key, f.address, f.website, f.phone_display, replace(f.phone_display, ' ', '') as phone, f.email from targets t join filled f using (seq)),
-  h as ({HISTORY}), fresh as (select * from merged where {QUALIFIES} and not (website = '' and phone in (select value from h where field = 'phones'))), {greedy('fresh')}
-  select category, row_number() over (partition by category order by seq) as rank, seq, name, phone_display, email, address, website from fresh join accepted using (seq) qualify rank <= {N_LEADS}"""
+      step as (select 0::bigint as rn, []::varchar[] as taken, -1::bigint as cat, 0::bigint as k, null::bigint as seq union all
+        select l.rn, case when {refused} then s.taken else list_concat(s.taken, l.ids) end, l.cat::bigint, case when s.cat = l.cat then s.k else 0 end + case when {refused} then 0 else 1 end,
+          case when {refused} then null else l.seq end from step s join listed l on l.rn = s.rn + 1),
+      accepted as (select cat, seq from step where seq is not null)"""
+
+
+_CATEGORIES = "[" + ", ".join(map(text, CATEGORIES)) + "]"
+ORACLE["f4_accepted_leads"] = f"with recursive {DELIVERED}, qualified as (select 0 as cat, * from leads where {QUALIFIES}), {greedy('qualified')} select seq, lead_key from leads join accepted using (seq)"
+ORACLE["f4_categories"] = f"""with recursive {DELIVERED}, qualified as (select list_position({_CATEGORIES}, category) as cat, * from leads where {QUALIFIES}), {greedy('qualified', 3 * N_LEADS)}
+  select category, seq, lead_key from leads join accepted using (seq)"""
+#: A run step by step: order of the sources' rows in a category; merge within a category by name, key and place; gaps filled from
+#: the others in order; the first row of each key; rows of known phones out; contacts of sites with an even number; acceptance.
+ORACLE["w1_lead_table"] = f"""with recursive listed_rows as (
+    select *, list_position({_CATEGORIES}, category) as cat, {website('website')} as site, 'biz' || cast(seq % 61 as string) as nm, seq % 61 as number,
+      row_number() over (partition by category order by (website <> '')::int + (raw_phone <> '')::int + (raw_email <> '')::int desc, source <> 'OpenStreetMap', seq) as ord from ({LEADS})),
+  keyed as (select *, case when {bare('site')} <> '' then {bare('site')} || '|' || nm else nm || '|' || case when raw_phone <> '' then right(replace(raw_phone, ' ', ''), 8) else lower(address) end end as key0 from listed_rows),
+  heads as (select cat, nm, min(ord) as o0, arg_min(key0, ord) as k0, arg_min({{'a': lat, 'b': lon}}, ord) as p0, arg_min(place_id, ord) as pl0, arg_min(source, ord) as s0 from keyed group by cat, nm),
+  judged as (select k.*, h.o0, h.k0, coalesce(abs(lat - p0.a) < 0.003 and abs(lon - p0.b) < 0.003, false) and not (place_id <> '' and pl0 <> '' and source = s0) as close from keyed k join heads h using (cat, nm)),
+  aimed as (select j.*, case when key0 = k0 then o0 else case when f.opened < ord then f.opened when close then o0 else ord end end as target
+    from judged j left join (select cat, nm, key0, min(ord) as opened from judged where not close and key0 <> k0 group by all) f using (cat, nm, key0)),
+  own as (select * from aimed where ord = target),
+  filled as (select cat, target, coalesce(arg_min(address, ord) filter (where address <> ''), '') as address, coalesce(arg_min(site, ord) filter (where site <> ''), '') as website,
+      coalesce(arg_min(raw_phone, ord) filter (where raw_phone <> ''), '') as phone0, coalesce(max(lower(raw_email)) filter (where raw_email <> ''), '') as email0 from aimed group by cat, target),
+  srcs as (select cat, target, string_agg(source, ' + ' order by o) as sources from (select cat, target, source, min(ord) as o from aimed group by all) group by cat, target),
+  merged as (select o.cat, o.ord as seq, o.name, o.category, o.place_id, o.number, o.nm, f.address, f.website, f.phone0, f.email0, s.sources from own o join filled f on f.cat = o.cat and f.target = o.ord join srcs s on s.cat = o.cat and s.target = o.ord),
+  named as (select *, case when website <> '' then {bare('website')} || '|' || nm else nm || '|' || case when phone0 <> '' then right(replace(phone0, ' ', ''), 8) else lower(address) end end as lead_key,
+      website <> '' and number % 2 = 0 as visited from merged),
+  once as (select * from named qualify row_number() over (partition by cat, lead_key order by seq) = 1),
+  done as (select *, case when phone0 <> '' then phone0 when visited then '+44 20 7946 9990' else '' end as phone_display, case when number % 3 = 1 then '' when email0 <> '' then email0 when visited then 'info@biz' || number || '.co.uk' else '' end as email from once),
+  fresh as (select *, replace(phone_display, ' ', '') as phone from done where (phone_display <> '' or email <> '') and not (website = '' and replace(phone_display, ' ', '') in (select value from ({HISTORY}) where field = 'phones'))),
+  {greedy('fresh', N_LEADS)}
+  select category, row_number() over (partition by category order by seq) as rank, name, phone_display, email, address, website, sources as source, lead_key, case when visited then {bare('website')} else '' end as facebook from fresh join accepted using (cat, seq)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import urls as U
 
@@ -17,21 +17,21 @@ def read_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.where(good).select("field", "value").distinct(), rows.where(~F.coalesce(good, F.lit(False)))
 
 
-def _pairs(field: str) -> Column:
-    values = F.coalesce(F.col(field), F.array().cast("array<string>"))
-    return F.transform(values, lambda v: F.struct(F.lit(field).alias("field"), v.alias("value")))
-
-
 def read_legacy(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The same from files that hold a JSON object of arrays (ids, phones, …) each; malformed files are set aside as
-    (path, value), their text as it was."""
-    shape = ", ".join(f"{f} array<string>" for f in FIELDS) + ", _corrupt_record string"
+    """The same from files that hold a JSON object of arrays of strings (ids, phones, …) each. Files of another shape are set
+    aside as (path, value), their text as it was: a field that is there has to be an array, and each of its elements a string."""
     files = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("path"))
-    raw = files.withColumn("j", F.from_json("value", shape, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
-    broken = F.col("j").isNull() | F.col("j._corrupt_record").isNotNull() | ~F.col("value").rlike(r"^\s*\{")
-    rows = raw.where(~broken).select("j.*")
-    good = rows.select(F.explode(F.flatten(F.array(*map(_pairs, FIELDS)))).alias("p")).select("p.field", "p.value").where("value <> ''").distinct()
-    return good, raw.where(broken).select("path", "value")
+    # as variants values keep their types, which a schema of strings would not
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.try_variant_get("j", f"$.{f}", "variant").alias("v")) for f in FIELDS))
+    raw = files.withColumn("j", F.try_parse_json("value")).withColumn("fields", F.when(F.schema_of_variant("j").startswith("OBJECT"), fields))
+    kind = lambda f: F.schema_of_variant(f["v"])
+    sound = F.forall("fields", lambda f: f["v"].isNull() | kind(f).isin("ARRAY<STRING>", "ARRAY<VOID>"))
+    listed = F.transform("fields", lambda f: F.struct(f["field"].alias("field"), F.coalesce(F.try_variant_get(f["v"], "$", "array<string>"), F.array().cast("array<string>")).alias("values")))
+    whole = F.forall(listed, lambda f: F.forall(f["values"], lambda v: v.isNotNull()))  # null is no string
+    raw = raw.withColumn("good", F.coalesce(sound & whole, F.lit(False)))
+    pairs = F.flatten(F.transform(listed, lambda f: F.transform(f["values"], lambda v: F.struct(f["field"].alias("field"), v.alias("value")))))
+    good = raw.where("good").select(F.explode(pairs).alias("p")).select("p.field", "p.value")
+    return good.where("value <> ''").distinct(), raw.where("not good").select("path", "value")
 
 
 def migrate(history: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import fixed, listings as L, urls as U
+from ..operators.rank import ranked
 from .schema import ELEMENT, PLACE, as_leads
 
 
@@ -74,7 +75,7 @@ def in_category(elements: DataFrame, selectors: list[tuple[str, str]], exact: bo
 def with_category(elements: DataFrame, tags: DataFrame) -> DataFrame:
     """Elements that carry a tag of a (small) category table (k, v)."""
     exploded = elements.select("id", F.explode("tags").alias("k", "v"))
-    return elements.join(exploded.join(F.broadcast(tags), ["k", "v"], "left_semi").select("id").distinct(), "id", "left_semi")
+    return elements.join(exploded.join(tags, ["k", "v"], "left_semi").select("id").distinct(), "id", "left_semi")
 
 
 def in_area(df: DataFrame, south: float, west: float, north: float, east: float) -> DataFrame:
@@ -89,10 +90,10 @@ def with_region(df: DataFrame, regions: DataFrame, column: str = "country") -> D
     alias = spark.createDataFrame(list(fixed.COUNTRY_ALIASES.items()), "ckey string, alias_code string")
     names = regions.select(F.explode(F.array(F.lower("name"), F.lower("alpha3"), F.lower("code"))).alias("ckey"), F.col("code").alias("name_code")).dropDuplicates(["ckey"])
     known = regions.where("supported").select(F.col("code").alias("region"))
-    df = df.withColumn("ckey", key).join(F.broadcast(alias), "ckey", "left").join(F.broadcast(names), "ckey", "left")
+    df = df.withColumn("ckey", key).join(F.broadcast(alias), "ckey", "left").join(names, "ckey", "left")
     two = F.when(F.col("ckey").rlike("^[a-z]{2}$"), F.upper("ckey"))
     df = df.withColumn("code", F.coalesce("alias_code", two, "name_code")).drop("ckey", "alias_code", "name_code")
-    return df.join(F.broadcast(known), F.col("code") == F.col("region"), "left").drop("code")
+    return df.join(known, F.col("code") == F.col("region"), "left").drop("code")
 
 
 def union_sources(*leads: DataFrame) -> DataFrame:
@@ -104,5 +105,5 @@ def ordered_by_completeness(leads: DataFrame, scope: tuple[str, ...] = ("categor
     """seq anew within each category: map listings first as they came, then the most complete rows."""
     score = sum(F.when(x, 1).otherwise(0) for x in (F.col("website") != "", F.size("raw_phones") > 0, F.size("raw_emails") > 0))
     maps = F.col("source") == "Google Maps"
-    order = Window.partitionBy(*scope).orderBy(F.when(maps, 0).otherwise(1), F.when(maps, 0).otherwise(-score), "source_rank", "seq")
-    return leads.withColumn("seq", F.row_number().over(order).cast("bigint")).drop("source_rank")
+    order = [F.when(maps, 0).otherwise(1), F.when(maps, 0).otherwise(-score), F.col("source_rank"), F.col("seq")]
+    return ranked(leads, order, scope, "place").withColumn("seq", F.col("place").cast("bigint")).drop("source_rank", "place")

@@ -103,9 +103,13 @@ def test_history_tables(spark, tmp_path):
     (tmp_path / "old.json").write_text('{"ids": ["a"], "phones": ["+1", ""]}')
     (tmp_path / "bad.json").write_text('{"ids": 7')
     (tmp_path / "list.json").write_text('["a"]')
-    (tmp_path / "number.json").write_text('{"ids": 7, "phones": ["+2"]}')
+    odd = {"number": '{"ids": 7, "phones": ["+2"]}', "mixed": '{"ids": [7, "x"], "phones": ["+2"]}', "absent": '{"ids": ["x"], "phones": null}', "numbers": '{"ids": [1, 2]}', "hole": '{"ids": ["x", null]}', "nothing": "null", "words": '"ids"'}
+    for name, value in odd.items():
+        (tmp_path / f"{name}.json").write_text(value)
+    (tmp_path / "empty.json").write_text('{"ids": [], "other": 5, "e_ids": ["z"]}')
+    assert {tuple(r) for r in SH.read_legacy(spark, str(tmp_path / "empty.json"))[0].collect()} == {("e_ids", "z")}
     assert {tuple(r) for r in SH.read_legacy(spark, str(tmp_path / "old.json"))[0].collect()} == {("ids", "a"), ("phones", "+1")}
-    for name in ("bad", "list", "number"):
+    for name in ("bad", "list", *odd):
         good, aside = SH.read_legacy(spark, str(tmp_path / f"{name}.json"))
         assert good.count() == 0 and [r.value for r in aside.collect()] == [(tmp_path / f"{name}.json").read_text()]
 
