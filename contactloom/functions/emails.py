@@ -39,8 +39,9 @@ def clean_email(raw: Column) -> Column:
 
 
 def deobfuscate(text: Column) -> Column:
-    """Bracketed words for @ and . become the signs."""
-    return F.regexp_replace(F.regexp_replace(text, _AT, "@"), _DOT, ".")
+    """Bracketed words for @ and . become the signs (B15); a text without brackets is not searched."""
+    found = F.regexp_replace(F.regexp_replace(text, _AT, "@"), _DOT, ".")
+    return F.when(text.rlike(r"[\[({]"), found).otherwise(text)
 
 
 def unglue(found: Column) -> Column:
@@ -49,7 +50,13 @@ def unglue(found: Column) -> Column:
 
 
 def find_emails(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(fixed.EMAIL_FIND), F.lit(0)), unglue)
+    """Addresses of a text as they stand; one without @ is not searched."""
+
+    def found(t: Column) -> Column:
+        return F.transform(F.regexp_extract_all(t, F.lit(fixed.EMAIL_FIND), F.lit(0)), unglue)
+
+    none = F.array().cast("array<string>")
+    return F.get(F.transform(F.array(text), lambda t: F.when(t.contains("@"), found(t)).when(t.isNotNull(), none)), F.lit(0))
 
 
 def clean_all(raw: Column) -> Column:

@@ -1,46 +1,18 @@
-"""Phone functions over a numbering plan of a stated set of regions.
+"""Phone functions over numbering plans, which are one automaton over digits (numbering.py).
 
-A number is valid if its national digits match a pattern of its region; for other regions only nothing is found. That is an
-approximation of full numbering metadata, which isn't part of this library.
+A number is valid if its digits, calling code first, lead to an end of the automaton. The steps are an array that Spark holds as
+one constant, so a number is a fold over its digits; regions add to the array, not to the work.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, functions as F
 
 from . import fixed
-
-MOBILE, LAND, EITHER, FREE, VOIP = "Mobile", "Landline", "Landline/Mobile", "Toll-free", "VoIP"
-
-#: region: (calling code, trunk prefix pattern, [(type, pattern of national digits)], [(pattern, display groups)])
-PLAN = {
-    "AE": ("971", "0", [(MOBILE, "5[024-68][0-9]{7}"), (FREE, "800[0-9]{2,9}"), (LAND, "[2-4679][2-8][0-9]{6}")],
-           [("(5[0-9])([0-9]{3})([0-9]{4})", "$1 $2 $3"), ("([2-9])([0-9]{3})([0-9]{4})", "$1 $2 $3")]),
-    "BR": ("55", "0", [(MOBILE, "[1-9]{2}9[0-9]{8}"), (FREE, "800[0-9]{6,7}"), (LAND, "[1-9]{2}[2-5][0-9]{7}")],
-           [("([0-9]{2})([0-9]{5})([0-9]{4})", "$1 $2-$3"), ("([0-9]{2})([0-9]{4})([0-9]{4})", "$1 $2-$3")]),
-    "DE": ("49", "0", [(MOBILE, "1(5[0-9]{9}|[67][0-9]{8,9})"), (FREE, "800[0-9]{7,12}"), (VOIP, "32[0-9]{9,11}"), (LAND, "[2-9][0-9]{5,10}")],
-           [("(1[567][0-9])([0-9]{7,8})", "$1 $2"), ("(30|40|69|89)([0-9]{4,9})", "$1 $2"), ("([2-9][0-9]{2})([0-9]{3,8})", "$1 $2")]),
-    "ES": ("34", "", [(MOBILE, "(6[0-9]{8}|7[1-4][0-9]{7})"), (FREE, "[89]00[0-9]{6}"), (LAND, "[89][1-8][0-9]{7}")],
-           [("([0-9]{3})([0-9]{2})([0-9]{2})([0-9]{2})", "$1 $2 $3 $4")]),
-    "FR": ("33", "0", [(MOBILE, "[67][0-9]{8}"), (FREE, "80[0-5][0-9]{6}"), (VOIP, "9[0-9]{8}"), (LAND, "[1-5][0-9]{8}")],
-           [("([0-9])([0-9]{2})([0-9]{2})([0-9]{2})([0-9]{2})", "$1 $2 $3 $4 $5")]),
-    "GB": ("44", "0", [(MOBILE, "7[1-57-9][0-9]{8}"), (FREE, "80[08][0-9]{6,7}"), (VOIP, "56[0-9]{8}"), (LAND, "(2[03489][0-9]{8}|1[0-9]{8,9})")],
-           [("(2[0-9])([0-9]{4})([0-9]{4})", "$1 $2 $3"), ("(7[0-9]{3})([0-9]{6})", "$1 $2"), ("(1[0-9]{3})([0-9]{5,6})", "$1 $2"), ("(80[08])([0-9]{3})([0-9]{3,4})", "$1 $2 $3")]),
-    "IN": ("91", "0", [(MOBILE, "[6-9][0-9]{9}"), (FREE, "1800[0-9]{6,7}"), (LAND, "[1-5][0-9]{9}")],
-           [("([6-9][0-9]{4})([0-9]{5})", "$1 $2"), ("(11|2[02]|33|4[04]|79|80)([0-9]{4})([0-9]{4})", "$1 $2 $3"), ("([1-5][0-9]{2})([0-9]{3})([0-9]{4})", "$1 $2 $3")]),
-    "IT": ("39", "", [(MOBILE, "3[0-9]{8,9}"), (FREE, "80(0[0-9]{6}|3[0-9]{3})"), (VOIP, "55[0-9]{8}"), (LAND, "0[1-9][0-9]{4,9}")],
-           [("(3[0-9]{2})([0-9]{3})([0-9]{3,4})", "$1 $2 $3"), ("(0[26])([0-9]{4})([0-9]{3,5})", "$1 $2 $3"), ("(0[0-9]{3})([0-9]{3,7})", "$1 $2")]),
-    "KR": ("82", "0", [(MOBILE, "1[0-9]{8,9}"), (FREE, "80[0-9]{7}"), (VOIP, "70[0-9]{8}"), (LAND, "(2[2-9][0-9]{6,7}|[3-6][1-5][2-9][0-9]{6,7})")],
-           [("(2)([0-9]{3,4})([0-9]{4})", "$1-$2-$3"), ("([0-9]{2})([0-9]{3,4})([0-9]{4})", "$1-$2-$3")]),
-    "NG": ("234", "0", [(MOBILE, "[789][01][0-9]{8}"), (FREE, "800[0-9]{7,11}"), (LAND, "[1-9][0-9]{6,7}")],
-           [("([789][01][0-9])([0-9]{3})([0-9]{4})", "$1 $2 $3"), ("([0-9])([0-9]{3})([0-9]{3,4})", "$1 $2 $3")]),
-    "PK": ("92", "0", [(MOBILE, "3[0-9]{9}"), (FREE, "800[0-9]{5}"), (LAND, "(2[1-9][0-9]{7,8}|4[0-9]{8,9}|5[0-9]{8,9}|[6-9][0-9]{7,9})")],
-           [("(3[0-9]{2})([0-9]{7})", "$1 $2"), ("(21|4[1-9]|5[1-7]|61|71|81|91)([0-9]{7,8})", "$1 $2"), ("([2-9][0-9]{2})([0-9]{6,7})", "$1 $2")]),
-    "TR": ("90", "0", [(MOBILE, "5[0-9]{9}"), (FREE, "800[0-9]{7}"), (LAND, "[2-4][0-9]{9}")],
-           [("([0-9]{3})([0-9]{3})([0-9]{2})([0-9]{2})", "$1 $2 $3 $4")]),
-    "US": ("1", "1", [(FREE, "8(00|33|44|55|66|77|88)[2-9][0-9]{6}"), (EITHER, "[2-9][0-8][0-9][2-9][0-9]{6}")],
-           [("([0-9]{3})([0-9]{3})([0-9]{4})", "$1-$2-$3")]),
-}
+from .numbering import PLAN, automaton
 
 #: What may be a number in running text: at least 7 digits with usual separators
 IN_TEXT = r"(?<![0-9A-Za-z@#/.\-])(?:\+|00)?[(0-9][0-9 ()./\-]{5,22}[0-9](?![0-9A-Za-z@#])"
@@ -55,35 +27,59 @@ def _let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _number(code: str, kinds: list, groups: list):
-    """National digits -> struct(e164, display, type), null if they match no pattern."""
+def _ints(values: list[int]) -> Column:
+    """An array that the optimizer folds into one constant."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
+def _end(digits: Column) -> Column:
+    """Place in the automaton's ends of a full number; null or -1 if it is none."""
+    steps, kinds, _ = automaton()
+    state = F.aggregate(F.split(digits, ""), F.lit(1), lambda s, d: F.get(_ints(steps), s * 10 + F.ascii(d) - 48))
+    return F.get(_ints(kinds), state)
+
+
+def _found(full: Column) -> Column:
+    """A full number as struct(e164, display, type), null if it isn't valid."""
+    ends = automaton()[2]
+    made = []
+    for kind, groups, code in ends:
+        at, pieces = 1, []
+        sizes = re.findall(r"(\d+)([ -]?)", groups)
+        for i, (size, _) in enumerate(sizes):
+            pieces.append({"mark": sizes[i - 1][1] if i else "", "at": at, "n": int(size)})
+            at += int(size)
+        made.append({"kind": kind, "code": code, "pieces": pieces})
+    table = F.from_json(F.lit(json.dumps(made)), "array<struct<kind:string,code:int,pieces:array<struct<mark:string,at:int,n:int>>>>")
 
-    def make(nsn: Column) -> Column:
-        shown = nsn
-        for p, g in reversed(groups):
-            shown = F.when(nsn.rlike(f"^(?:{p})$"), F.regexp_replace(nsn, f"^{p}$", g)).otherwise(shown)
-        kind = F.coalesce(*(F.when(nsn.rlike(f"^(?:{p})$"), F.lit(t)) for t, p in kinds))
-        return F.when(kind.isNotNull(), F.struct(F.concat(F.lit("+" + code), nsn).alias("e164"), F.concat(F.lit(f"+{code} "), shown).alias("display"), kind.alias("type")))
+    def shown(x: Column) -> Column:
+        nsn = F.substr(x["full"], x["end"]["code"] + 1)
+        pieces = F.filter(x["end"]["pieces"], lambda g: g["at"] <= F.length(x["full"]) - x["end"]["code"])
+        number = F.array_join(F.transform(pieces, lambda g: F.concat(g["mark"], F.substr(nsn, g["at"], g["n"]))), "")
+        return F.struct(F.concat(F.lit("+"), x["full"]).alias("e164"), F.concat(F.lit("+"), F.left(x["full"], x["end"]["code"]), F.lit(" "), number).alias("display"), x["end"]["kind"].alias("type"))
 
-    return make
+    parts = F.struct(full.alias("full"), F.get(table, _end(full)).alias("end"))
+    return _let(parts, lambda x: F.when(x["end"].isNotNull(), shown(x)))
 
 
 def normalize_phone(raw: Column, region: Column) -> Column:
-    """struct(e164, display, type) of a valid number, else null."""
+    """struct(e164, display, type) of a valid number, else null (B25). A number without + or 00 is one of its region, with or
+    without the trunk prefix."""
     digits = F.regexp_replace(F.regexp_replace(raw, r"\(0\)", ""), "[^0-9]", "")
     abroad = raw.rlike(r"^\s*(?:tel:)?\s*(\+|00)")
     full = F.when(raw.rlike(r"^\s*(?:tel:)?\s*00"), F.substring(digits, 3, 40)).otherwise(digits)
+    homes = F.from_json(F.lit(json.dumps({name: {"code": code, "trunk": trunk} for name, (code, trunk, _) in PLAN.items()})), "map<string,struct<code:string,trunk:string>>")
 
-    def plan(v: Column) -> Column:
-        found = []
-        for name, (code, trunk, kinds, groups) in PLAN.items():
-            local = F.regexp_replace(v["digits"], "^1(?=[0-9]{10}$)" if name == "US" else f"^{trunk}", "") if trunk else v["digits"]
-            nsn = F.when(v["abroad"] & v["full"].startswith(code), F.substring(v["full"], len(code) + 1, 40)).when(~v["abroad"] & (v["region"] == name), local)
-            found.append(F.when(nsn.isNotNull(), _let(nsn, _number(code, kinds, groups))))
-        return F.coalesce(*found)
+    def tried(v: Column) -> Column:
+        """Full numbers that the digits may stand for, the likeliest first."""
+        code, trunk = v["home"]["code"], v["home"]["trunk"]
+        bare = F.when((trunk != "") & F.startswith(v["digits"], trunk), F.concat(code, F.substr(v["digits"], F.length(trunk) + 1)))
+        local = F.array(F.concat(code, v["digits"]), bare)
+        return F.filter(F.when(v["abroad"], F.array(v["full"])).otherwise(local), lambda x: x.isNotNull())
 
-    parts = F.struct(digits.alias("digits"), abroad.alias("abroad"), full.alias("full"), region.alias("region"))
-    return F.when(raw.rlike(_SHAPE), _let(parts, plan))
+    parts = F.struct(digits.alias("digits"), abroad.alias("abroad"), full.alias("full"), F.element_at(homes, F.upper(region)).alias("home"))
+    numbers = _let(parts, lambda v: F.filter(F.transform(tried(v), _found), lambda n: n.isNotNull()))
+    return F.when(raw.rlike(_SHAPE), F.get(numbers, F.lit(0)))
 
 
 def phone_parts(raw: Column) -> Column:
@@ -106,7 +102,8 @@ def text_phones(text: Column, region: Column) -> Column:
     """Valid numbers of running text in E.164, without tax numbers and network addresses."""
     plain = F.regexp_replace(without_tax_ids(text), DOTTED_QUAD, " ")
     seen = F.regexp_extract_all(plain, F.lit(IN_TEXT), F.lit(0))
-    return F.array_distinct(F.filter(F.transform(seen, lambda p: normalize_phone(p, region)["e164"]), lambda p: p.isNotNull()))
+    found = F.array_distinct(F.filter(F.transform(seen, lambda p: normalize_phone(p, region)["e164"]), lambda p: p.isNotNull()))
+    return F.when(text.rlike("[0-9]"), found).otherwise(F.when(text.isNotNull(), F.array().cast("array<string>")))
 
 
 def page_phones(page: Column, region: Column) -> Column:

@@ -190,6 +190,15 @@ def b25_b26_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("seq", none("n.e164").alias("e164"), none("n.display").alias("display"), none("n.type").alias("type"), none("b.e164").alias("best"))
 
 
+@query
+def b25_world_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer writes one of the numbers of WORLD_PHONES."""
+    numbers = spark.createDataFrame([(i, raw, region) for i, (raw, region, *_) in enumerate(I.WORLD_PHONES)], "k bigint, raw string, region string")
+    df = I.derived(spark, sf_dir, I.LEADS).select("seq", (F.col("seq") % len(I.WORLD_PHONES)).alias("k")).join(numbers, "k")
+    n = P.normalize_phone(F.col("raw"), F.col("region"))
+    return df.select("seq", n.alias("n")).select("seq", F.coalesce("n.e164", F.lit("")).alias("e164"), F.coalesce("n.type", F.lit("")).alias("type"))
+
+
 @query
 def b27_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = I.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("country"))

@@ -76,6 +76,32 @@ select page_id, url, site,
 from (select page_id, url, html, regexp_extract(url, '^[a-z]+://(?:www[.])?([^/?#:]+)', 1) as site from {pages}) t
 """
 
+#: Numbers of many regions as people write them: raw, region, E.164 and type. Written down by hand, not made from the plans.
+WORLD_PHONES = [
+    ("+31 20 123 4567", "GB", "+31201234567", "Landline"), ("06-12345678", "NL", "+31612345678", "Mobile"), ("0800 1234", "NL", "+318001234", "Toll-free"), ("088 123 4567", "NL", "+31881234567", "Other"),
+    ("044 668 18 00", "CH", "+41446681800", "Landline"), ("+41 79 123 45 67", "DE", "+41791234567", "Mobile"), ("0900 123 456", "CH", "+41900123456", "Other"), ("01 234567890", "AT", "+431234567890", "Landline"),
+    ("0664 1234567", "AT", "+436641234567", "Mobile"), ("(02) 9123 4567", "AU", "+61291234567", "Landline"), ("0412 345 678", "AU", "+61412345678", "Mobile"), ("1800 123 456", "AU", "+611800123456", "Toll-free"),
+    ("1300 123 456", "AU", "+611300123456", "Other"), ("(416) 555-0123", "CA", "+14165550123", "Landline/Mobile"), ("1-800-555-0199", "CA", "+18005550199", "Toll-free"), ("03-1234-5678", "JP", "+81312345678", "Landline"),
+    ("090-1234-5678", "JP", "+819012345678", "Mobile"), ("0120-123-456", "JP", "+81120123456", "Toll-free"), ("050-1234-5678", "JP", "+815012345678", "VoIP"), ("02 123 45 67", "BE", "+3221234567", "Landline"),
+    ("0470 12 34 56", "BE", "+32470123456", "Mobile"), ("32 12 34 56", "DK", "+4532123456", "Landline/Mobile"), ("21 23 45 67", "NO", "+4721234567", "Landline"), ("406 12 345", "NO", "+4740612345", "Mobile"),
+    ("08-123 456 78", "SE", "+46812345678", "Landline"), ("070-123 45 67", "SE", "+46701234567", "Mobile"), ("050 1234567", "FI", "+358501234567", "Mobile"), ("01 234 5678", "IE", "+35312345678", "Landline"),
+    ("085 012 3456", "IE", "+353850123456", "Mobile"), ("21 234 567", "PT", None, None), ("212 345 678", "PT", "+351212345678", "Landline"), ("912 345 678", "PT", "+351912345678", "Mobile"), ("210 1234567", "GR", "+302101234567", "Landline"),
+    ("691 234 5678", "GR", "+306912345678", "Mobile"), ("22 123 45 67", "PL", "+48221234567", "Landline"), ("512 345 678", "PL", "+48512345678", "Mobile"), ("212 345 678", "CZ", "+420212345678", "Landline"),
+    ("601 123 456", "CZ", "+420601123456", "Mobile"), ("06 1 234 5678", "HU", "+3612345678", "Landline"), ("06 20 123 4567", "HU", "+36201234567", "Mobile"), ("021 123 4567", "RO", "+40211234567", "Landline"),
+    ("0712 034 567", "RO", "+40712034567", "Mobile"), ("8 (495) 123-45-67", "RU", "+74951234567", "Landline"), ("+7 912 345-67-89", "RU", "+79123456789", "Mobile"), ("8 800 555 35 35", "RU", "+78005553535", "Toll-free"),
+    ("8 701 234 5678", "KZ", "+77012345678", "Mobile"), ("050 123 4567", "UA", "+380501234567", "Mobile"), ("02-123-4567", "IL", "+97221234567", "Landline"), ("050-234-5678", "IL", "+972502345678", "Mobile"),
+    ("011 234 5678", "SA", "+966112345678", "Landline"), ("051 234 5678", "SA", "+966512345678", "Mobile"), ("3312 3456", "QA", "+97433123456", "Mobile"), ("2234 5678", "KW", "+96522345678", "Landline"),
+    ("02 34567890", "EG", "+20234567890", "Landline"), ("0100 123 4567", "EG", "+201001234567", "Mobile"), ("0650-123456", "MA", "+212650123456", "Mobile"), ("010 123 4567", "ZA", "+27101234567", "Landline"),
+    ("071 123 4567", "ZA", "+27711234567", "Mobile"), ("0712 123456", "KE", "+254712123456", "Mobile"), ("010 1234 5678", "CN", "+861012345678", "Landline"), ("131 2345 6789", "CN", "+8613123456789", "Mobile"),
+    ("2123 4567", "HK", "+85221234567", "Landline"), ("5123 4567", "HK", "+85251234567", "Mobile"), ("02 2123 4567", "TW", "+886221234567", "Landline"), ("0912 345 678", "TW", "+886912345678", "Mobile"),
+    ("6123 4567", "SG", "+6561234567", "Landline"), ("8123 4567", "SG", "+6581234567", "Mobile"), ("03-2385 6789", "MY", "+60323856789", "Landline"), ("012-345 6789", "MY", "+60123456789", "Mobile"),
+    ("02 123 4567", "TH", "+6621234567", "Landline"), ("081 234 5678", "TH", "+66812345678", "Mobile"), ("0912 345 678", "VN", "+84912345678", "Mobile"), ("0812-345-678", "ID", "+62812345678", "Mobile"),
+    ("(02) 3234 5678", "PH", "+63232345678", "Landline"), ("0905 123 4567", "PH", "+639051234567", "Mobile"), ("01812-345678", "BD", "+8801812345678", "Mobile"), ("09 345 6789", "NZ", "+6493456789", "Landline"),
+    ("021 123 4567", "NZ", "+64211234567", "Mobile"), ("55 1234 5678", "MX", "+525512345678", "Landline/Mobile"), ("011 2345-6789", "AR", "+541123456789", "Landline/Mobile"), ("2 2123 4567", "CL", "+56221234567", "Landline"),
+    ("321 1234567", "CO", "+573211234567", "Mobile"), ("912 345 678", "PE", "+51912345678", "Mobile"), ("0412-1234567", "VE", "+584121234567", "Mobile"), ("12345", "NL", None, None), ("+999 123 456 789", "US", None, None),
+    ("0612345678", "XX", None, None), ("+44 70 1234 5678", "US", "+447012345678", "Other"), ("1 900 234 5678", "US", "+19002345678", "Other"),
+]
+
 HISTORY = """
 select 'phones' as field, '+442079460' || lpad(cast(c_custkey % 700 as string), 3, '0') as value from {customer} where c_custkey % 10 = 0
 """

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions import fixed, phones as P, urls as U
+from ..functions import fixed, urls as U
 from . import inputs as I
 from .entries import CATEGORIES, N_LEADS, REGIONS
 
@@ -56,13 +56,30 @@ def unglue(t: str) -> str:
     return f"regexp_replace({t}, {text(fixed.GLUED_TLD)}, '\\1')"
 
 
+#: What the numbers of MESSY may be, as patterns: region: (calling code, trunk prefix, [(type, digits)], [(digits, groups)])
+_PLAN = {
+    "DE": ("49", "0", [("Mobile", "1(5[0-9]{9}|[67][0-9]{8,9})"), ("Toll-free", "800[0-9]{7,12}"), ("VoIP", "32[0-9]{9,11}"), ("Landline", "[2-9][0-9]{5,10}")],
+           [("(1[567][0-9])([0-9]{7,8})", "$1 $2"), ("(30|40|69|89)([0-9]{4,9})", "$1 $2"), ("([2-9][0-9]{2})([0-9]{3,8})", "$1 $2")]),
+    "FR": ("33", "0", [("Mobile", "[67][0-9]{8}"), ("Toll-free", "80[0-5][0-9]{6}"), ("VoIP", "9[0-9]{8}"), ("Landline", "[1-5][0-9]{8}")],
+           [("([0-9])([0-9]{2})([0-9]{2})([0-9]{2})([0-9]{2})", "$1 $2 $3 $4 $5")]),
+    "GB": ("44", "0", [("Mobile", "7[1-57-9][0-9]{8}"), ("Toll-free", "80[08][0-9]{6,7}"), ("VoIP", "56[0-9]{8}"), ("Landline", "(2[03489][0-9]{8}|1[0-9]{8,9})")],
+           [("(2[0-9])([0-9]{4})([0-9]{4})", "$1 $2 $3"), ("(7[0-9]{3})([0-9]{6})", "$1 $2"), ("(1[0-9]{3})([0-9]{5,6})", "$1 $2"), ("(80[08])([0-9]{3})([0-9]{3,4})", "$1 $2 $3")]),
+    "IT": ("39", "", [("Mobile", "3[0-9]{8,9}"), ("Toll-free", "80(0[0-9]{6}|3[0-9]{3})"), ("VoIP", "55[0-9]{8}"), ("Landline", "0[1-9][0-9]{4,9}")],
+           [("(3[0-9]{2})([0-9]{3})([0-9]{3,4})", "$1 $2 $3"), ("(0[26])([0-9]{4})([0-9]{3,5})", "$1 $2 $3"), ("(0[0-9]{3})([0-9]{3,7})", "$1 $2")]),
+    "PK": ("92", "0", [("Mobile", "3[0-9]{9}"), ("Toll-free", "800[0-9]{5}"), ("Landline", "(2[1-9][0-9]{7,8}|4[0-9]{8,9}|5[0-9]{8,9}|[6-9][0-9]{7,9})")],
+           [("(3[0-9]{2})([0-9]{7})", "$1 $2"), ("(21|4[1-9]|5[1-7]|61|71|81|91)([0-9]{7,8})", "$1 $2"), ("([2-9][0-9]{2})([0-9]{6,7})", "$1 $2")]),
+    "US": ("1", "1", [("Toll-free", "8(00|33|44|55|66|77|88)[2-9][0-9]{6}"), ("Landline/Mobile", "[2-9][0-8][0-9][2-9][0-9]{6}")],
+           [("([0-9]{3})([0-9]{3})([0-9]{4})", "$1-$2-$3")]),
+}
+
+
 def phone(raw: str, region: str, part: str) -> str:
     """One field of a valid number (e164, display or type), '' if there is none."""
     digits = f"regexp_replace(regexp_replace({raw}, '\\(0\\)', '', 'g'), '[^0-9]', '', 'g')"
     abroad = f"regexp_matches({raw}, '^\\s*(\\+|00)')"
     full = f"(case when regexp_matches({raw}, '^\\s*00') then substr({digits}, 3) else {digits} end)"
     out = []
-    for name, (code, trunk, kinds, groups) in P.PLAN.items():
+    for name, (code, trunk, kinds, groups) in _PLAN.items():
         local = digits
         if name == "US":
             local = f"(case when regexp_full_match({digits}, '1[0-9]{{10}}') then substr({digits}, 2) else {digits} end)"
@@ -239,6 +256,10 @@ ORACLE: dict[str, str] = {
 }
 
 
+_NUMBERS = ", ".join(f"({i}, {text(e or '')}, {text(t or '')})" for i, (_, _, e, t) in enumerate(I.WORLD_PHONES))
+ORACLE["b25_world_phones"] = f"select seq, e164, type from ({LEADS}) join (values {_NUMBERS}) n(k, e164, type) on seq % {len(I.WORLD_PHONES)} = k"
+
+
 def greedy(source: str, n: int | None = None) -> str:
     """CTEs that take the rows of a source (cat, seq, field values) one by one in the order of (cat, seq): `accepted` has those
     that share no value with one taken before, at most n of a cat; a row beyond n isn't taken, so it hides no later one."""
