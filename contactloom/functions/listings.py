@@ -65,6 +65,18 @@ def resolve(category: str) -> tuple[list[tuple[str, str]], bool]:
     return [("name", c)], False
 
 
+def with_selectors(df: DataFrame, column: str = "category") -> DataFrame:
+    """df with a row for each selector (k, v) of its category, and whether that is exact, as resolve()."""
+    word = F.regexp_replace(F.lower(F.trim(column)), r"\s+", " ")
+    known = category_tags(df.sparkSession).withColumnRenamed("keyword", "_word")
+    out = df.withColumn("_word", word).join(known, "_word", "left")
+    pair, known = F.col(column).contains("="), F.col("k").isNotNull()
+    side = lambda p: F.trim(F.regexp_extract(column, p, 1))
+    k = F.when(known, F.col("k")).when(pair, side("^([^=]*)=")).otherwise("name")
+    v = F.when(known, F.col("v")).when(pair, side("^[^=]*=(.*)$")).otherwise(F.col("_word"))
+    return out.select(*df.columns, k.alias("k"), v.alias("v"), (known | pair).alias("exact"))
+
+
 def ring_points(lat: Column, lon: Column, radius_km: Column, step_km: float = 5.0) -> Column:
     """Array of (ring, lat, lon): 6k points on ring k up to the radius."""
     rings = F.floor(radius_km / step_km).cast("int")

@@ -97,12 +97,58 @@ def fetch_outcome(attempts: DataFrame) -> DataFrame:
     return seen.select("site", state.alias("site_state"), F.when(ok, F.col("page")).alias("pos"))
 
 
-def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """URLs (url) that the rules (host, pos, prefix, allow) of their host allow: the first matching rule decides, no rule allows."""
-    u = urls.withColumn("host", U.hostname(F.col("url"))).withColumn("path", F.regexp_extract("url", "^[a-z]+://[^/?#]*(.*)$", 1))
-    hit = u.join(rules, "host").where(F.col("path").startswith(F.col("prefix")))
-    banned = hit.groupBy("url").agg(F.min_by("allow", "pos").alias("allow")).where(~F.col("allow")).select("url")
-    return urls.join(banned, "url", "left_anti")
+def robots_rules(files: DataFrame, agent: str) -> DataFrame:
+    """host, pos, prefix, allow from robots files (host, body), for an agent.
+
+    Lines of agents that follow each other head a group. The first group with a name that the agent's contains counts, else the
+    first for all agents. Without either, and for a host without a file, everything is allowed.
+    """
+    lines = files.select("host", F.posexplode(F.split("body", "\\r?\\n|\\r")).alias("pos", "line"))
+    parts = F.regexp_replace("line", "#.*$", "")
+    key, value = F.lower(F.trim(F.regexp_extract(parts, "^([^:]*):", 1))), F.trim(F.regexp_extract(parts, "^[^:]*:(.*)$", 1))
+    lines = lines.select("host", "pos", key.alias("key"), value.alias("value")).where(F.col("key").isin("user-agent", "allow", "disallow"))
+    order = Window.partitionBy("host").orderBy("pos")  # the lines of one file
+    head = F.col("key") == "user-agent"
+    lines = lines.withColumn("start", (head & (F.coalesce(F.lag("key").over(order), F.lit("")) != "user-agent")).cast("int"))
+    lines = lines.withColumn("group", F.sum("start").over(order))
+    name = F.lower(F.trim(F.regexp_extract("value", "^[^/]*", 0)))
+    own = F.min(F.when(head & (name != "*") & (name != "") & F.contains(F.lit(agent.split("/")[0].lower()), name), F.col("group")))
+    chosen = lines.groupBy("host").agg(F.coalesce(own, F.min(F.when(head & (name == "*"), F.col("group")))).alias("group"))
+    rules = lines.where(~head).join(chosen, ["host", "group"])
+    return rules.select("host", "pos", F.col("value").alias("prefix"), ((F.col("key") == "allow") | (F.col("value") == "")).alias("allow"))
+
+
+def allowed(urls: DataFrame, rules: DataFrame, column: str = "url") -> DataFrame:
+    """Rows whose URL the rules (host, pos, prefix, allow) of its host allow: the first matching rule decides, no rule allows.
+
+    In a prefix * stands for any characters and a last $ for the end. The rules of a host are one array, as long as its file.
+    """
+    cut_short = F.col("prefix").endswith("$")
+    text = F.when(cut_short, F.substr("prefix", F.lit(1), F.length("prefix") - 1)).otherwise(F.col("prefix"))
+    quoted = F.array_join(F.transform(F.split(text, "[*]"), lambda p: F.concat(F.lit("\\Q"), p, F.lit("\\E"))), ".*")
+    pattern = F.when(F.col("prefix").rlike("[*$]"), F.concat(F.lit("(?s)^"), quoted, F.when(cut_short, "$").otherwise("")))
+    listed = rules.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("pos", "prefix", "allow", pattern.alias("pattern")))).alias("_rules"))
+    path = F.regexp_extract(F.col(column), "^[a-z]+://[^/?#]*(.*)$", 1)
+    u = urls.withColumn("_path", F.when(path == "", "/").otherwise(path)).join(listed.withColumnRenamed("host", "_host"), U.hostname(F.col(column)) == F.col("_host"), "left")
+    hit = F.filter("_rules", lambda r: F.when(r["pattern"].isNotNull(), F.rlike(F.col("_path"), r["pattern"])).otherwise(F.startswith(F.col("_path"), r["prefix"])))
+    return u.where(F.coalesce(F.get(hit, F.lit(0))["allow"], F.lit(True))).select(*urls.columns)
+
+
+def site_contacts(homes: DataFrame, attempts: DataFrame, fetched: DataFrame, rules: DataFrame, region: Column) -> DataFrame:
+    """url, emails, phones and socials of every site that could be read (W2), from its home page (site, url, html), the attempts
+    at it (site, pos, status, is_html, robots_blocked), pages that were fetched (url, html) and the rules of hosts.
+
+    A page that is planned and not fetched was tried in vain: it counts as a visit, like one that gave nothing. Pages that the
+    rules forbid don't count.
+    """
+    readable = fetch_outcome(attempts).where("site_state = 'ok'").select("site")
+    homes = parsed(homes.join(readable, "site", "left_semi").select("url", "html"))
+    plan = allowed(page_plan(homes), rules, "link").unionByName(homes.select("url", F.col("url").alias("link"), F.lit(0).alias("kind"), F.lit(0).alias("ord"))).distinct()
+    pages = planned_pages(plan, fetched.select("url", "html").unionByName(homes.select("url", "html")))
+    held = page_contacts(parsed(pages), region, F.col("url"))
+    tried = plan.join(held.select("url", "link", "emails", "phones", "socials"), ["url", "link"], "left")
+    none = F.array().cast("array<string>")
+    return absorb(pages_that_count(tried.withColumn("emails", F.coalesce("emails", none)).withColumn("phones", F.coalesce("phones", none)).withColumn("socials", F.coalesce("socials", F.array().cast("array<struct<network:string,href:string>>")))))
 
 
 def with_site_contacts(leads: DataFrame, sites: DataFrame) -> DataFrame:

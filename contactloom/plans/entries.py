@@ -222,13 +222,14 @@ def b29_b30_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Hist.identities(I.delivered(spark, sf_dir))
 
 
+ASKED = ["Dentists", " law  firm", "salon", "plumbers", "factory", "zoo", " Shop = Tea", "Night  bars"]
+
+
 @query
 def b31_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Selectors of the category that each customer asks for, from the dimension that resolve() is made of."""
-    asked = F.element_at(F.array(*map(F.lit, ("Dentists", " law  firm", "salon", "plumbers", "factory", "zoo"))), (F.col("seq") % 6 + 1).cast("int"))
-    df = I.derived(spark, sf_dir, I.MESSY).select("seq", asked.alias("category"))
-    key = F.regexp_replace(F.lower(F.trim("category")), r"\s+", " ")
-    return df.withColumn("keyword", key).join(F.broadcast(L.category_tags(spark)), "keyword").select("seq", "category", "k", "v")
+    """Selectors of the category that each customer asks for: known words, a raw pair, words that only names can hold."""
+    asked = F.element_at(F.array(*map(F.lit, ASKED)), (F.col("seq") % len(ASKED) + 1).cast("int"))
+    return L.with_selectors(I.derived(spark, sf_dir, I.MESSY).select("seq", asked.alias("category")))
 
 
 @query
@@ -267,6 +268,20 @@ def c5_second_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.second_pass(I.raw_leads(spark, sf_dir)).select("seq", "website")
 
 
+#: A file with groups for two agents and one for all, and one for all agents alone.
+ROBOTS = ["User-agent: otherbot\nDisallow: /\n\nuser-agent: LeadBot # ours\nUser-Agent: thirdbot\nAllow: /en/\nDisallow: /*5\nDisallow: /fr/*1$\nAllow: /fr/8\nDisallow: /fr/8\n\nUser-agent: *\nDisallow: /", "User-agent: otherbot\nDisallow:\n\nUser-agent: *\nDisallow: /*?\nDisallow: /en"]
+
+
+@query
+def c6_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs of pages that two agents may read, by the files of their hosts; a third of the hosts has none."""
+    urls = I.table(spark, sf_dir, "pages").select("page_id", "url")
+    hosts = urls.select(U.hostname(F.col("url")).alias("host")).distinct()
+    files = hosts.select("host", F.when(F.length("host") % 3 == 0, ROBOTS[0]).when(F.length("host") % 3 == 1, ROBOTS[1]).alias("body")).where("body is not null")
+    made = [N.allowed(urls, N.robots_rules(files, a)).select("page_id", "url", F.lit(a).alias("agent")) for a in ("LeadBot/2.0", "Otherbot")]
+    return made[0].unionByName(made[1])
+
+
 @query
 def c6_allowed_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = I.table(spark, sf_dir, "pages").select("page_id", "url")
@@ -328,17 +343,41 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.parsed(I.derived(spark, sf_dir, I.PAGES))
 
 
+LINKS = '<a href="/x/about">us</a><a href="/kontakt/">K</a><a href="https://other.org/contact">o</a><a href="/p">Contact us</a><a href="/contact#form">c</a><a href="contact.html">c</a>'
+
+
 @query
 def b9_contact_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The contact link of each page; the pages' own links are left to the unit tests."""
-    pages = _pages(spark, sf_dir)
-    return N.contact_links(pages.select("url", "page").dropDuplicates(["url"]), 100).where(F.col("link").endswith("/contact")).select("url", "link").distinct()
+    """The best three contact links of each page in their order: its own links and some more, in no good order."""
+    pages = I.table(spark, sf_dir, "pages").select("url", F.replace("html", F.lit("</body>"), F.lit(LINKS + "</body>")).alias("html"))
+    return N.contact_links(N.parsed(pages.dropDuplicates(["url"])).select("url", "page"))
 
 
 @query
 def b10_d8_planned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    homes = I.derived(spark, sf_dir, I.PAGES).select("url").distinct()
-    return N.guessed_links(homes, homes.select("url", F.concat(F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1), F.lit("/contact")).alias("link")))
+    """Plans of home pages joined to the pages that were fetched of them: contact links and the usual paths."""
+    homes = N.parsed(I.derived(spark, sf_dir, I.PAGES).dropDuplicates(["url"]))
+    root = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
+    fetched = homes.select(F.explode(F.array(F.concat(root, F.lit("/contact/")), F.concat(root, F.lit("/kontakt")), F.concat(root, F.lit("/elsewhere")))).alias("url")).distinct()
+    return N.planned_pages(N.page_plan(homes), fetched).select("url", "link", "kind", "ord")
+
+
+@query
+def w2_site_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the attempts at a site to its contacts: outcome, plan, rules, pages in visit order, the stop at the first address."""
+    pages = I.table(spark, sf_dir, "pages")
+    root = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
+    homes = pages.groupBy(root.alias("root")).agg(F.min("page_id").alias("site"), F.min_by("html", "page_id").alias("html")).withColumn("url", F.concat("root", F.lit("/")))
+    homes = homes.withColumn("html", F.replace("html", F.lit("</body>"), F.lit('<a href="/contact">Contact</a></body>')))
+    host = U.bare_host(F.col("url"))
+    made = {"/contact": F.when(F.col("site") % 3 == 0, "office"), "/kontakt": F.lit("help"), "/about": F.lit("late"), "/contacts": F.when(F.col("site") % 4 == 0, "first")}
+    page = F.explode(F.array(*(F.struct(F.concat("root", F.lit(p)).alias("url"), F.concat(F.lit('<p>call <a href="mailto:'), who, F.lit("@"), host, F.lit('">m</a></p>')).alias("html")) for p, who in made.items())))
+    fetched = homes.select(page.alias("p")).select("p.*").where("html is not null")
+    n = F.col("site") + F.col("pos") * 3
+    attempts = homes.select("site", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos")).select("site", "pos", F.when(n % 4 != 0, 200).alias("status"), (n % 4 == 1).alias("is_html"), (n % 11 == 5).alias("robots_blocked"))
+    rules = homes.where("site % 5 = 0").select(U.hostname(F.col("url")).alias("host"), F.lit(1).alias("pos"), F.lit("/contact$").alias("prefix"), F.lit(False).alias("allow"))
+    found = N.site_contacts(homes, attempts, fetched, rules, F.lit("GB"))
+    return found.select("url", _text(F.filter("emails", lambda e: ~e.rlike("^[^@]*@mail"))).alias("emails"))
 
 
 @query

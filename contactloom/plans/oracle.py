@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions import fixed, urls as U
 from . import inputs as I
-from .entries import CATEGORIES, N_LEADS, REGIONS
+from .entries import ASKED, CATEGORIES, LINKS, N_LEADS, REGIONS
 
 LEADS, MESSY, PAGES, HISTORY = (I.duck(s) for s in (I.LEADS, I.MESSY, I.PAGES, I.HISTORY))
 
@@ -189,9 +189,10 @@ ORACLE: dict[str, str] = {
     "b28_addresses": f"""select seq, case when seq % 5 = 0 then 'Full 1' else concat_ws(', ', case when seq % 4 = 0 then 'U2' end, cast(seq % 90 as string) || case when seq % 3 = 0 then '' else ' Main St' end,
       case when seq % 2 = 0 then 'Old Town' end, case when seq % 6 = 1 then 'York' else 'Leeds' end, case when seq < 100000 then lpad(cast(seq as string), 5, '0') else substr(cast(seq as string), 1, 5) end) end as address from ({MESSY})""",
     "b29_b30_identities": f"with {DELIVERED}, {IDENTITIES} select * from identities",
-    "b31_categories": f"""with t(keyword, k, v) as (values {_CATEGORY}), asked as (select seq, case seq % 6 when 0 then 'Dentists' when 1 then ' law  firm' when 2 then 'salon' when 3 then 'plumbers' when 4 then 'factory' else 'zoo' end as category,
-        case seq % 6 when 0 then 'dentist' when 1 then 'law firm' when 2 then 'beauty salon' when 3 then 'plumber' when 4 then 'factory' else 'zoo' end as keyword from ({MESSY}))
-      select seq, category, k, v from asked join t using (keyword)""",
+    "b31_categories": f"""with t(keyword, k, v) as (values {_CATEGORY}), asked as (select seq, seq % 8 as n, [{', '.join(map(text, ASKED))}][seq % 8 + 1] as category,
+        ['dentist', 'law firm', 'beauty salon', 'plumber', 'factory', 'zoo', 'shop = tea', 'night bars'][seq % 8 + 1] as keyword from ({MESSY}))
+      select seq, category, k, v, true as exact from asked join t using (keyword) where n < 5
+      union all select seq, category, if(n = 6, 'Shop', 'name'), ['zoo', 'Tea', 'night bars'][n - 4], n = 6 from asked where n >= 5""",
     "b32_rings": f"""with p as (select seq, lat, lon, r.range as ring, i.range as i from ({LEADS}), range(1, 4) r, range(0, 18) i where lat is not null and seq % 2 = 0 and i.range < 6 * r.range)
       select seq, ring, count(*) as points, round(avg(lat + ring * 5.0 / 111.0 * cos(2 * pi() * i / (6 * ring))), 6) as mid_lat,
         round(max(lon + ring * 5.0 / 111.0 * sin(2 * pi() * i / (6 * ring)) / greatest(0.1, cos(radians(lat)))), 6) as east from p group by seq, ring""",
@@ -201,6 +202,10 @@ ORACLE: dict[str, str] = {
     "c4_skipped_listings": f"select seq, place_id from ({LEADS}) where place_id = '' or seq % 5 <> 0",
     "c5_second_pass": f"select seq, website from ({LEADS}) where raw_email = '' and website <> '' and website not like 'https://facebook%'",
     "c6_allowed_urls": f"select page_id, url from pages where length({host('url')}) % 2 = 1 or starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1), '/a') or not starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1), '/')",
+    "c6_robots": f"""with p as (select page_id, url, length({host('url')}) % 3 as k, case when path = '' then '/' else path end as path from (select page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1) as path from pages))
+      select page_id, url, 'LeadBot/2.0' as agent from p where case when k = 2 then true when k = 1 then not (contains(path, '?') or path like '/en%')
+        else path like '/en/%' or not (contains(path, '5') or (path like '/fr/%' and path like '%1' and path <> '/fr/') or false) end
+      union all select page_id, url, 'Otherbot' from p where k <> 0""",
     "f1_entity_targets": f"with {TARGETS} select seq, lead_key, target from targets",
     "e2_merged_leads": f"""with {TARGETS},
       phones as (select target, string_agg(raw_phone, '; ' order by first) as phones from (select target, raw_phone, min(seq) as first from targets where raw_phone <> '' group by all) group by target),
@@ -217,8 +222,19 @@ ORACLE: dict[str, str] = {
       m as (select distinct replace(email, '@', '@mail.') as value from leads where email <> '' and seq % 2 = 0), d as (select distinct split_part(value, '@', 2) as d from m)
       select 'keys' as field, value from k union select 'emails', value from m
       union select 'e_keys', k.value from k join d on k.host <> '' and lead_is_site(d.d, k.host)""".replace("lead_is_site(d.d, k.host)", "(d.d = k.host or d.d like '%.' || k.host or k.host like '%.' || d.d) and contains(k.value, '|')"),
-    "b9_contact_links": f"select distinct url, {URL_ROOT} || '/contact' as link from pages where contains(html, '</body>')",
-    "b10_d8_planned_pages": "with g(link, rank) as (values " + ", ".join(f"({text(p)}, {i + 1})" for i, p in enumerate(fixed.GUESS_PATHS)) + f") select url, {URL_ROOT} || link as link, rank from (select distinct url from pages), g where link <> '/contact'",
+    "b9_contact_links": f"""with p as (select distinct url, replace(html, '</body>', {text(LINKS + '</body>')}) as html from pages),
+      l as (select url, unnest(regexp_extract_all(html, '<a href="([^"#]*)[^"]*">[^<]*</a>', 1)) as href, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<]*)</a>', 1)) as label from p),
+      r as (select url, label, case when href like 'http%' then href when href like '/%' then {URL_ROOT} || href else regexp_extract(regexp_replace(url, '[?#].*$', ''), '^(.*/)', 1) || href end as link from l),
+      s as (select url, link, min(list_position(list_transform({[h for h in fixed.CONTACT_HINTS]}, lambda h: contains(lower(regexp_extract(link, '^[a-z]+://[^/?#]*([^?#]*)', 1) || ' ' || label), h)), true)) as score
+        from r where {bare('link')} = {bare('url')} group by url, link)
+      select url, link, row_number() over (partition by url order by score, link) as rank from s where score > 0 and rtrim(link, '/') <> rtrim(url, '/') qualify rank <= 3""",
+    "b10_d8_planned_pages": f"""with h as (select distinct url, {URL_ROOT} as root, contains(html, '</body>') as linked from pages)
+      select url, root || '/contact' as link, if(linked, 1, 2) as kind, if(linked, 1, 102) as ord from h union all select url, root || '/kontakt', 2, 106 from h""",
+    "w2_site_contacts": f"""with h as (select {URL_ROOT} as root, min(page_id) as site from pages group by 1),
+      a as (select site, pos, site + pos * 3 as n from h, (select unnest([0, 1, 2, 3]) as pos)),
+      o as (select site from a group by site having min(case when n % 4 = 1 then pos end) is not null and (min(case when n % 11 = 5 then pos end) is null or min(case when n % 4 = 1 then pos end) < min(case when n % 11 = 5 then pos end))),
+      t as (select root || '/' as url, {bare("root || '/'")} as host, site % 3 = 0 and {host("root || '/'")} not in (select {host("root || '/'")} from h where site % 5 = 0) as office, site % 4 = 0 as early from h where site in (select site from o))
+      select url, case when office then 'office' when early then 'first' else 'help' end || '@' || host as emails from t""",
     "b11_social_links": "select page_id, 'facebook' as network, 'https://www.facebook.com/p' || cast(page_id as string) as href from pages where contains(html, '</body>')",
     "e1_f3_site_contacts": f"""with p as (select page_id, site, contains(html, 'mailto:%20Sales') as made, row_number() over (partition by site order by page_id) as ord from ({PAGES})),
       f as (select *, coalesce(sum(case when made then 1 else 0 end) over (partition by site order by ord rows between unbounded preceding and 1 preceding), 0) as before from p),
