@@ -390,7 +390,7 @@ def e1_f3_site_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites with the contacts of their pages in order; pages of a site are visited by page_id, the later ones as guesses."""
     pages = N.page_contacts(_pages(spark, sf_dir), F.lit("GB"), F.col("site"))
     order = F.row_number().over(Window.partitionBy("site").orderBy("page_id"))
-    pages = pages.select(F.col("site").alias("url"), order.alias("ord"), F.when(order <= 2, 1).otherwise(2).alias("kind"), F.filter("emails", lambda e: e.startswith("sales")).alias("emails"), F.filter("phones", lambda p: p.startswith("+44 20")).alias("phones"), "socials")
+    pages = pages.select(F.col("site").alias("url"), order.alias("ord"), F.when(order <= 2, 1).otherwise(2).alias("kind"), "emails", F.filter("phones", lambda p: p.startswith("+44 20")).alias("phones"), "socials")
     sites = N.absorb(N.pages_that_count(pages))
     return sites.select(F.col("url").alias("site"), _text("emails").alias("emails"), F.size("phones").alias("n_phones"), F.coalesce(F.col("socials")["facebook"], F.lit("")).alias("facebook"))
 

@@ -236,11 +236,16 @@ ORACLE: dict[str, str] = {
       t as (select root || '/' as url, {bare("root || '/'")} as host, site % 3 = 0 and {host("root || '/'")} not in (select {host("root || '/'")} from h where site % 5 = 0) as office, site % 4 = 0 as early from h where site in (select site from o))
       select url, case when office then 'office' when early then 'first' else 'help' end || '@' || host as emails from t""",
     "b11_social_links": "select page_id, 'facebook' as network, 'https://www.facebook.com/p' || cast(page_id as string) as href from pages where contains(html, '</body>')",
-    "e1_f3_site_contacts": f"""with p as (select page_id, site, contains(html, 'mailto:%20Sales') as made, row_number() over (partition by site order by page_id) as ord from ({PAGES})),
-      f as (select *, coalesce(sum(case when made then 1 else 0 end) over (partition by site order by ord rows between unbounded preceding and 1 preceding), 0) as before from p),
+    "e1_f3_site_contacts": f"""with p as (select page_id, site, contains(html, 'mailto:%20Sales') as made, row_number() over (partition by site order by page_id) as ord, html from ({PAGES})),
+      t as (select page_id, site, ord, list_transform(regexp_extract_all({deobfuscate(TEXT)}, {text(fixed.EMAIL_FIND)}), lambda x: {unglue('x')}) as seen from p),
+      raws as (select page_id, site, ord, 0 as pos, 'sales' || cast(page_id % 5 as string) || '@' || site as raw from p where made
+        union all select page_id, site, ord, unnest(range(1, len(seen) + 1)) as pos, unnest(seen) as raw from t),
+      mails as (select page_id, site, ord, mail, min(pos) as pos from (select * exclude (raw), {clean_email('raw')} as mail from raws) where mail is not null group by all),
+      k as (select p.page_id, p.site, p.ord, p.made, (select count(*) from mails m where m.page_id = p.page_id) as n from p),
+      f as (select *, coalesce(sum(n) over (partition by site order by ord rows between unbounded preceding and 1 preceding), 0) as before from k),
       v as (select *, row_number() over (partition by site order by ord) as visit from f where ord <= 2 or before = 0),
-      c as (select site, page_id, ord, 'sales' || cast(page_id % 5 as string) || '@' || site as mail from v where made and visit <= 8),
-      m as (select site, string_agg(mail, '; ' order by first) as emails from (select site, mail, min(ord) as first from c group by all) group by site)
+      c as (select site, page_id, ord from v where made and visit <= 8),
+      m as (select site, string_agg(mail, '; ' order by place) as emails from (select m.site, mail, min(v.ord * 1000 + m.pos) as place from mails m join v on v.page_id = m.page_id and visit <= 8 group by all) group by site)
       select site, coalesce(emails, '') as emails, coalesce(n_phones, 0) as n_phones, coalesce(facebook, '') as facebook from (select distinct site from p) left join m using (site) left join (select site, count(distinct page_id % 10000) as n_phones, 'https://www.facebook.com/p' || cast(min(page_id) as string) as facebook from c group by site) using (site)""",
     "e3_f2_site_state": """with a as (select page_id as site, p.range as pos, page_id + p.range * 3 as n from pages, range(0, 4) p),
       s as (select site, min(case when n % 4 = 1 then pos end) as page, min(case when n % 11 = 5 then pos end) as stop, max(case when n % 4 <> 0 then 1 else 0 end) as answered from a group by site),
