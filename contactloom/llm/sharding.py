@@ -1,13 +1,13 @@
 """Sharding through fixed virtual slots.
 
-Records hash into SLOTS slots by doc_id and text, for good; only rows that are repeated so often that they would fill a slot
-are dealt over all slots (at most SLOTS such rows differ, so the table of them is bounded). Bytes and rows are summed for each slot, and a slot-to-shard map is made
-from those sums: heaviest slot first, to the lightest shard. The map is a small versioned table; rebalancing edits it, so
-only the records of the slots that were edited move. The number of slots bounds all that reaches the driver.
-
-Defined cases: a null text has no bytes and counts its row's 16; rows with the same doc_id and other texts are records of their own;
-an empty table has
-an empty result; extra columns are ignored.
+Records hash into SLOTS slots by doc_id, size and CRC of the text and, of rows that are equal in these, their number among them:
+that is the record's slot for good, in any table and however it is partitioned. Bytes and rows are summed for each slot, and a
+slot-to-shard map is made from those sums: heaviest slot first, to the lightest shard. The map is a small versioned table;
+rebalancing edits it, so only the records of the slots that were edited move. The number of slots bounds all that reaches the
+driver.
+
+Defined cases: a null text has no bytes and counts its row's 16; rows with the same doc_id and other texts are records of their
+own; repeated rows, however many, spread over the slots; an empty table has an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .scratch import Scratch
 
 SLOTS = 8192
 ROW_BYTES = 16
+#: Equal rows that one task numbers.
+BLOCK = 1 << 16
 _MAP = "version int, vslot int, shard int, bytes bigint, rows bigint"
 
 #: vslot -> (bytes, rows), and vslot -> shard
@@ -32,15 +34,15 @@ def slot_of(*columns, slots: int = SLOTS):
 
 
 def in_slots(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """Adds vslot to rows (doc_id, size, text_crc32)."""
+    """Adds vslot to rows (doc_id, size, text_crc32). Equal rows are counted first, and numbered from their count."""
     record = ["doc_id", "size", "text_crc32"]
-    rows = scratch.save(rows)
-    often = max(64, rows.count() // SLOTS)
-    heavy = rows.groupBy(*record).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > often).select(*(F.col(c).alias(f"heavy_{c}") for c in record), F.lit(True).alias("heavy"))
-    same = [F.col(c).eqNullSafe(F.col(f"heavy_{c}")) for c in record]
-    marked = rows.join(F.broadcast(heavy), same, "left")  # SLOTS rows at most
-    salt = F.when(F.col("heavy"), F.monotonically_increasing_id())
-    return scratch.save(marked.select(*record, slot_of(*record, salt).alias("vslot")))
+    counted = scratch.save(rows.groupBy(*record).agg(F.count(F.lit(1)).alias("k")))
+    few = counted.where(F.col("k") <= BLOCK).withColumn("block", F.lit(0).cast("bigint"))
+    many = counted.where(F.col("k") > BLOCK).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("k") - 1) / BLOCK))))
+    blocks = few.unionByName(many.repartition(*record, "block"))  # the numbers of one record are made in many tasks
+    first = F.col("block") * BLOCK
+    numbers = F.explode(F.sequence(first, F.least(first + BLOCK, F.col("k")) - 1))
+    return scratch.save(blocks.select(*record, numbers.alias("number")).select(*record, slot_of(*record, "number").alias("vslot")))
 
 
 def slot_sizes(rows: DataFrame) -> Sizes:

@@ -12,6 +12,7 @@ from contactloom import ship
 from contactloom.llm import lang_id, mixing, multi_index, records, sharding, vectors as vector_lists
 from contactloom.llm.multi_index import nearest
 from contactloom.llm.packing import hilbert, pack_documents
+from contactloom.llm.scratch import Scratch
 from contactloom.llm.tokens import encoder
 from contactloom.llm.topk import exact_top_k
 
@@ -111,6 +112,21 @@ def test_sharding(spark):
     assert sharding.shard_documents(df.limit(0), 5).count() == 0
 
 
+def test_slots_are_for_good(spark, monkeypatch):
+    """The same records have the same slots in a larger table and under any partitioning, repeated rows too."""
+    monkeypatch.setattr(sharding, "BLOCK", 70)
+    rows = [(i, 20, i % 3) for i in range(200)] + [(7, 30, 1)] * 300 + [(None, 16, 0)] * 50
+
+    def slots(rows, n):
+        df = ship(spark).createDataFrame(rows, "doc_id bigint, size bigint, text_crc32 bigint").repartition(n)
+        return Counter(tuple(r) for r in sharding.in_slots(df, Scratch(spark)).select("doc_id", "size", "text_crc32", "vslot").collect())
+
+    one = slots(rows, 1)
+    assert sum(one.values()) == len(rows) and len([k for k in one if k[:3] == (7, 30, 1)]) > 250
+    assert one == slots(rows, 7)
+    assert one <= slots(rows + [(i, 20, 5) for i in range(3000)], 3)
+
+
 def test_rebalancing_edits_few_slots():
     sizes = {v: (100 + v % 7, 1) for v in range(1000)}
     old = sharding.new_map(sizes, 8, 1000)
