@@ -256,6 +256,16 @@ def c2_c3_d4_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SL.in_area(both, 44.999, 7.9, 45.0035, 8.1).select("id", "lat", "lon")
 
 
+@query
+def c3_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier's area against every lead: boxes from a few metres to several degrees."""
+    s = F.col("s_suppkey")
+    size = F.when(s % 50 == 0, F.lit(7.0)).otherwise((s % 9 + 1) * 0.0011)
+    south, west = 44.997 + (s % 7) * 0.0013, 7.996 + (s % 11) * 0.0009
+    areas = I.table(spark, sf_dir, "supplier").select(s.alias("area"), south.alias("south"), west.alias("west"), (south + size).alias("north"), (west + size).alias("east"))
+    return SL.in_areas(I.raw_leads(spark, sf_dir).select("seq", "lat", "lon"), areas, 0.001).select("area", "seq")
+
+
 @query
 def c4_skipped_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     leads = I.raw_leads(spark, sf_dir)

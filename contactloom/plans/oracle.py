@@ -199,6 +199,9 @@ ORACLE: dict[str, str] = {
     "c1_qualified": f"""with {DELIVERED} select seq, {QUALIFIES} as plain, {QUALIFIES} and email <> '' as email, {QUALIFIES} and phone <> '' as phone,
       email <> '' and phone <> '' and address <> '' as complete, {QUALIFIES} and website <> '' as site, website = '' as no_site from leads""",
     "c2_c3_d4_elements": f"select seq as id, lat, lon from ({LEADS}) where lower(category) = 'building' and lat between 44.999 and 45.0035 and lon between 7.9 and 8.1",
+    "c3_areas": f"""with a as (select s_suppkey as area, 44.997::double + (s_suppkey % 7) * 0.0013::double as south, 7.996::double + (s_suppkey % 11) * 0.0009::double as west,
+        case when s_suppkey % 50 = 0 then 7.0::double else (s_suppkey % 9 + 1) * 0.0011::double end as size from supplier)
+      select area, seq from a join ({LEADS}) l on lat between south and south + size and lon between west and west + size""",
     "c4_skipped_listings": f"select seq, place_id from ({LEADS}) where place_id = '' or seq % 5 <> 0",
     "c5_second_pass": f"select seq, website from ({LEADS}) where raw_email = '' and website <> '' and website not like 'https://facebook%'",
     "c6_allowed_urls": f"select page_id, url from pages where length({host('url')}) % 2 = 1 or starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1), '/a') or not starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*(.*)$', 1), '/')",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import urls as U
+from .commits import Commits
 
 FIELDS = ("ids", "phones", "emails", "keys", "e_ids", "e_phones", "e_keys")
 SCHEMA = "field string, value string, run_id string"
@@ -12,7 +13,7 @@ SCHEMA = "field string, value string, run_id string"
 
 def read_history(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Good rows, distinct, and rows that are set aside for their shape (A5)."""
-    rows = spark.read.schema(SCHEMA + ", updated timestamp").option("mergeSchema", "false").parquet(path)
+    rows = Commits(spark, path).read("history", SCHEMA + ", updated timestamp")
     good = F.col("field").isin(*FIELDS) & F.coalesce(F.col("value") != "", F.lit(False))
     return rows.where(good).select("field", "value").distinct(), rows.where(~F.coalesce(good, F.lit(False)))
 
@@ -47,10 +48,18 @@ def migrate(history: DataFrame) -> DataFrame:
 
 
 def save_history(new: DataFrame, path: str, run_id: str) -> None:
-    """Adds a run's identities under its own partition; writing a run again replaces that run only."""
-    new.select("field", "value").distinct().withColumn("updated", F.current_timestamp()).write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
+    """Adds a run's identities in one commit; saving a run again replaces that run only."""
+    rows = new.select("field", "value").distinct().select("field", "value", F.lit(run_id).alias("run_id"), F.current_timestamp().alias("updated"))
+    Commits(new.sparkSession, path).commit(run_id, {"history": rows})
 
 
 def reset_history(spark: SparkSession, path: str) -> None:
     """Forgets everything."""
-    spark.createDataFrame([], "field string, value string, updated timestamp").write.mode("overwrite").parquet(path)
+    Commits(spark, path).reset()
+
+
+def save_bucketed(history: DataFrame, table: str, buckets: int) -> DataFrame:
+    """The history as a table in buckets by (field, value): joins to it move the leads' identities only, not the history."""
+    rows = history.select("field", "value").distinct().repartition(buckets, "field", "value")
+    rows.write.bucketBy(buckets, "field", "value").sortBy("field", "value").mode("overwrite").saveAsTable(table)
+    return history.sparkSession.table(table)

@@ -83,6 +83,26 @@ def in_area(df: DataFrame, south: float, west: float, north: float, east: float)
     return df.where(F.col("lat").between(south, north) & F.col("lon").between(west, east))
 
 
+def in_areas(df: DataFrame, areas: DataFrame, cell: float = 0.05) -> DataFrame:
+    """df with a row and `area` for each box of areas (area, south, west, north, east) that holds it: many boxes, many rows.
+
+    Boxes are dealt to the cells of a grid, `cell` degrees wide, and rows to their one cell: an equi-join, then the exact test.
+    A box that is larger than 2**10 cells is dealt to a grid as much coarser as it needs, each box to one grid only.
+    """
+    side = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(cell)) / (32 * cell)))).cast("int")
+    boxes = areas.where("north >= south and east >= west").select("area", "south", "west", "north", "east", level.alias("level"))
+    width = F.lit(cell) * F.pow(F.lit(2.0), "level")
+    line = lambda c: F.floor(F.col(c) / width)
+    boxes = boxes.withColumn("gy", F.explode(F.sequence(line("south"), line("north")))).withColumn("gx", F.explode(F.sequence(line("west"), line("east"))))
+    levels = [r.level for r in boxes.select("level").distinct().collect()]  # a number for each doubling of the size of boxes
+    names = df.columns
+    rows = df.where("lat is not null and lon is not null").withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    rows = rows.withColumn("gy", line("lat")).withColumn("gx", line("lon"))
+    inside = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
+    return rows.join(boxes, ["level", "gy", "gx"]).where(inside).select(*names, "area")
+
+
 def with_region(df: DataFrame, regions: DataFrame, column: str = "country") -> DataFrame:
     """Adds `region`: alias, 2-letter code, or name / 3-letter code of a regions table (code, name, alpha3, supported)."""
     spark = df.sparkSession

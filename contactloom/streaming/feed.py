@@ -1,7 +1,8 @@
 """Incremental delivery: micro-batches of listings go through the batch operators; accepted leads and history are tables.
 
-State is the run's tables, not a state store: a key stays known for the whole run, as it must, and survives a restart. A batch
-writes its own partition only, so a batch that is delivered again replaces what it wrote (H1, H5).
+State is the run's tables, not a state store: a key stays known for the whole run, as it must, and survives a restart. All that a
+batch writes is one commit: a batch that died leaves nothing that is read, and one that is delivered again replaces what it
+wrote (H1, H5).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import history as Hist, merge as M, select as S
+from ..sources.commits import Commits
 from ..sources.schema import LEAD_SCHEMA
 
 
@@ -21,38 +23,32 @@ class Feed:
     def __init__(self, spark: SparkSession, folder: str, history: DataFrame, enrich: Callable[[DataFrame], DataFrame], n: int | None = None, need_email: bool = False):
         self.spark, self.folder, self.history, self.enrich, self.n, self.need_email = spark, folder, history, enrich, n, need_email
         self.full = False
+        self.commits = Commits(spark, folder)
 
-    def _read(self, name: str, schema) -> DataFrame:
-        """What earlier batches wrote."""
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+    def accepted(self, without: str | None = None) -> DataFrame:
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LEAD_SCHEMA) + ", lead_key string"
+        return self.commits.read("accepted", schema, without)
 
-    def accepted(self) -> DataFrame:
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LEAD_SCHEMA) + ", lead_key string, batch int"
-        return self._read("accepted", schema)
-
-    def handled(self) -> DataFrame:
-        return self._read("handled", "lead_key string, batch int")
+    def handled(self, without: str | None = None) -> DataFrame:
+        return self.commits.read("handled", "lead_key string", without)
 
     def take(self, batch: DataFrame, batch_id: int) -> None:
         """One micro-batch: merge, drop keys handled before (H2), drop known, enrich, qualify, accept, stop at n (H3)."""
-        before = self.accepted().where(F.col("batch") != batch_id).drop("batch").cache()
+        key = f"batch-{batch_id:012d}"
+        before = self.accepted(key).cache()
         room = None if self.n is None else self.n - before.count()
         if room is not None and room <= 0:
             self.full = True
             before.unpersist()
             return
         rows = M.merge_leads(batch.where("name <> ''")).cache()
-        fresh = rows.join(self.handled().where(F.col("batch") != batch_id).select("lead_key"), "lead_key", "left_anti")
+        fresh = rows.join(self.handled(key), "lead_key", "left_anti")
         fresh = self.enrich(Hist.unseen(fresh, self.history, self.need_email))
         fresh = Hist.unseen(fresh.where(S.qualifies()), self.history, self.need_email)
         clash = Hist.known(fresh, Hist.identities(before).select("field", "value").distinct())
         taken = S.accept(fresh.join(clash, "seq", "left_anti"), room)
-        taken.write.mode("overwrite").parquet(f"{self.folder}/accepted/batch={batch_id}")
-        rows.select("lead_key").write.mode("overwrite").parquet(f"{self.folder}/handled/batch={batch_id}")
-        self.full = room is not None and taken.count() >= room
+        self.commits.commit(key, {"accepted": taken, "handled": rows.select("lead_key")})
+        self.full = self.n is not None and self.accepted().count() >= self.n
         rows.unpersist()
         before.unpersist()
 

@@ -1,5 +1,8 @@
 """Merge, acceptance, history, selection and the feed against short sequential models."""
 
+import random
+
+import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
@@ -8,6 +11,7 @@ from contactloom.functions import listings as L
 from contactloom.operators import enrich as N, history as Hist, merge as M, select as S
 from contactloom.plans import inputs as I
 from contactloom.sources import history as SH, listings as SL, pages as SP
+from contactloom.sources.commits import Commits
 from contactloom.sources.schema import LEAD_SCHEMA, as_leads
 from contactloom.streaming.feed import Feed, distinct_keys
 
@@ -114,9 +118,50 @@ def test_history_tables(spark, tmp_path):
         assert good.count() == 0 and [r.value for r in aside.collect()] == [(tmp_path / f"{name}.json").read_text()]
 
 
-def test_export_is_never_overwritten(spark, tmp_path):
-    import pytest
+def test_a_commit_is_whole_or_absent(spark, tmp_path):
+    """A writer that dies between two tables leaves nothing that is read; the next try takes its place."""
+    commits = Commits(spark, str(tmp_path / "c"))
+    one, two = spark.range(3), spark.range(5)
+    commits.commit("a", {"x": one, "y": two})
+    broken = spark.range(1).select(F.raise_error(F.lit("died")).cast("bigint").alias("id"))
+    with pytest.raises(Exception, match="died"):
+        commits.commit("a", {"x": two, "y": broken})
+    with pytest.raises(Exception, match="died"):
+        commits.commit("b", {"x": two, "y": broken})
+    assert (commits.read("x", "id bigint").count(), commits.read("y", "id bigint").count()) == (3, 5)
+    commits.commit("b", {"x": two, "y": one})
+    commits.commit("a", {"x": spark.range(1), "y": one})
+    assert (commits.read("x", "id bigint").count(), commits.read("x", "id bigint", "a").count()) == (6, 5)
+    commits.reset()
+    assert commits.read("x", "id bigint").count() == 0
+
+
+def test_bucketed_history_stays_where_it_is(spark):
+    leads = I.delivered(spark, SF)
+    history = Hist.identities(leads).where("seq % 3 = 0").select("field", "value")
+    table = SH.save_bucketed(history, "bucketed_history", 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        seen = Hist.known(leads, table)
+        plan = seen._jdf.queryExecution().executedPlan().toString()
+        side = plan[plan.index("bucketed_history") - 400 : plan.index("bucketed_history")].splitlines()
+        assert "SortMergeJoin" in plan and not any("Exchange" in x for x in side[-3:])
+        assert {r.seq for r in seen.collect()} == {r.seq for r in Hist.known(leads, history).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("drop table bucketed_history")
+
+
+def test_many_areas_equal_the_comparison_of_all(spark):
+    rng = random.Random(2)
+    points = [(i, rng.choice([None, rng.uniform(-2, 2), 0.0]), rng.uniform(-2, 2)) for i in range(300)]
+    boxes = [(i, s := rng.uniform(-2, 2), w := rng.uniform(-2, 2), s + rng.choice([0, 0.01, 0.3, 3]), w + rng.choice([0, 0.05, 2])) for i in range(80)]
+    df = spark.createDataFrame(points, "seq int, lat double, lon double")
+    got = SL.in_areas(df, spark.createDataFrame(boxes, "area int, south double, west double, north double, east double"), 0.02).collect()
+    assert sorted((r.seq, r.area) for r in got) == sorted((i, a) for i, y, x in points for a, s, w, n, e in boxes if y is not None and s <= y <= n and w <= x <= e)
 
+
+def test_export_is_never_overwritten(spark, tmp_path):
     leads = lead(spark, (1, "c", "+1", "a@x.it", "http://x.it"))
     path = S.export(leads, str(tmp_path), "My Town", "cafés")
     assert spark.read.option("header", True).csv(path).columns == ["Name", "Phone", "Email", "Address", "Website Present", "Website"]
