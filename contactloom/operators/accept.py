@@ -31,20 +31,20 @@ OPEN, CLEAR, OUT = 0, 1, 2
 _ROW = ["cat", "seq"]
 
 
-def _bounds(rows: DataFrame, n: int | None) -> DataFrame:
+def _bounds(rows: DataFrame, n: int) -> DataFrame:
     """cat, sure, most: seq of the N-th row and of the N-th clear row of each category that has so many."""
 
     def nth(part: DataFrame, name: str) -> DataFrame:
         ranked = part.select(*_ROW).withColumn("rank", F.row_number().over(Window.partitionBy("cat").orderBy("seq"))).where(F.col("rank") <= n)
         return ranked.groupBy("cat").agg(F.max("seq").alias(name), F.count(F.lit(1)).alias("k")).where(F.col("k") == n).drop("k")
 
-    if n is None:
-        return rows.select("cat", F.col("seq").alias("sure"), F.col("seq").alias("most")).limit(0)
     return nth(rows, "sure").join(nth(rows.where(F.col("status") == CLEAR), "most"), "cat", "full")
 
 
 def _bounded(rows: DataFrame, n: int | None) -> DataFrame:
     """Rows that may still be accepted, with `sure`: the row is within N if it is clear."""
+    if n is None:
+        return rows.select(*_ROW, "status", F.lit(True).alias("sure"))
     marked = rows.drop("sure").join(_bounds(rows, n), "cat", "left")
     kept = marked.where(F.col("most").isNull() | (F.col("seq") <= F.col("most")))
     return kept.select(*_ROW, "status", (F.col("sure").isNull() | (F.col("seq") <= F.col("sure"))).alias("sure"))
