@@ -17,6 +17,7 @@ next to each other; an empty table gives no records; extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -101,6 +102,11 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = EN
     _files(docs.sparkSession, folder).mapInArrow(index, _INDEX).write.parquet(f"{folder}/index")
 
 
+def file_order(path: str) -> tuple[int, str]:
+    """Files of a writer go by their number, which has more digits from 100 000 files on."""
+    return int(re.search(r"part-(\d+)[^/]*$", path)[1]), path
+
+
 def _files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/data").select("path", "content")
 
@@ -114,7 +120,7 @@ def read_records(spark: SparkSession, folder: str, wanted: DataFrame | None = No
     index = spark.read.schema(_INDEX).parquet(f"{folder}/index")
     sizes = index.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()  # a row for each file
     starts, base = {}, 0
-    for file, n in sorted(sizes):
+    for file, n in sorted(sizes, key=lambda row: file_order(row[0])):
         starts[file] = base
         base += n
 

@@ -91,6 +91,11 @@ def test_damage_is_noticed():
         records.parse(good[:-2])
 
 
+def test_files_go_by_their_number():
+    names = [f"s3://b/part-1/part-{n:05d}-ab-c000.txt" for n in (99999, 100000, 3, 100001)]
+    assert [n.split("/")[-1][:11] for n in sorted(names, key=records.file_order)] == ["part-00003-", "part-99999-", "part-100000", "part-100001"]
+
+
 def test_sharding(spark):
     df = frame(spark, 400)
     rows = sharding.shard_documents(df, 5).collect()
