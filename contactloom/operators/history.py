@@ -29,6 +29,14 @@ def unseen(leads: DataFrame, history: DataFrame, need_email: bool = False, inclu
     return leads if include_seen else leads.join(known(leads, history, need_email), "seq", "left_anti")
 
 
+def marked(leads: DataFrame, history: DataFrame, need_email: bool = False, include_seen: bool = False) -> DataFrame:
+    """Leads with `known`: whether the history holds them."""
+    if include_seen:
+        return leads.withColumn("known", F.lit(False))
+    held = known(leads, history, need_email).withColumn("known", F.lit(True))
+    return leads.join(held, "seq", "left").na.fill(False, ["known"])
+
+
 def skip_listings(listings: DataFrame, history: DataFrame, need_email: bool = False) -> DataFrame:
     """Listings that need no further work go (C4)."""
     ids = history.where(F.col("field") == ("e_ids" if need_email else "ids")).select(F.col("value").alias("place_id"))

@@ -29,12 +29,12 @@ def keyed(leads: DataFrame) -> DataFrame:
 def lead_run(
     sources: list[DataFrame], categories: list[str], history: DataFrame, domains: DataFrame, region: Column, n: int | None,
     sites: DataFrame | None = None, need_email: bool = False, include_seen: bool = False, **rules: bool | str,
-) -> DataFrame:
-    """The accepted leads of a run, N for each category in the order of the categories.
+) -> tuple[DataFrame, DataFrame]:
+    """The accepted leads of a run, N for each category in the order of the categories (W1), and those it learns from again.
 
     Sources in turn, most complete rows first; websites cleaned; rows of one business merged; what an earlier run delivered
-    left out before any site is looked at, and again with the contacts that the sites gave; contacts validated; rows that
-    qualify accepted in order. What the next run has to know of them is history.to_remember().
+    left out before any site is looked at; contacts from the sites, validated; rows that qualify accepted in order, where a known
+    one with an email tells its identities to the rest of the run. What the next run has to know is remembered() of both.
     """
     rows = in_turn(SL.ordered_by_completeness(SL.union_sources(*sources)), categories)
     rows = cut(M.merge_leads(rows.withColumn("website", U.clean_website(F.col("website"))), ("category",)))
@@ -42,4 +42,9 @@ def lead_run(
     if sites is not None:
         rows = N.with_site_contacts(rows, sites)
     done = cut(N.finalize(rows, region, domains).where(S.qualifies(require_email=need_email, **rules)))
-    return S.accept(Hist.unseen(done, history, need_email, include_seen), n, categories)
+    return S.accept_and_learn(Hist.marked(done, history, need_email, include_seen), n, categories)
+
+
+def remembered(accepted: DataFrame, learned: DataFrame, history: DataFrame) -> DataFrame:
+    """field, value that a run adds to the history."""
+    return Hist.to_remember(accepted.unionByName(learned), history)

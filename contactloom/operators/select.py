@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import listings as L
-from .accept import accepted
+from .accept import accepted, in_turn
 from .history import identity_list
 from .rank import median, ranked
 from .tables import cut
@@ -33,15 +33,23 @@ def accept(leads: DataFrame, n: int | None, categories: list[str] | None = None)
     Without categories there is one order and one N for all leads; with them, leads of other categories are left out, and seq
     need only be unique within a category.
     """
+    return accept_and_learn(leads.withColumn("known", F.lit(False)), n, categories)[0]
+
+
+def accept_and_learn(leads: DataFrame, n: int | None, categories: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The same where leads may be `known` from an earlier run (F4 with G4): the accepted leads, and those that the history learns
+    from. A known lead with an email adds all its identities to what is known to the rows after it, and so does one that meets
+    those, but none that an accepted lead shares an identity with, nor any behind the N-th accepted one of its category."""
     if categories is None:
         placed = leads.withColumn("cat", F.lit(0))
     else:
         order = leads.sparkSession.createDataFrame(list({c: i for i, c in reversed(list(enumerate(categories)))}.items()), "category string, cat int")
         placed = leads.join(order, "category")
-    slim = cut(placed.select("cat", "seq", identity_list().alias("ids")))
+    slim = cut(placed.select("cat", "seq", "known", (F.col("email") != "").alias("mail"), identity_list().alias("ids")))
     ids = slim.select("cat", "seq", F.explode("ids").alias("i")).select("cat", "seq", "i.field", "i.value")
-    won = accepted(slim.select("cat", "seq"), ids, n)
-    return placed.join(won, ["cat", "seq"], "left_semi").select(*leads.columns)
+    won = in_turn(slim.select("cat", "seq", "known", "mail"), ids, n)
+    columns = [c for c in leads.columns if c != "known"]
+    return tuple(placed.join(won.where(which), ["cat", "seq"], "left_semi").select(*columns) for which in ("not learned", "learned"))
 
 
 def top_n(leads: DataFrame, n: int) -> DataFrame:

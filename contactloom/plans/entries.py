@@ -493,6 +493,14 @@ def f4_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.accept(I.delivered(spark, sf_dir).where(S.qualifies()), 3 * N_LEADS, CATEGORIES).select("category", "seq", "lead_key")
 
 
+@query
+def f4_g4_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N for each category where known leads with an email make their other identities known to the rows after them."""
+    leads = Hist.marked(I.delivered(spark, sf_dir).where(S.qualifies()), _history(spark, sf_dir))
+    taken, learned = S.accept_and_learn(leads, 3 * N_LEADS, CATEGORIES)
+    return taken.select("seq", F.lit("accepted").alias("verdict")).unionByName(learned.select("seq", F.lit("learned").alias("verdict")))
+
+
 @query
 def w1_lead_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole run: two sources, merged, without what is known, with the contacts of their sites, N for each category."""
@@ -502,6 +510,6 @@ def w1_lead_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites = leads.select(U.clean_website(F.col("website")).alias("url")).distinct().where((F.col("url") != "") & (F.regexp_extract(host, "([0-9]+)", 1).cast("int") % 2 == 0))
     sites = sites.select("url", F.array(F.concat(F.lit("Info@"), host)).alias("emails"), F.array(F.lit("+44 20 7946 9990")).alias("phones"), F.create_map(F.lit("facebook"), host).alias("socials"))
     domains = I.domain_status(leads.select("raw_emails").unionByName(sites.select(F.col("emails").alias("raw_emails"))))
-    taken = R.lead_run(sources, CATEGORIES, _history(spark, sf_dir), domains, F.lit("GB"), N_LEADS, sites)
+    taken, _ = R.lead_run(sources, CATEGORIES, _history(spark, sf_dir), domains, F.lit("GB"), N_LEADS, sites)
     rank = F.row_number().over(Window.partitionBy("category").orderBy("seq"))  # over the N accepted ones
     return taken.select("category", rank.alias("rank"), "name", "phone_display", "email", "address", "website", "source", "lead_key", F.coalesce(F.col("socials")["facebook"], F.lit("")).alias("facebook"))

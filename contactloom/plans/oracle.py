@@ -297,12 +297,29 @@ def greedy(source: str, n: int | None = None) -> str:
       accepted as (select cat, seq from step where seq is not null)"""
 
 
+def learning(source: str, n: int) -> str:
+    """CTEs that take the rows of a source (cat, seq, known, field values) one by one: `verdicts` has the accepted ones, at most n
+    of a cat, and the learned ones, which are known or share a value with one learned before, have an email, share no value with
+    an accepted row and come before the n-th accepted one of their cat."""
+    full, met = f"(s.cat = l.cat and s.k >= {n})", "(l.known or list_has_any(s.told, l.ids))"
+    lost = f"({full} or list_has_any(s.taken, l.ids))"
+    return f"""listed as (select cat, seq, known, email <> '' as mail, row_number() over (order by cat, seq) as rn, list_filter([case when place_id <> '' then 'i:' || place_id end, case when website = '' and phone <> '' then 'p:' || phone end,
+        case when email <> '' then 'e:' || email end, 'k:' || lead_key], lambda v: v is not null) as ids from {source}),
+      step as (select 0::bigint as rn, []::varchar[] as taken, []::varchar[] as told, -1::bigint as cat, 0::bigint as k, null::bigint as seq, '' as verdict union all
+        select l.rn, case when {lost} or {met} then s.taken else list_concat(s.taken, l.ids) end, case when not {lost} and {met} and l.mail then list_concat(s.told, l.ids) else s.told end,
+          l.cat::bigint, case when s.cat = l.cat then s.k else 0 end + case when {lost} or {met} then 0 else 1 end, l.seq::bigint,
+          case when {lost} then '' when {met} then case when l.mail then 'learned' else '' end else 'accepted' end from step s join listed l on l.rn = s.rn + 1),
+      verdicts as (select cat, seq, verdict from step where verdict <> ''), accepted as (select cat, seq from verdicts where verdict = 'accepted')"""
+
+
 _CATEGORIES = "[" + ", ".join(map(text, CATEGORIES)) + "]"
 ORACLE["f4_accepted_leads"] = f"with recursive {DELIVERED}, qualified as (select 0 as cat, * from leads where {QUALIFIES}), {greedy('qualified')} select seq, lead_key from leads join accepted using (seq)"
 ORACLE["f4_categories"] = f"""with recursive {DELIVERED}, qualified as (select list_position({_CATEGORIES}, category) as cat, * from leads where {QUALIFIES}), {greedy('qualified', 3 * N_LEADS)}
   select category, seq, lead_key from leads join accepted using (seq)"""
+ORACLE["f4_g4_learned"] = f"""with recursive {DELIVERED}, {IDENTITIES}, h as ({HISTORY}), qualified as (select list_position({_CATEGORIES}, category) as cat, *, seq in (select i.seq from identities i join h using (field, value)) as known
+    from leads where {QUALIFIES}), {learning('qualified', 3 * N_LEADS)} select seq, verdict from verdicts"""
 #: A run step by step: order of the sources' rows in a category; merge within a category by name, key and place; gaps filled from
-#: the others in order; the first row of each key; rows of known phones out; contacts of sites with an even number; acceptance.
+#: the others in order; the first row of each key; contacts of sites with an even number; acceptance, where rows of known phones with an email are learned.
 ORACLE["w1_lead_table"] = f"""with recursive listed_rows as (
     select *, list_position({_CATEGORIES}, category) as cat, {website('website')} as site, 'biz' || cast(seq % 61 as string) as nm, seq % 61 as number,
       row_number() over (partition by category order by (website <> '')::int + (raw_phone <> '')::int + (raw_email <> '')::int desc, source <> 'OpenStreetMap', seq) as ord from ({LEADS})),
@@ -320,6 +337,6 @@ ORACLE["w1_lead_table"] = f"""with recursive listed_rows as (
       website <> '' and number % 2 = 0 as visited from merged),
   once as (select * from named qualify row_number() over (partition by cat, lead_key order by seq) = 1),
   done as (select *, case when phone0 <> '' then phone0 when visited then '+44 20 7946 9990' else '' end as phone_display, case when number % 3 = 1 then '' when email0 <> '' then email0 when visited then 'info@biz' || number || '.co.uk' else '' end as email from once),
-  fresh as (select *, replace(phone_display, ' ', '') as phone from done where (phone_display <> '' or email <> '') and not (website = '' and replace(phone_display, ' ', '') in (select value from ({HISTORY}) where field = 'phones'))),
-  {greedy('fresh', N_LEADS)}
+  fresh as (select *, replace(phone_display, ' ', '') as phone, website = '' and replace(phone_display, ' ', '') in (select value from ({HISTORY}) where field = 'phones') as known from done where phone_display <> '' or email <> ''),
+  {learning('fresh', N_LEADS)}
   select category, row_number() over (partition by category order by seq) as rank, name, phone_display, email, address, website, sources as source, lead_key, case when visited then {bare('website')} else '' end as facebook from fresh join accepted using (cat, seq)"""

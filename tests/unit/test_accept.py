@@ -5,7 +5,8 @@ import random
 import pandas as pd
 import pytest
 
-from contactloom.operators.accept import CLEAR, OPEN, OUT, accepted, decide
+from contactloom.operators import accept
+from contactloom.operators.accept import CLEAR, LEARNED, OPEN, OUT, accepted, decide
 from contactloom.operators.graph import components
 
 
@@ -34,6 +35,44 @@ def test_as_in_turn(spark, seed, n, most):
     assert run(spark, rows, n, most=most) == in_turn(rows, n)
 
 
+def learned_in_turn(rows, n):
+    """rows: {(cat, seq): (values, known, mail)}; taken one by one."""
+    taken, told, count, out = set(), set(), {}, set()
+    for (cat, seq), (values, known, mail) in sorted(rows.items()):
+        if count.get(cat, 0) == n or values & taken:
+            continue
+        if known or values & told:
+            if mail:
+                told |= values
+                out.add((cat, seq, True))
+            continue
+        taken |= values
+        count[cat] = count.get(cat, 0) + 1
+        out.add((cat, seq, False))
+    return out
+
+
+@pytest.mark.parametrize(("seed", "n", "most"), [(0, None, 200_000), (1, 3, 200_000), (3, 9, 8), (4, 6, 30)])
+def test_learned_as_in_turn(spark, seed, n, most):
+    rng = random.Random(seed)
+    rows = {}
+    for _ in range(150):
+        values = {str(rng.randrange(90)) for _ in range(rng.randint(0, 3))}
+        rows[rng.randrange(4), rng.randrange(60)] = (values, bool(values) and rng.random() < 0.4, rng.random() < 0.6)
+    table = spark.createDataFrame([(*r, known, mail) for r, (_, known, mail) in rows.items()], "cat int, seq bigint, known boolean, mail boolean")
+    ids = spark.createDataFrame([(*r, "f", v) for r, (values, *_) in rows.items() for v in values], "cat int, seq bigint, field string, value string")
+    want = learned_in_turn(rows, n)
+    assert {tuple(r) for r in accept.in_turn(table, ids, n, most=most).collect()} == want
+    assert any(learned for *_, learned in want)
+
+
+def test_a_component_learns_in_turn():
+    """A learned row of an unsettled category hides rows of its own category, and keeps those of later ones open."""
+    table = [(0, 1, OPEN, True, True, True, "a"), (0, 2, OPEN, True, False, False, "a"), (0, 3, LEARNED, False, True, True, "b"), (0, 4, OPEN, False, False, True, "b"), (1, 1, OPEN, True, False, True, "b"), (1, 2, OPEN, True, False, True, "a")]
+    df = pd.DataFrame(table, columns=["cat", "seq", "status", "sure", "known", "mail", "value"]).assign(field="f")
+    assert sorted(decide(df).itertuples(index=False, name=None)) == [(0, 1, LEARNED), (0, 2, OUT), (0, 4, LEARNED), (1, 2, LEARNED)]
+
+
 def test_a_component_is_decided_in_turn():
     """Categories without a settled count keep later categories open, not their own."""
     table = [(0, 1, CLEAR, True, "a"), (0, 2, CLEAR, False, "b"), (0, 3, OPEN, False, "b"), (1, 1, OPEN, False, "b"), (1, 2, OPEN, True, "c"), (2, 1, OPEN, True, "c"), (2, 2, OPEN, True, "a")]
