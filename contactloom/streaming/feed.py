@@ -13,27 +13,42 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import history as Hist, merge as M, select as S
+from ..operators.tables import cut
 from ..sources.commits import Commits
 from ..sources.schema import LEAD_SCHEMA
 
+_LEADS = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LEAD_SCHEMA) + ", lead_key string"
 
-class Feed:
-    """Takes leads until `n` are accepted. enrich: leads -> leads with the delivered fields (raw contacts validated)."""
 
-    def __init__(self, spark: SparkSession, folder: str, history: DataFrame, enrich: Callable[[DataFrame], DataFrame], n: int | None = None, need_email: bool = False):
-        self.spark, self.folder, self.history, self.enrich, self.n, self.need_email = spark, folder, history, enrich, n, need_email
+class Feed:
+    """Takes leads until `n` are accepted. enrich: leads -> leads with the delivered fields (raw contacts validated); rules: what
+    select.qualifies() asks for.
+
+    Each batch reads what the batches before it wrote. Every `fold` batches that is gathered into one commit, and a gathered
+    commit of `fold` parts into a larger one, so the commits to read stay about 2 * fold * log(batches).
+    """
+
+    def __init__(
+        self, spark: SparkSession, folder: str, history: DataFrame, enrich: Callable[[DataFrame], DataFrame], n: int | None = None,
+        need_email: bool = False, include_seen: bool = False, fold: int = 16, **rules: bool | str,
+    ):
+        self.spark, self.folder, self.history, self.enrich, self.n, self.fold = spark, folder, history, enrich, n, fold
+        self.need_email, self.include_seen, self.rules = need_email, include_seen, rules
         self.full = False
         self.commits = Commits(spark, folder)
 
     def accepted(self, without: str | None = None) -> DataFrame:
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in LEAD_SCHEMA) + ", lead_key string"
-        return self.commits.read("accepted", schema, without)
+        return self.commits.read("accepted", _LEADS, without)
 
     def handled(self, without: str | None = None) -> DataFrame:
         return self.commits.read("handled", "lead_key string", without)
 
+    def remembered(self, without: str | None = None) -> DataFrame:
+        """field, value that the batches add to the history: of accepted leads, and of known ones that it learned from."""
+        return self.commits.read("remembered", "field string, value string", without)
+
     def take(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch: merge, drop keys handled before (H2), drop known, enrich, qualify, accept, stop at n (H3)."""
+        """One micro-batch: merge, drop keys handled before (H2), drop known, enrich, qualify, accept and learn, stop at n (H3)."""
         key = f"batch-{batch_id:012d}"
         before = self.accepted(key).cache()
         room = None if self.n is None else self.n - before.count()
@@ -42,12 +57,16 @@ class Feed:
             before.unpersist()
             return
         rows = M.merge_leads(batch.where("name <> ''")).cache()
+        history = Hist.union_history(self.history, self.remembered(key))
+        own = Hist.identities(before).select("field", "value").distinct()
         fresh = rows.join(self.handled(key), "lead_key", "left_anti")
-        fresh = self.enrich(Hist.unseen(fresh, self.history, self.need_email))
-        fresh = Hist.unseen(fresh.where(S.qualifies()), self.history, self.need_email)
-        clash = Hist.known(fresh, Hist.identities(before).select("field", "value").distinct())
-        taken = S.accept(fresh.join(clash, "seq", "left_anti"), room)
-        self.commits.commit(key, {"accepted": taken, "handled": rows.select("lead_key")})
+        fresh = Hist.unseen(Hist.unseen(fresh, own), history, self.need_email, self.include_seen)
+        done = cut(self.enrich(fresh).where(S.qualifies(require_email=self.need_email, **self.rules)))
+        done = Hist.marked(Hist.unseen(done, own), history, self.need_email, self.include_seen)  # what the run took teaches nothing
+        taken, learned = map(cut, S.accept_and_learn(done, room))
+        new = Hist.to_remember(taken.unionByName(learned), history)
+        self.commits.commit(key, {"accepted": taken, "handled": rows.select("lead_key"), "remembered": new})
+        self.commits.fold({"accepted": _LEADS, "handled": "lead_key string", "remembered": "field string, value string"}, self.fold, key)
         self.full = self.n is not None and self.accepted().count() >= self.n
         rows.unpersist()
         before.unpersist()

@@ -136,6 +136,69 @@ def test_a_commit_is_whole_or_absent(spark, tmp_path):
     assert commits.read("x", "id bigint").count() == 0
 
 
+def test_commits_are_folded(spark, tmp_path, monkeypatch):
+    """Many commits become few, whole at any moment, also if the old manifests were not deleted; the last one may come again."""
+    commits, seen = Commits(spark, str(tmp_path / "c")), []
+    for i in range(1, 12):
+        commits.commit(f"k{i:03d}", {"x": spark.range(i)})
+        if i == 11:
+            with monkeypatch.context() as m:  # dies after the new manifest, before the old ones are gone
+                m.setattr(Commits, "_fs", lambda self, real=Commits._fs: NoDelete(real(self)))
+                commits.fold({"x": "id bigint"}, 2, f"k{i:03d}")
+        else:
+            commits.fold({"x": "id bigint"}, 3, f"k{i:03d}")
+        seen.append(len(commits.manifests()))
+        assert commits.read("x", "id bigint").count() == i * (i + 1) // 2
+    assert max(seen) <= 6
+    commits.commit("k011", {"x": spark.range(1)})
+    assert commits.read("x", "id bigint").count() == 56
+    assert commits.read("x", "id bigint", "k011").count() == 55
+
+
+class NoDelete:
+    def __init__(self, fs):
+        self.fs = fs
+
+    def __getattr__(self, name):
+        return getattr(self.fs, name)
+
+    def delete(self, *_):
+        return False
+
+
+def model_feed(batches, history, n):
+    """Batches of (key, phone, email), no websites and no gaps to fill, one after the other: keys accepted, and what is learned."""
+    hist, run, seen, won, new = set(history), set(), set(), [], set()
+    for batch in batches:
+        fresh = [r for r in batch if r[0] not in seen and not seen.add(r[0]) and ("keys", r[0]) not in hist | run]
+        for r in fresh:
+            ids = {i for i in (("keys", r[0]), ("phones", r[1]), ("emails", r[2])) if i[1]}
+            if len(won) == n or not (r[1] or r[2]) or ids & run or (ids & hist and not r[2]):
+                continue
+            new |= ids | {(f"e_{f}", v) for f, v in ids if r[2] and f != "emails"}
+            if ids & hist:
+                hist |= ids
+                continue
+            won.append(r[0])
+            run |= ids
+    return won, new - set(history)
+
+
+def test_feed_enriches_and_learns(spark, tmp_path):
+    rng = random.Random(5)
+    batches = [{f"n{rng.randrange(60):02d}": (rng.choice(["", f"+44{rng.randrange(25)}"]), rng.choice(["", f"{rng.randrange(20)}@x.it"])) for _ in range(12)} for _ in range(5)]
+    history = [("phones", "+441"), ("phones", "+442"), ("phones", "+443"), ("keys", "n07|a"), ("emails", "3@x.it")]
+    enrich = lambda df: df.withColumns({c: F.substring(F.get("raw_emails", F.lit(i)), 2, 99) for i, c in enumerate(("phone", "email"))})
+    for n in (None, 8):
+        feed = Feed(spark, str(tmp_path / f"f{n}"), spark.createDataFrame(history, "field string, value string"), enrich, n=n, fold=2)
+        for b, part in enumerate(batches):
+            rows = [(100 * b + i, name, "a", [f"p{phone}", f"e{email}"]) for i, (name, (phone, email)) in enumerate(part.items())]
+            feed.take(as_leads(spark.createDataFrame(rows, "seq bigint, name string, address string, raw_emails array<string>")), b)
+        won, new = model_feed([[(f"{name}|a", *v) for name, v in part.items()] for part in batches], history, n)
+        assert sorted(r.lead_key for r in feed.accepted().collect()) == sorted(won)
+        assert {tuple(r) for r in feed.remembered().collect()} == new
+
+
 def test_bucketed_history_stays_where_it_is(spark):
     leads = I.delivered(spark, SF)
     history = Hist.identities(leads).where("seq % 3 = 0").select("field", "value")
