@@ -8,11 +8,14 @@ A file is a run of frames, all numbers little-endian:
 A payload is: doc_id int64, 1 if there is a doc_id else 0 (uint8), bytes of an id (uint8), then the ids. A masked checksum is
 CRC-32 rotated right by 15 bits plus 0xA282EAD8, so that a checksum over data that holds checksums stays good. Files are in
 ascending order of doc_id, and so are the frames in each. Spark's own writer makes the files, on any store and with its
-commit protocol; the byte 0x0A that it ends each row with is the frame's last. The index has, for each record, its file,
-offset, length, doc_id and number of ids.
+commit protocol; the byte 0x0A that it ends each row with is the frame's last. Frames go to it as strings, whose bytes Spark
+writes as they are. A task begins a new file, data/piece=N/part-M, before one would grow beyond `file_bytes`, so a reader
+holds that much at a time (or one record, if it is longer). The index has, for each record, its file (relative to the
+folder, which may be moved), offset, length, doc_id and number of ids.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id comes first; rows with the same doc_id are records
-next to each other; an empty table gives no records; extra columns are ignored. A damaged frame raises ValueError.
+next to each other, by the hash of their text, and however many there are, they lie over several tasks; an empty table gives
+no records; extra columns are ignored. A damaged frame raises ValueError.
 """
 
 from __future__ import annotations
@@ -21,16 +24,18 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import kernel as K
 from .rounds import partitions
 from .tokens import encoder
 
 END_ID = 2
+FILE_BYTES = 64 << 20
 _HEAD, _ROW = struct.Struct("<QI"), struct.Struct("<qBB")
 _INDEX = "file string, record bigint, offset bigint, length bigint, doc_id bigint, n_tokens bigint, before bigint"
 
@@ -69,75 +74,112 @@ def opened(data: bytes) -> tuple[int | None, np.ndarray]:
     return doc if known else None, np.frombuffer(data, f"<u{width}", offset=_ROW.size)
 
 
-def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID) -> None:
+def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> None:
     """Writes folder/data (record files) and folder/index (Parquet) of docs (doc_id, text)."""
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end, width = np.array([end_id], enc.dtype).tobytes(), enc.dtype.itemsize
+        piece, size, at = 0, 0, 0
         for batch in batches:
             data, off = K.as_bytes(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
             for a, b, part, cut in K.slices(data, off):
-                raw = part.tobytes()
-                rows = [frame(payload(ids[a + i], width, enc.encode(raw[cut[i] : cut[i + 1]]) + end))[:-1] for i in range(b - a)]
-                yield pa.record_batch([pa.array(rows, pa.binary())], names=["value"])
-
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.repartitionByRange(partitions(docs), "doc_id").sortWithinPartitions("doc_id")
-    texts.mapInArrow(frames, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").text(f"{folder}/data")
+                raw, rows, pieces = part.tobytes(), [], []
+                for i in range(b - a):
+                    row = frame(payload(ids[a + i], width, enc.encode(raw[cut[i] : cut[i + 1]]) + end))
+                    if size and size + len(row) > file_bytes:
+                        piece, size = piece + 1, 0
+                    size += len(row)
+                    rows.append(row[:-1])
+                    pieces.append(piece)
+                numbers = np.arange(at, at + len(rows), dtype=np.int64)
+                at += len(rows)
+                yield pa.record_batch([pa.array(pieces, pa.int32()), pa.array(numbers), pa.array(rows, pa.binary())], names=["piece", "at", "value"])
+
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("copy", F.xxhash64("text"))
+    texts = texts.repartitionByRange(partitions(docs), "doc_id", "copy", F.rand(0)).sortWithinPartitions("doc_id", "copy")  # equal rows over several ranges
+    made = texts.select("doc_id", "text").mapInArrow(frames, "piece int, at bigint, value binary").sortWithinPartitions("piece", "at")
+    made.select("piece", F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").partitionBy("piece").text(f"{folder}/data")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                content, at, rows, before = memoryview(content.as_buffer()), 0, [], 0
-                while at < len(content):
-                    body, after = parse(content, at, check=False)
-                    doc, ids = opened(body)
-                    rows.append((file, len(rows), at, after - at, doc, len(ids), before))
-                    at, before = after, before + len(ids)
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                rows = [(name_of(path), i, at, after - at, doc, len(ids), before) for i, (at, after, before, doc, ids) in enumerate(walk(memoryview(content.as_buffer()), False))]
                 if rows:
                     yield pa.record_batch([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), (pa.string(), *[pa.int64()] * 6), strict=True)], names=_INDEX.replace(",", "").split()[::2])
 
-    _files(docs.sparkSession, folder).mapInArrow(index, _INDEX).write.parquet(f"{folder}/index")
+    _files(docs.sparkSession, f"{folder}/data").mapInArrow(index, _INDEX).write.parquet(f"{folder}/index")
+
+
+def walk(content: memoryview, check: bool = True) -> Iterator[tuple[int, int, int, int | None, np.ndarray]]:
+    """offset, next offset, number of ids before it, doc_id and ids of each record of a file."""
+    at = before = 0
+    while at < len(content):
+        body, after = parse(content, at, check)
+        doc, ids = opened(body)
+        yield at, after, before, doc, ids
+        at, before = after, before + len(ids)
+
 
+def name_of(path: str) -> str:
+    """A record file's path within folder/data."""
+    return "/".join(path.split("/")[-2:])
 
-def file_order(path: str) -> tuple[int, str]:
-    """Files of a writer go by their number, which has more digits from 100 000 files on."""
-    return int(re.search(r"part-(\d+)[^/]*$", path)[1]), path
 
+def file_order(path: str) -> tuple[int, int]:
+    """Files go by their task's number, which has more digits from 100 000 on, then by their number in it."""
+    piece = re.search(r"piece=(\d+)/", path)
+    return int(re.search(r"part-(\d+)[^/]*$", path)[1]), int(piece[1]) if piece else 0
 
-def _files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/data").select("path", "content")
+
+def _files(spark: SparkSession, *paths: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(list(paths)).select("path", "content")
+
+
+def _bases(index: DataFrame) -> DataFrame:
+    """part, piece, base: how many ids lie in the files before each. Tasks' sums are a row each; files are summed within a task."""
+    part, piece = (F.regexp_extract("file", f"{name}(\\d+)", 1).cast("int").alias(c) for name, c in (("part-", "part"), ("piece=", "piece")))
+    sizes = index.groupBy(part, piece).agg(F.sum("n_tokens").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = sizes.groupBy("part").agg(F.sum("n").alias("n")).select("part", before(Window.orderBy("part")).alias("first"))
+    inside = sizes.select("part", "piece", before(Window.partitionBy("part").orderBy("piece")).alias("inside"))
+    return inside.join(tasks, "part").select("part", "piece", (F.col("first") + F.col("inside")).alias("base"))
 
 
 def read_records(spark: SparkSession, folder: str, wanted: DataFrame | None = None) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and ids (packed uint32) from the files, checksums verified.
 
-    The index says where the records are, so a reader may take them in any order: with wanted (doc_id) only those records
-    are cut out. start counts the ids of all records before it.
+    The files are read one after the other, each by one task. With wanted (doc_id), the index says which files hold those
+    records and where: no other file is opened, and only those records are cut out and checked. start counts the ids of all
+    records before it.
     """
     index = spark.read.schema(_INDEX).parquet(f"{folder}/index")
-    sizes = index.groupBy("file").agg(F.sum("n_tokens").alias("n")).collect()  # a row for each file
-    starts, base = {}, 0
-    for file, n in sorted(sizes, key=lambda row: file_order(row[0])):
-        starts[file] = base
-        base += n
+
+    def rows_of(content: memoryview, places: list[dict] | None):
+        if places is None:
+            yield from ((before, doc, ids) for _, _, before, doc, ids in walk(content))
+        else:
+            yield from ((p["before"], *opened(parse(content, p["offset"])[0])) for p in places)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = batch.column("places").to_pylist()
-            for file, content, at in zip(batch.column("path").to_pylist(), batch.column("content"), places, strict=True):
-                content = memoryview(content.as_buffer())
-                for i in range(0, len(at), 1000):
-                    rows = []
-                    for place in at[i : i + 1000]:
-                        doc, ids = opened(parse(content, place["offset"])[0])
-                        ids = ids.astype("<u4").tobytes()
-                        rows.append((doc, starts[file] + place["before"], len(ids) // 4, zlib.crc32(ids), ids))
-                    yield pa.record_batch([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.binary()), strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
-
-    if wanted is not None:
-        index = index.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    places = index.groupBy("file").agg(F.collect_list(F.struct("offset", "before")).alias("places"))
-    return _files(spark, folder).join(places, F.col("path") == F.col("file")).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+            asked = batch.column("places").to_pylist() if "places" in batch.schema.names else [None] * batch.num_rows
+            for path, content, places in zip(batch.column("path").to_pylist(), batch.column("content"), asked, strict=True):
+                part, piece = file_order(path)
+                found = rows_of(memoryview(content.as_buffer()), places)
+                while rows := list(islice(found, 1000)):
+                    packed = [ids.astype("<u4").tobytes() for _, _, ids in rows]
+                    columns = [[doc for _, doc, _ in rows], [before for before, _, _ in rows], [len(ids) for _, _, ids in rows], [zlib.crc32(b) for b in packed]]
+                    columns = [pa.array([k] * len(rows), pa.int32()) for k in (part, piece)] + [pa.array(c, pa.int64()) for c in columns]
+                    yield pa.record_batch([*columns, pa.array(packed, pa.binary())], names=["part", "piece", "doc_id", "before", "n_tokens", "ids_crc32", "ids"])
+
+    if wanted is None:
+        files = _files(spark, f"{folder}/data")
+    else:
+        places = index.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("file").agg(F.collect_list(F.struct("offset", "before")).alias("places"))
+        names = [r[0] for r in places.select("file").collect()]  # names of files, each of which Spark lists anyway
+        files = _files(spark, *(f"{folder}/data/{n}" for n in names)) if names else _files(spark, f"{folder}/data").limit(0)
+        files = files.join(places, F.substring_index("path", "/", -2) == F.col("file")).select("path", "content", "places")
+    found = files.mapInArrow(read, "part int, piece int, doc_id bigint, before bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+    return found.join(_bases(index), ["part", "piece"]).select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "ids")

@@ -1,5 +1,6 @@
 """Packing, records, sharding, mixing, searches and language identification, with every defined case."""
 
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
@@ -79,6 +80,37 @@ def test_records_round_trip(spark, tmp_path):
     some = records.read_records(spark, str(tmp_path / "r"), ship(spark).createDataFrame([(30,), (3,)], "doc_id bigint"))
     assert {r.doc_id: r.start for r in some.collect()} == {d: rows[d].start for d in (3, 30)}
     records.write_records(frame(spark).limit(0), str(tmp_path / "e"), WORDS)
+    assert records.read_records(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_record_files_are_bounded_and_read_by_the_index(spark, tmp_path):
+    """Small files, equal rows in several tasks, a folder that is moved, and reads that open only files with wanted records."""
+    t = Tokenizer.from_file(WORDS)
+    hot = ship(spark).createDataFrame([(7, "the same row again")] * 3000, "doc_id bigint, text string")
+    df = frame(spark, 60).select("doc_id", "text").where("doc_id <> 7").unionByName(hot).repartition(3)
+    records.write_records(df, str(tmp_path / "a"), WORDS, file_bytes=2000)
+    shutil.move(tmp_path / "a", tmp_path / "b")
+    folder = str(tmp_path / "b")
+    index = spark.read.parquet(f"{folder}/index").collect()
+    held = {}
+    for r in index:
+        held.setdefault(r.file, []).append(r)
+    assert all(sum(r.length for r in rs) <= 2000 or len(rs) == 1 for rs in held.values()) and len(held) > 40
+    assert len({records.file_order(f)[0] for f, rs in held.items() if any(r.doc_id == 7 for r in rs)}) > 1
+    got, at = sorted(records.read_records(spark, folder).collect(), key=lambda r: r.start), 0
+    want = sorted([(i, TEXTS[i % len(TEXTS)]) for i in range(60) if i != 7] + [(7, "the same row again")] * 3000, key=lambda r: r[0])
+    assert [r.doc_id for r in got] == [d for d, _ in want]
+    for r, (_, text) in zip(got, want, strict=True):
+        ids = t.encode(text or "", add_special_tokens=False).ids + [2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), crc(ids))
+        at += len(ids)
+    where = {r.doc_id: r.file for r in index}
+    for name in sorted(held):
+        if name not in (where[50], where[3]):
+            (tmp_path / "b" / "data" / name).unlink()
+    some = records.read_records(spark, folder, ship(spark).createDataFrame([(50,), (3,), (50,), (10**6,)], "doc_id bigint"))
+    assert sorted((r.doc_id, r.start) for r in some.collect()) == sorted((r.doc_id, r.start) for r in got if r.doc_id in (3, 50))
+    assert records.read_records(spark, folder, ship(spark).createDataFrame([(10**6,)], "doc_id bigint")).count() == 0
 
 
 def test_damage_is_noticed():
