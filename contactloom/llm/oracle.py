@@ -39,4 +39,37 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM s QUALIFY rank <= 10
 """
 
-ORACLE: dict[str, str] = {"op1_ngram_jaccard": OP1, "op2_substring_dedup": OP2, "op7_exact_top_k": OP7}
+OP3 = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, first, substr(h, 2 * first + 1, 1822) AS part FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 512)) AS first FROM d)),
+b AS (SELECT doc_id, first, part, unnest(range(least(512, len(part) // 2))) AS k FROM p),
+g AS (SELECT doc_id, first + k AS i, substr(part, 2 * k + 1, 2) AS byte, CASE WHEN 2 * k + 800 <= len(part) THEN md5(substr(part, 2 * k + 1, 800)) END AS g FROM b),
+f AS (SELECT doc_id, i, byte, g IS NOT NULL AND count(*) OVER (PARTITION BY g) > 1 AS again FROM g),
+c AS (SELECT doc_id, i, byte, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone FROM f),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM c),
+r AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(byte, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM documents LEFT JOIN r USING (doc_id)
+"""
+
+OP6 = r"""
+WITH RECURSIVE weights AS (
+  SELECT 'src0' AS s, 19 AS w UNION ALL SELECT 'src' || i, 3 FROM range(1, 20) t(i) UNION ALL SELECT '(rest)', 3),
+block AS (
+  SELECT s, w, j, j * 79 // w AS release, printf('%05d %05d %s %02d', ((j + 1) * 79 + w - 1) // w, w, s, j) AS due
+  FROM (SELECT s, w, unnest(range(w)) AS j FROM weights)),
+edf AS (
+  SELECT 0 AS slot, CAST([] AS VARCHAR[]) AS placed
+  UNION ALL
+  SELECT slot + 1, list_append(placed, min(due)) FROM edf JOIN block ON release <= slot AND NOT list_contains(placed, due)
+  WHERE slot < 79 GROUP BY slot, placed),
+period AS (SELECT unnest(placed) AS due, unnest(range(79)) AS place FROM edf WHERE slot = 79),
+slots AS (SELECT s, w, j, place FROM block JOIN period USING (due)),
+d AS (SELECT doc_id, source, coalesce(s, '(rest)') AS s FROM documents LEFT JOIN weights ON s = source AND s <> '(rest)'),
+n AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST) - 1 AS k FROM d)
+SELECT doc_id, source, n.s AS mix_class, k // 8 AS mix_block, (k // 8) * 79 // w AS mix_release, ((k // 8 + 1) * 79 + w - 1) // w AS mix_deadline,
+  CAST(k // 8 // w * 79 + place AS BIGINT) AS mix_slot, CAST((k // 8 // w * 79 + place) * 8 + k % 8 AS BIGINT) AS mix_position
+FROM n JOIN slots ON slots.s = n.s AND j = k // 8 % w
+"""
+
+ORACLE: dict[str, str] = {"op1_ngram_jaccard": OP1, "op2_substring_dedup": OP2, "op3_suffix_dedup": OP3, "op6_mixing": OP6, "op7_exact_top_k": OP7}
