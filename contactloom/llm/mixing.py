@@ -25,6 +25,11 @@ REST = "(rest)"
 WEIGHTS = {"src0": 19, **{f"src{i}": 3 for i in range(1, 20)}, REST: 3}
 
 
+def turn(weights: dict[str, int] | None = None) -> Column:
+    """The period that a mix_slot lies in: the documents of one hold the target weights."""
+    return F.floor(F.col("mix_slot") / sum({REST: 1, **(weights or WEIGHTS)}.values())).cast("bigint")
+
+
 def period(weights: dict[str, int]) -> list[tuple[str, int, int]]:
     """(source, number of its block, slot) of one period: earliest deadline first among released blocks."""
     total = sum(weights.values())

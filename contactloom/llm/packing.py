@@ -2,7 +2,8 @@
 
 Each document becomes a hashed vector of its tokens, projected to DIMS dimensions; its place on a Hilbert curve through that
 space is its sort key, so neighbours along the curve are alike. The documents' tokens are laid end to end in that order and
-cut every `length` tokens; only the last sequence is shorter. Keys and sizes alone are range-sorted; places come from a
+cut every `length` tokens; only the last sequence is shorter. A caller may give an order that goes before the curve, as of
+a mix of sources: the curve then holds inside each of its steps. Keys and sizes alone are range-sorted; places come from a
 running sum inside each range and the sums of the ranges before it (one number for each range passes through the driver).
 Token ids are written once, and joined to their places.
 
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import kernel as K
 from .rounds import partitions
@@ -69,9 +70,10 @@ def curve_keys(ids: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return hilbert(np.clip(place.astype(np.int64), 0, (1 << BITS) - 1))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, keep: tuple[str, ...] = ()) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, keep: tuple[str, ...] = (), lead: Column | None = None) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (packed) and the kept columns of every piece of
-    docs (doc_id, text)."""
+    docs (doc_id, text). With lead, an integer column made of kept ones, documents are in its order, and along the curve only
+    among those of one lead."""
     scratch = Scratch(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +104,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
                 yield pa.record_batch([batch.column("row"), pa.array(total + sums - batch.column("n").to_numpy()), pa.array(np.full(len(sums), part, np.int32)), batch.column("n")], names=["row", "before", "part", "n"])
                 total += int(sums[-1])
 
-    order = encoded.select("key", "doc_id", "row", "n").repartitionByRange(partitions(docs), "key", "doc_id", "row").sortWithinPartitions("key", "doc_id", "row")
+    by = ["lead"] * (lead is not None) + ["key", "doc_id", "row"]
+    placing = encoded if lead is None else encoded.withColumn("lead", lead)
+    order = placing.select(*by, "n").repartitionByRange(partitions(docs), *by).sortWithinPartitions(*by)
     order = scratch.save(order.mapInArrow(running, "row bigint, before bigint, part int, n bigint"))
     sums, base = {}, 0
     for part, n in sorted(order.groupBy("part").agg(F.sum("n")).collect()):  # a number for each range

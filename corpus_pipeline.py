@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from contactloom import ship
 from contactloom.llm.lang_id import UNKNOWN, learn, predict
-from contactloom.llm.mixing import ordered
+from contactloom.llm.mixing import ordered, turn
 from contactloom.llm.ngram_jaccard import ngram_jaccard_join
 from contactloom.llm.packing import pack_documents
 from contactloom.llm.scratch import Scratch
@@ -88,10 +88,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of 1024 tokens; each piece keeps its document's place in the mix. A null or empty text
-    is its end id alone; repeated rows are documents of their own; extra columns end here."""
+    """Packs the documents into sequences of 1024 tokens in the order of the mix: one period of it after the other, each with the
+    target weights, and inside a period along the curve of likeness. Each piece keeps its document's place in the mix. A null or
+    empty text is its end id alone; repeated rows are documents of their own; extra columns end here."""
     ship(spark)
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("mix_slot", "mix_position")).drop("ids")
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("mix_slot", "mix_position"), lead=turn()).drop("ids")
 
 
 STAGES = [

@@ -210,6 +210,21 @@ def test_the_mix_of_the_pipeline_loses_no_document(spark):
     assert {(r.doc_id, r.mix_slot, r.mix_position) for r in packed} == {(r.doc_id, r.mix_slot, r.mix_position) for r in got}
 
 
+def test_sequences_follow_the_mix(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"text {i} " + "word " * (i % 40), "en", f"src{max(0, i % 40 - 20)}", i, "x") for i in range(1600)]  # half of all: src0
+    docs = corpus_pipeline.source_mix(spark, ship(spark).createDataFrame(rows, SCHEMA).repartition(3), "")
+    got = sorted(corpus_pipeline.packing(spark, docs, "").collect(), key=lambda r: (r.sequence_id, r.offset))
+    total = sum(mixing.WEIGHTS.values())
+    turns = [r.mix_slot // total for r in got]
+    assert turns == sorted(turns) and turns[-1] > 2
+    first = Counter(f"src{max(0, d % 40 - 20)}" for d in {r.doc_id for r in got if r.mix_slot < total})
+    assert first == {s: w * mixing.BLOCK for s, w in mixing.WEIGHTS.items() if s != mixing.REST}  # the target weights in the first sequences
+    places = [(r.mix_slot // total, r.mix_position) for r in got]
+    assert places != sorted(places)  # inside a period the curve decides
+
+
 def vectors(spark, n=1500, d=6):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((n, d)).round(1)
