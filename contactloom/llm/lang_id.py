@@ -207,5 +207,6 @@ def _scorer(sent, n: int):
                     second[i] = lowest[1] if len(lowest) > 1 else np.nan
             made = [pa.array(best, pa.float64(), from_pandas=True), pa.array(second, pa.float64(), from_pandas=True), pa.array(name, pa.string()), pa.array(lettered, pa.bool_())]
             yield pa.record_batch([*batch.columns[:n], *made], names=batch.schema.names)
+        K.release()
 
     return score
