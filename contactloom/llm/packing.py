@@ -24,12 +24,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from . import kernel as K
 from .rounds import partitions
 from .scratch import Scratch
-from .tokens import encoder, ids32
+from .tokens import encoder, forget, id_type, ids32
 
 LENGTH = 1024
 END_ID = 0
 FEATURES = 1 << 10
 DIMS = 4
+SLICE_BYTES = 1 << 20  # of text, that is encoded at one time
 BITS = 8
 
 
@@ -74,21 +75,19 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (packed) and the kept columns of every piece of
     docs (doc_id, text). With lead, an integer column made of kept ones, documents are in its order, and along the curve only
     among those of one lead."""
-    scratch = Scratch(docs.sparkSession)
+    scratch, dtype = Scratch(docs.sparkSession), id_type(tokenizer)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
             data, off = K.as_bytes(batch.column("text"))
-            for a, b, part, cut in K.slices(data, off):
-                raw = part.tobytes()
-                ids = [enc.encode(raw[cut[i] : cut[i + 1]]) + end for i in range(b - a)]
-                sizes = [len(x) // enc.dtype.itemsize for x in ids]
-                yield pa.record_batch(
-                    [batch.column("doc_id")[a:b], pa.array(curve_keys(np.frombuffer(b"".join(ids), enc.dtype), np.concatenate(([0], np.cumsum(sizes))))), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary()), *(batch.column(c)[a:b] for c in keep)],
-                    names=["doc_id", "key", "n", "ids", *keep],
-                )
+            for a, b, part, cut in K.slices(data, off, SLICE_BYTES):
+                ids, at = enc.encode_all(part, cut, end)
+                tokens = at // enc.dtype.itemsize
+                keys = curve_keys(np.frombuffer(ids, enc.dtype, tokens[-1]), tokens)
+                packed = pa.Array.from_buffers(pa.large_binary(), b - a, [None, pa.py_buffer(at), ids]).cast(pa.binary())
+                yield pa.record_batch([batch.column("doc_id")[a:b], pa.array(keys), pa.array(np.diff(tokens)), packed, *(batch.column(c)[a:b] for c in keep)], names=["doc_id", "key", "n", "ids", *keep])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *keep)
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
@@ -114,7 +113,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
         base += n
 
     def cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = encoder(tokenizer).dtype
+        forget()
         for batch in batches:
             out: dict[str, list] = {n: [] for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids")}
             pieces = []  # of each row

@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from contactloom import ship
-from contactloom.llm import lang_id, mixing, multi_index, records, sharding, vectors as vector_lists
+from contactloom.llm import lang_id, mixing, multi_index, records, sharding, tokens, vectors as vector_lists
 from contactloom.llm.multi_index import nearest
 from contactloom.llm.packing import hilbert, pack_documents
 from contactloom.llm.scratch import Scratch
@@ -38,6 +38,20 @@ def test_ids_are_the_librarys(path):
         assert np.frombuffer(e.encode((text or "").encode()), e.dtype).tolist() == t.encode(text or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("path", [BYTE, WORDS])
+def test_ids_of_many_texts_look_up_each_piece_once(path, monkeypatch):
+    t, e = Tokenizer.from_file(path), tokens.Encoder(path)
+    looked_up, get = Counter(), tokens.Encoder.__getitem__
+    monkeypatch.setattr(tokens.Encoder, "__getitem__", lambda self, piece: looked_up.update([piece]) or get(self, piece))
+    texts = [x or "" for x in TEXTS] + ["\n word", " \nword.", "it's. a.b, c", "wide\u00a0 space. here,", "x, " * 2000]
+    raw = [x.encode() for x in texts]
+    off = np.cumsum([0, *map(len, raw)])
+    ids, at = e.encode_all(np.frombuffer(b"".join(raw), np.uint8), off, np.array([7], e.dtype).tobytes())
+    ids = np.frombuffer(ids, e.dtype)
+    assert [ids[a // e.dtype.itemsize : b // e.dtype.itemsize].tolist() for a, b in zip(at, at[1:], strict=False)] == [t.encode(x, add_special_tokens=False).ids + [7] for x in texts]
+    assert looked_up[b" x"] <= 1 and sum(looked_up.values()) < 100  # of 5 000 pieces
+
+
 def test_hilbert_neighbours_touch():
     grid = np.array([(a, b) for a in range(16) for b in range(16)])
     path = grid[np.argsort(hilbert(grid, 4))]
@@ -225,6 +239,16 @@ def test_sequences_follow_the_mix(spark):
     assert places != sorted(places)  # inside a period the curve decides
 
 
+def test_encoders_hold_little(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_DISTINCT", 50)
+    e = encoder(BYTE)
+    for i in range(30):
+        e.encode_all(np.frombuffer(" ".join(f"w{i}x{j}" for j in range(20)).encode(), np.uint8)[:60], np.array([0, 60]), b"")
+        assert len(e) < 50 + 20
+    tokens.forget()
+    assert not tokens._encoders
+
+
 def vectors(spark, n=1500, d=6):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((n, d)).round(1)
