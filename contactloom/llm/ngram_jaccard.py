@@ -267,6 +267,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             for a, b, part, cut in K.slices(data, off):
                 sets = list(gram_sets(part, cut, n))
                 yield pa.record_batch([batch.column("doc_id")[a:b], pa.array([set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["doc_id", "sid", "grams"])
+            K.release()
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(1 << FILTER_BITS)).cast("int").alias("h"))
     return texts.mapInArrow(make, "doc_id bigint, sid bigint, grams array<bigint>").join(wanted.withColumnsRenamed({"doc_id": "rep", "sid": "set"}), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("sid") == F.col("set"))).dropDuplicates(["sid"]).select("sid", "grams")

@@ -5,9 +5,12 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from contactloom import ship
+from contactloom.llm import kernel as K, rounds as R
 from contactloom.llm.ngram_jaccard import ngram_jaccard_join
 from contactloom.llm.scratch import Scratch
 from contactloom.llm.substring_dedup import COVER, PERIOD, substring_dedup
@@ -197,6 +200,37 @@ def test_pairs_of_a_group_grow_with_its_size(spark, monkeypatch):
     assert all(pairs <= 4 * size for size, pairs in totals.items())  # two hubs a round, two rounds; measured 297 and 1495
 
 
+def test_mail_is_answered_a_bucket_at_a_time(spark):
+    """A partition gets several ranges of keys; what a worker holds at once is one of them."""
+    docs = ship(spark).createDataFrame([(i, f"{i % 40}") for i in range(160)], "doc_id bigint, text string")
+    groups = R.grouped(docs, "text")
+    bits = R._bits(groups)
+
+    def keys_of(rows):
+        return np.unique(K.mix(np.array(rows["text"].to_pylist(), np.uint64)))
+
+    def answer(kind, keys, senders, vals):
+        assert len(np.unique(keys >> np.uint64(64 - bits))) == 1
+        return R.shared(kind, keys, senders, vals)
+
+    def last(rows, box):
+        return pa.table({"g": rows["_g"][:1].cast(pa.int32()), "sent": pa.array([len(keys_of(rows))] * (len(rows) > 0), pa.int64()), "got": pa.array([int(box.mask(1, keys_of(rows)).sum())] * (len(rows) > 0), pa.int64())})
+
+    got = R.finish(groups, R.ask(groups, None, lambda rows, _: {1: (keys_of(rows), None)}, answer, masks=True), last, "g int, sent bigint, got bigint").collect()
+    held = defaultdict(set)
+    for r in groups.collect():
+        held[r.text].add(r._g)
+    want = Counter(g for gs in held.values() if len(gs) > 1 for g in gs)
+    assert {r.g: r.got for r in got if r.got} == want and sum(want.values()) > 100
+    assert sum(r.sent for r in got) == sum(map(len, held.values()))
+
+
+def test_groups_of_long_texts_come_in_small_batches(spark):
+    df = ship(spark).range(1200).selectExpr("id % 2 as g", "repeat('x', 20000) as text")
+    most = df.groupBy("g").applyInArrow(lambda t: pa.table({"most": [max(c.nbytes for c in t["text"].chunks)], "n": [len(t)]}), "most bigint, n bigint").collect()
+    assert [r.n for r in most] == [600, 600] and max(r.most for r in most) < 5 << 20  # 12 MB a group
+
+
 def test_stages_of_the_pipeline_keep_columns_of_any_name(spark):
     import corpus_pipeline
 
