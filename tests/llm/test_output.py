@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from contactloom import ship
@@ -127,6 +128,58 @@ def test_record_files_are_bounded_and_read_by_the_index(spark, tmp_path):
     assert records.read_records(spark, folder, ship(spark).createDataFrame([(10**6,)], "doc_id bigint")).count() == 0
 
 
+def test_a_record_file_is_read_in_parts(spark, tmp_path):
+    """One file is shared among tasks, none of which holds it as a row; damage in it is noticed. The least part is 4 KB here."""
+    t = Tokenizer.from_file(WORDS)
+    texts = [f"{w} " * (i % 50) + TEXTS[i % len(TEXTS)][:300] for i, w in enumerate(["line", "é", "12", "\u0115"] * 100) if TEXTS[i % len(TEXTS)] is not None]
+    df = ship(spark).createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 1)
+        records.write_records(df, str(tmp_path / "r"), WORDS)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 4096)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        file = {r.file for r in spark.read.parquet(str(tmp_path / "r/index")).collect()}
+        found = records.read_records(spark, str(tmp_path / "r"))
+        got, at = sorted(found.collect(), key=lambda r: r.start), 0
+        assert len(file) == 1 and "binaryFile" not in found._jdf.queryExecution().toString()
+        assert [r.doc_id for r in got] == list(range(len(texts)))
+        for r, text in zip(got, texts, strict=True):
+            ids = t.encode(text, add_special_tokens=False).ids + [2]
+            assert (r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) == (at, len(ids), crc(ids), np.array(ids, "<u4").tobytes())
+            at += len(ids)
+        file = tmp_path / "r/data" / file.pop()
+        whole = file.read_bytes()
+        assert records._lines(spark, str(tmp_path / "r/data")).rdd.getNumPartitions() > 2
+        at, seen = 0, []
+        while at < len(whole):
+            body, after = records.parse(whole, at)
+            seen.append(records.opened(body)[2:4] == (len(seen), at))
+            at = after
+        assert len(seen) == len(texts) and all(seen)
+        file.with_name(f".{file.name}.crc").unlink(missing_ok=True)
+        file.write_bytes(whole[: len(whole) // 2] + bytes([whole[len(whole) // 2] ^ 4]) + whole[len(whole) // 2 + 1 :])
+        with pytest.raises(Exception, match="record"):
+            records.read_records(spark, str(tmp_path / "r")).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_frames_are_lines(spark, tmp_path):
+    """No frame holds a line end, and one whose length begins like a byte order mark is read as it is."""
+    rng, rows = np.random.default_rng(3), []
+    for n in [*range(300), 0xBFBBEF - records._ROW.size]:
+        body = records.payload(n, 2, rng.choice(np.array([10, 255, 48, 49, 50, 0xEF, 13, 0], np.uint8), n).tobytes() if n < 300 else bytes(n))
+        rows.append((records.frame(body), body))
+    assert all(f.count(b"\n") == 1 and records.parse(f) == (body, len(f)) for f, body in rows)
+    folder = tmp_path / "piece=0"
+    folder.mkdir()
+    (folder / "part-00000").write_bytes(rows[-1][0] + b"".join(f for f, _ in rows[:-1]))
+    got = {bytes(r.value) for r in records._lines(ship(spark), str(tmp_path)).select(F.col("value").cast("binary").alias("value")).collect()}
+    assert got == {f[:-1] for f, _ in rows}
+
+
 def test_damage_is_noticed():
     good = records.frame(records.payload(7, 2, b"abcd"))
     assert records.opened(records.parse(good)[0])[0] == 7
