@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import emails as E, fixed, html as H, phones as P, urls as U
@@ -148,18 +150,20 @@ def allowed(urls: DataFrame, rules: DataFrame, column: str = "url") -> DataFrame
     return u.where(F.coalesce(F.get(hit, F.lit(0))["allow"], F.lit(True))).select(*urls.columns)
 
 
-def site_contacts(homes: DataFrame, attempts: DataFrame, fetched: DataFrame, rules: DataFrame, region: Column) -> DataFrame:
+def site_contacts(homes: DataFrame, attempts: DataFrame, fetched: DataFrame, rules: DataFrame, region: Column, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
     """url, emails, phones and socials of every site that could be read (W2), from its home page (site, url, html), the attempts
     at it (site, pos, status, is_html, robots_blocked), pages that were fetched (url, html) and the rules of hosts.
 
     A page that is planned and not fetched was tried in vain: it counts as a visit, like one that gave nothing. Pages that the
-    rules forbid don't count.
+    rules forbid don't count. An address that isn't `wanted` (by default all are) is none: it ends no search.
     """
     readable = fetch_outcome(attempts).where("site_state = 'ok'").select("site")
-    homes = parsed(homes.join(readable, "site", "left_semi").select("url", "html"))
+    homes = parsed_homes(homes.join(readable, "site", "left_semi").select("url", "html"))
     plan = allowed(page_plan(homes), rules, "link").unionByName(homes.select("url", F.col("url").alias("link"), F.lit(0).alias("kind"), F.lit(0).alias("ord"))).distinct()
     pages = planned_pages(plan, fetched.select("url", "html").unionByName(homes.select("url", "html")))
     held = page_contacts(parsed(pages), region, F.col("url"))
+    if wanted:
+        held = held.withColumn("emails", F.filter("emails", wanted))
     tried = plan.join(held.select("url", "link", "emails", "phones", "socials"), ["url", "link"], "left")
     none = F.array().cast("array<string>")
     return absorb(pages_that_count(tried.withColumn("emails", F.coalesce("emails", none)).withColumn("phones", F.coalesce("phones", none)).withColumn("socials", F.coalesce("socials", F.array().cast("array<struct<network:string,href:string>>")))))
