@@ -10,6 +10,9 @@ from ..functions import fixed, listings as L, urls as U
 from ..operators.rank import ranked
 from .schema import ELEMENT, PLACE, as_leads
 
+#: Rows and boxes of a cell that are compared in one go, and pairs that a task compares.
+BLOCK, PAIRS = 4096, 1 << 24
+
 
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ELEMENT).json(path)
@@ -87,7 +90,8 @@ def in_areas(df: DataFrame, areas: DataFrame, cell: float = 0.05) -> DataFrame:
     """df with a row and `area` for each box of areas (area, south, west, north, east) that holds it: many boxes, many rows.
 
     Boxes are dealt to the cells of a grid, `cell` degrees wide, and rows to their one cell: an equi-join, then the exact test.
-    A box that is larger than 2**10 cells is dealt to a grid as much coarser as it needs, each box to one grid only.
+    A box that is larger than 2**10 cells is dealt to a grid as much coarser as it needs, each box to one grid only. Rows and boxes
+    of a full cell are dealt into blocks of about BLOCK of each, so that many rows at one place are compared by many tasks.
     """
     side = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"))
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(cell)) / (32 * cell)))).cast("int")
@@ -100,7 +104,22 @@ def in_areas(df: DataFrame, areas: DataFrame, cell: float = 0.05) -> DataFrame:
     rows = df.where("lat is not null and lon is not null").withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
     rows = rows.withColumn("gy", line("lat")).withColumn("gx", line("lon"))
     inside = F.col("lat").between(F.col("south"), F.col("north")) & F.col("lon").between(F.col("west"), F.col("east"))
-    return rows.join(boxes, ["level", "gy", "gx"]).where(inside).select(*names, "area")
+    keys = ["level", "gy", "gx"]
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).join(boxes.groupBy(*keys).agg(F.count("*").alias("_m")), keys)
+    pairs = sizes.agg(F.sum(F.col("_n").cast("double") * F.col("_m"))).first()[0] or 0  # to compare, in all cells
+    if pairs > BLOCK**2:
+        full = F.broadcast(sizes.where((F.col("_n") > BLOCK) | (F.col("_m") > BLOCK)))  # one cell for BLOCK rows or boxes at most
+        hashed = [c for c, kind in df.dtypes if "map<" not in kind]
+        tasks = max(-(-pairs // PAIRS), min(-(-pairs // BLOCK**2), df.sparkSession.sparkContext.defaultParallelism))
+
+        def dealt(side: DataFrame, of: list[str], count: str, part: str, other_count: str, other: str) -> DataFrame:
+            parts = lambda c: F.coalesce(F.ceil(F.col(c) / BLOCK), F.lit(1))
+            own = side.join(full, keys, "left").withColumn(part, F.pmod(F.xxhash64(*of), parts(count)))
+            return own.withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), parts(other_count) - 1))).drop("_n", "_m").repartition(int(tasks), *keys, "_gr", "_gb")
+
+        rows, boxes = dealt(rows, hashed, "_n", "_gr", "_m", "_gb"), dealt(boxes, ["area", "south", "west", "north", "east"], "_m", "_gb", "_n", "_gr").hint("merge")
+        keys += ["_gr", "_gb"]
+    return rows.join(boxes, keys).where(inside).select(*names, "area")
 
 
 def with_region(df: DataFrame, regions: DataFrame, column: str = "country") -> DataFrame:

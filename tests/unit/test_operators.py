@@ -225,6 +225,21 @@ def test_many_areas_equal_the_comparison_of_all(spark):
     assert sorted((r.seq, r.area) for r in got) == sorted((i, a) for i, y, x in points for a, s, w, n, e in boxes if y is not None and s <= y <= n and w <= x <= e)
 
 
+def test_many_rows_at_one_place_are_compared_by_many_tasks(spark):
+    df = spark.range(0, 12_000, 1, 1).select(F.col("id").alias("seq"), F.lit(45.0).alias("lat"), F.when(F.col("id") < 9_000, 8.0).otherwise(8.5).alias("lon"), F.create_map(F.lit("k"), "id").alias("m"))
+    south, west = 45 - F.col("id") % 5 * 0.01, 8 - F.col("id") % 3 * 0.01
+    areas = spark.range(20_000).select(F.col("id").alias("area"), south.alias("south"), west.alias("west"), (south + 0.015).alias("north"), (west + 0.015).alias("east"))
+    inside = sum(i % 5 < 2 and i % 3 < 2 for i in range(20_000))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = SL.in_areas(df, areas, 0.05)
+        parts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(parts) == 9_000 * inside and max(parts) < 0.6 * sum(parts)
+        assert got.where("seq = 17").select("area").distinct().count() == inside == got.where("seq = 17").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_export_is_never_overwritten(spark, tmp_path):
     leads = lead(spark, (1, "c", "+1", "a@x.it", "http://x.it"))
     path = S.export(leads, str(tmp_path), "My Town", "cafés")
